@@ -162,14 +162,21 @@ def count_within(
     us: str = "us",
     slice_us: int = DAY,
 ) -> DataFrame:
-    """Add, per name, the number of rows of the key in ``[us + lo, us + hi]`` (micros, inclusive)."""
+    """Add, per name, the number of rows of the key in ``[us + lo, us + hi]`` (micros, inclusive).
+
+    Taken as the difference of two running counts: frames that start at the
+    partition's beginning are updated row by row, whereas a sliding frame is
+    summed again for every row.
+    """
     before = max(0, *[-lo for lo, _ in windows.values()])
     after = max(0, *[hi for _, hi in windows.values()])
     halo = with_halo(df, before, after, us, slice_us)
     base = Window.partitionBy(*keys, SLICE).orderBy(us)
-    counted = halo.withColumns(
-        {name: F.count(F.lit(1)).over(base.rangeBetween(lo, hi)) for name, (lo, hi) in windows.items()}
-    )
+
+    def upto(bound: int) -> Column:
+        return F.count(F.lit(1)).over(base.rangeBetween(Window.unboundedPreceding, bound))
+
+    counted = halo.withColumns({name: upto(hi) - upto(lo - 1) for name, (lo, hi) in windows.items()})
     return counted.filter("_home").drop("_home", SLICE)
 
 

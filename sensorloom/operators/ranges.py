@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sensorloom.functions.scalars import floor_div, ratio
 
@@ -85,36 +85,35 @@ def first_complete_source(
     return joined.join(kept, [*keys, source_rank], "left_semi")
 
 
-def interval_label(
-    rows: DataFrame,
-    intervals: DataFrame,
-    us: str = "us",
-    bucket_us: int = 6 * 3_600_000_000,
-    strip: int = 3,
-    row_key: Sequence[str] = ("event_id",),
+def interval_lookup(
+    rows: DataFrame, intervals: DataFrame, columns: Sequence[str] = (), us: str = "us", bucket_us: int = 6 * 3_600_000_000
 ) -> DataFrame:
-    """Label of the interval holding the row; the highest ``priority`` wins; unlabelled rows go.
+    """Rows inside an interval with ``_hit`` = struct of the covering interval of highest ``priority``.
 
-    ``intervals(label, start_us, end_us, priority)``, bounds inclusive. The first
-    ``strip`` characters of a label are a running prefix and are cut off. Overlaps
-    are resolved on the interval side: per bucket only the covering intervals meet
-    a row and the winner is taken by one map-side combined maximum.
+    ``intervals(start_us, end_us, priority, …)``, bounds inclusive. Intervals are
+    gathered per time bucket (a bucket holds only the intervals that touch it), so
+    a row meets one array and is never multiplied.
     """
-    spread = intervals.select("label", "start_us", "end_us", "priority").withColumn(
+    spread = intervals.withColumn(
         "_bucket",
         F.explode(F.sequence(floor_div(F.col("start_us"), bucket_us), floor_div(F.col("end_us"), bucket_us))),
     )
-    per_bucket = spread.groupBy("_bucket").agg(
-        F.sort_array(
-            F.collect_list(F.struct("priority", "start_us", "end_us", "label")), asc=False
-        ).alias("_cover")
-    )
+    entry = F.struct("priority", "start_us", "end_us", *columns)
+    per_bucket = spread.groupBy("_bucket").agg(F.sort_array(F.collect_list(entry), asc=False).alias("_cover"))
     hit = F.filter("_cover", lambda i: (F.col(us) >= i["start_us"]) & (F.col(us) <= i["end_us"]))
     return (
         rows.withColumn("_bucket", floor_div(F.col(us), bucket_us))
         .join(per_bucket, "_bucket")
         .withColumn("_hit", F.get(hit, F.lit(0)))
         .filter(F.col("_hit").isNotNull())
-        .withColumn("label", F.substring(F.col("_hit.label"), strip + 1, 1_000_000))
-        .drop("_hit", "_cover", "_bucket")
+        .drop("_cover", "_bucket")
     )
+
+
+def interval_label(rows: DataFrame, intervals: DataFrame, us: str = "us", strip: int = 3) -> DataFrame:
+    """Label of the interval holding the row; the later interval wins; unlabelled rows go.
+
+    The first ``strip`` characters of a label are a running prefix and are cut off.
+    """
+    found = interval_lookup(rows, intervals, ["label"], us)
+    return found.withColumn("label", F.substring(F.col("_hit.label"), strip + 1, 1_000_000)).drop("_hit")

@@ -3,6 +3,11 @@
 from sensorloom.plans.registry import ORACLES, QUERIES
 from sensorloom.plans import (  # noqa: F401
     q_sources,
+    q_windows,
+    q_joins,
+    q_features,
+    q_labels,
+    q_summaries,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -16,11 +16,15 @@ def main() -> None:
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
     spark = get_session("checks", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
-    names = [n for n in queries if not args or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in args)]
+    def wanted(n: str) -> bool:
+        module = queries[n].__closure__[0].cell_contents.__module__.rsplit(".", 1)[-1]
+        return any(n == a or module == a or (a.endswith("*") and n.startswith(a[:-1])) for a in args)
+
+    names = [n for n in queries if not args or wanted(n)]
     failed = []
     for name in names:
         start = time.time()
