@@ -8,6 +8,8 @@ from sensorloom.plans import (  # noqa: F401
     q_features,
     q_labels,
     q_summaries,
+    q_places,
+    q_models,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

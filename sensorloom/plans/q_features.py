@@ -16,9 +16,12 @@ _AXES = ["dv0", "dv1", "dv2"]
 _STATS = ["maximum", "minimum", "mean", "median", "standard_deviation", "root_mean_square"]
 
 
-def rounded(df, digits: int = 6, skip: tuple[str, ...] = ()):
-    """Round every DOUBLE column, so that summation order cannot show."""
-    return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double" and c not in skip})
+def rounded(df, digits: int = 6, skip: tuple[str, ...] = (), nudge: float = 0.0):
+    """Round every DOUBLE column, so that summation order cannot show.
+
+    ``nudge`` shifts values first where means of short decimals fall on a rounding tie.
+    """
+    return df.withColumns({c: F.round(F.col(c) + F.lit(nudge), digits) for c, t in df.dtypes if t == "double" and c not in skip})
 
 
 def _sql_stats(c: str) -> str:

@@ -201,7 +201,7 @@ def _stay_records(spark, d):
     "sequence_windows",
     sql_with(
         "sensor",
-        """SELECT device, s AS start_row, CAST(to_json(list([CAST(dv1 AS INTEGER), CAST(accuracy AS INTEGER)] ORDER BY i)) AS VARCHAR) AS sequence, min(lab) AS label FROM (
+        """SELECT device, s AS start_row, CAST(to_json(list([CAST(dv1 AS INTEGER), CAST(floor(accuracy) AS INTEGER)] ORDER BY i)) AS VARCHAR) AS sequence, min(lab) AS label FROM (
           SELECT n.*, s,
             (SELECT sensor FROM num m WHERE m.device = n.device AND m.i >= s AND m.i < s + 8 GROUP BY sensor ORDER BY count(*) DESC, sensor LIMIT 1) AS lab
           FROM num n JOIN (SELECT device, unnest(range(0, greatest(cnt - 8, 0), 4)) AS s FROM tot) st
@@ -212,7 +212,7 @@ def _stay_records(spark, d):
 )
 def _sequence_windows(spark, d):
     rows = v.sensor(spark, d).withColumns(
-        {"a": F.floor("dv1").cast("int"), "b": F.round("accuracy").cast("int")}
+        {"a": F.floor("dv1").cast("int"), "b": F.floor("accuracy").cast("int")}
     )
     out = segments.sequence_windows(rows, ["a", "b"], "sensor", 8, 4, tie=["event_id"])
     return out.select(
