@@ -16,10 +16,16 @@ SEGMENT_KEYS = ("device", "event_us", "segment")
 
 
 def _with_quantiles(
-    rows: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], aggregates: list[Column], direct_rows: int
+    rows: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    probs: Sequence[float],
+    aggregates: list[Column],
+    direct_rows: int,
+    small: bool | None = None,
 ) -> DataFrame:
     """One grouped pass; quantiles inline while groups are small, else by the bracketed form."""
-    if groups_are_small(rows, keys, direct_rows):
+    if groups_are_small(rows, keys, direct_rows) if small is None else small:
         return rows.groupBy(*keys).agg(*aggregates, *[exact_percentile(c, probs).alias(f"{c}_q") for c in columns])
     quantiles = exact_percentiles(rows, columns, probs, keys, direct_rows)
     return rows.groupBy(*keys).agg(*aggregates).join(quantiles, list(keys))
@@ -63,6 +69,7 @@ def segment_fft(
     The sums are plain aggregates, combined map-side; coefficients above half the
     sample count do not exist and are left out.
     """
+    slice_us = None if groups_are_small(rows, keys) else slice_us
     indexed = row_index(rows, "_i", keys, us, tie, slice_us)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     turn = F.col("_i") * F.lit(2 * math.pi) / F.col("_n")
@@ -125,6 +132,9 @@ def segment_features_ext(
     lag-1 autocorrelation, linear trend slope and the quantiles .1-.9.
     """
     x = F.col(column)
+    small = groups_are_small(rows, keys, direct_rows)
+    slice_us = None if small else slice_us
+    rows = rows.select(*dict.fromkeys([*keys, us, *tie, column]))
     indexed = row_index(rows, "_i", keys, us, tie, slice_us)
     levels = rows.groupBy(*keys).agg(
         F.avg(x).alias("_mean"), F.count("*").alias("_n"), F.max(x).alias("_max"), F.min(x).alias("_min"), F.var_pop(x).alias("_var")
@@ -162,7 +172,7 @@ def segment_features_ext(
         F.max(n).alias("n_rows"),
     ]
     probs = [i / 10 for i in range(1, 10)]
-    out = _with_quantiles(runs, keys, [column], probs, aggregates, direct_rows)
+    out = _with_quantiles(runs, keys, [column], probs, aggregates, direct_rows, small)
     nn, var = F.col("n_rows").cast("double"), F.col("variance")
     # Sample skewness and excess kurtosis with the usual small-sample corrections.
     m2, m3, m4 = var, F.col("_m3") / nn, F.col("_m4") / nn

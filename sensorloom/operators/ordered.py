@@ -90,44 +90,69 @@ def _attach(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(renamed, on, "left").drop(*[f"_k_{n}" for n in names])
 
 
+def _values(columns: Sequence[str], us: str, tie: Sequence[str]) -> Column:
+    return F.struct(*dict.fromkeys([us, *tie, *columns]))
+
+
 def previous_row(
     df: DataFrame,
     columns: Sequence[str],
     keys: Sequence[str] = ("device",),
     us: str = "us",
     tie: Sequence[str] = (),
-    slice_us: int = DAY,
+    slice_us: int | None = DAY,
     into: str = "_prev",
 ) -> DataFrame:
-    """Add ``into`` = struct of ``columns`` of the preceding row of the key (NULL at the first)."""
-    order = [us, *tie]
+    """Add ``into`` = struct of time and ``columns`` of the preceding row of the key (NULL at the first).
+
+    ``slice_us`` = None here and below: one plain window, for keys known to be small.
+    """
+    values = _values(columns, us, tie)
+    if slice_us is None:
+        return df.withColumn(into, F.lag(values).over(Window.partitionBy(*keys).orderBy(us, *tie)))
     sliced = with_slice(df, us, slice_us)
-    values = F.struct(*dict.fromkeys([*order, *columns]))
-    local = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    local = Window.partitionBy(*keys, SLICE).orderBy(us, *tie)
     along = Window.partitionBy(*keys).orderBy(SLICE)
     carry = _carry(sliced, keys, {"_last": F.max(values)}, {"_from_before": F.lag("_last").over(along)})
     out = _attach(sliced.withColumn(into, F.lag(values).over(local)), carry, keys)
     return out.withColumn(into, F.coalesce(into, "_from_before")).drop("_from_before", SLICE)
 
 
-def next_row(
+def previous_two_rows(
     df: DataFrame,
     columns: Sequence[str],
     keys: Sequence[str] = ("device",),
     us: str = "us",
     tie: Sequence[str] = (),
-    slice_us: int = DAY,
-    into: str = "_next",
+    slice_us: int | None = DAY,
+    into: tuple[str, str] = ("_prev1", "_prev2"),
 ) -> DataFrame:
-    """Add ``into`` = struct of ``columns`` of the following row of the key (NULL at the last)."""
-    order = [us, *tie]
+    """Add the structs of the preceding row and of the one before it, in a single scan."""
+    one, two = into
+    values = _values(columns, us, tie)
+    if slice_us is None:
+        w = Window.partitionBy(*keys).orderBy(us, *tie)
+        return df.withColumns({one: F.lag(values).over(w), two: F.lag(values, 2).over(w)})
     sliced = with_slice(df, us, slice_us)
-    values = F.struct(*dict.fromkeys([*order, *columns]))
-    local = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    local = Window.partitionBy(*keys, SLICE).orderBy(us, *tie)
     along = Window.partitionBy(*keys).orderBy(SLICE)
-    carry = _carry(sliced, keys, {"_first": F.min(values)}, {"_from_after": F.lead("_first").over(along)})
-    out = _attach(sliced.withColumn(into, F.lead(values).over(local)), carry, keys)
-    return out.withColumn(into, F.coalesce(into, "_from_after")).drop("_from_after", SLICE)
+    stepped = sliced.withColumns({one: F.lag(values).over(local), two: F.lag(values, 2).over(local)})
+    carry = _carry(
+        stepped.select(*keys, SLICE, values.alias("_v"), one),
+        keys,
+        {"_last": F.max(F.struct("_v", F.col(one).alias("_p")))},
+        {
+            "_c1": F.lag("_last._v").over(along),
+            "_c2": F.coalesce(F.lag("_last._p").over(along), F.lag("_last._v", 2).over(along)),
+        },
+    )
+    out = _attach(stepped, carry, keys)
+    return out.withColumns(
+        {
+            two: F.coalesce(two, F.when(F.col(one).isNotNull(), F.col("_c1")).otherwise(F.col("_c2"))),
+            one: F.coalesce(one, "_c1"),
+        }
+    ).drop("_c1", "_c2", SLICE)
 
 
 def running_sum(
@@ -137,9 +162,12 @@ def running_sum(
     keys: Sequence[str] = ("device",),
     us: str = "us",
     tie: Sequence[str] = (),
-    slice_us: int = DAY,
+    slice_us: int | None = DAY,
 ) -> DataFrame:
     """Add ``into`` = inclusive running sum of a LONG ``value`` along the key's timeline."""
+    if slice_us is None:
+        whole = Window.partitionBy(*keys).orderBy(us, *tie).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(into, F.sum(value).over(whole))
     sliced = with_slice(df, us, slice_us).withColumn("_v", value)
     local = Window.partitionBy(*keys, SLICE).orderBy(us, *tie).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -149,12 +177,56 @@ def running_sum(
 
 
 def row_index(
-    df: DataFrame, into: str, keys: Sequence[str] = ("device",), us: str = "us", tie: Sequence[str] = (), slice_us: int = DAY
+    df: DataFrame,
+    into: str,
+    keys: Sequence[str] = ("device",),
+    us: str = "us",
+    tie: Sequence[str] = (),
+    slice_us: int | None = DAY,
 ) -> DataFrame:
     """Add ``into`` = 0-based position of the row on the key's timeline."""
     return running_sum(df, F.lit(1).cast("long"), into, keys, us, tie, slice_us).withColumn(into, F.col(into) - 1)
 
 
+def run_number(
+    df: DataFrame,
+    value: str,
+    into: str,
+    keys: Sequence[str] = ("device",),
+    us: str = "us",
+    tie: Sequence[str] = (),
+    slice_us: int | None = DAY,
+) -> DataFrame:
+    """Add ``into`` = number of the uninterrupted run of equal values (each NULL is a run of its own).
+
+    One window per slice finds the changes inside it; the per-slice summary (first
+    and last value, number of changes) settles the changes at the borders.
+    """
+    part = [*keys] if slice_us is None else [*keys, SLICE]
+    base = df if slice_us is None else with_slice(df, us, slice_us)
+    local = Window.partitionBy(*part).orderBy(us, *tie)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    same = F.coalesce(F.lag(value).over(local) == F.col(value), F.lit(False))
+    changed = F.when(F.row_number().over(local) == 1, 0).when(same, 0).otherwise(1).cast("long")
+    marked = base.withColumn("_new", changed)
+    if slice_us is None:
+        return marked.withColumn(into, F.sum("_new").over(upto) + 1).drop("_new")
+    entry = F.struct(us, *tie, F.col(value).alias("_val"))
+    along = Window.partitionBy(*keys).orderBy(SLICE)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    per_slice = marked.groupBy(*keys, SLICE).agg(
+        F.min(entry)["_val"].alias("_first"), F.max(entry)["_val"].alias("_last"), F.sum("_new").alias("_changes")
+    )
+    opens = F.when(F.lag("_last").over(along) == F.col("_first"), 0).otherwise(1)
+    carry = per_slice.withColumn("_open", opens).select(
+        *keys,
+        SLICE,
+        (F.coalesce(F.sum(F.col("_changes") + F.col("_open")).over(before), F.lit(0)) + F.col("_open")).alias("_offset"),
+    )
+    out = _attach(marked.withColumn(into, F.sum("_new").over(upto)), carry, keys)
+    return out.withColumn(into, F.col(into) + F.col("_offset")).drop("_new", "_offset", SLICE)
+
+
 def count_within(
     df: DataFrame,
     windows: dict[str, tuple[int, int]],

@@ -187,15 +187,15 @@ def place_timeslots(
 def place_timeslots_wide(slots: DataFrame, device: str = "device", place: str = "place") -> DataFrame:
     """One row per place with a column per slot and feature; slots without records are 0."""
     names = [f"{f}{t}" for f in SLOT_FEATURES for t in ("", "_trusted")]
+    entry = F.struct(F.concat_ws("_", "slot_type", "slot").alias("key"), F.array(*names).alias("value"))
+    gathered = slots.groupBy(device, place).agg(F.map_from_entries(F.collect_list(entry)).alias("_slots"))  # at most 37 entries
     cells = [
-        F.coalesce(
-            F.max(F.when((F.col("slot_type") == kind) & (F.col("slot") == slot), F.col(n))), F.lit(0.0)
-        ).alias(f"{kind}_{slot}_{n}")
+        F.coalesce(F.get(F.col("_slots")[f"{kind}_{slot}"], F.lit(i)), F.lit(0.0)).alias(f"{kind}_{slot}_{n}")
         for kind, values in SLOTS.items()
         for slot in values
-        for n in names
+        for i, n in enumerate(names)
     ]
-    return slots.groupBy(device, place).agg(*cells)
+    return gathered.select(device, place, *cells)
 
 
 def places_with_stay(places: DataFrame) -> DataFrame:

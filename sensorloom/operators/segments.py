@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sensorloom.functions.geo import haversine_m
 from sensorloom.functions.scalars import floor_div
 from sensorloom.functions.timefn import DAY, SECOND, hour_of
-from sensorloom.operators.ordered import previous_row, row_index
+from sensorloom.operators.ordered import previous_two_rows, row_index
 
 EVENT_KEYS = ("device", "event_us")
 
@@ -56,25 +56,35 @@ def distance_speed_accel(
     lat: str = "lat",
     lon: str = "lon",
     metric=haversine_m,
-    slice_us: int = DAY,
+    slice_us: int | None = DAY,
 ) -> DataFrame:
     """Metres, km/h and km/h per second between successive fixes.
 
     First fix: distance 0, speed and acceleration NULL; a zero time gap gives NULL.
     """
-    out = previous_row(fixes, [lat, lon], keys, us, tie, slice_us, "_p")
-    gap_s = (F.col(us) - F.col(f"_p.{us}")) / F.lit(float(SECOND))
-    metres = metric(F.col(f"_p.{lat}"), F.col(f"_p.{lon}"), F.col(lat), F.col(lon))
-    out = out.withColumns(
+    steps = previous_two_rows(fixes, [lat, lon], keys, us, tie, slice_us, ("_p", "_q"))
+
+    def gap(later: str, earlier: str) -> Column:
+        return (F.col(later) - F.col(earlier)) / F.lit(float(SECOND))
+
+    def metres(a: str, b: str) -> Column:
+        return metric(F.col(f"{a}{lat}"), F.col(f"{a}{lon}"), F.col(f"{b}{lat}"), F.col(f"{b}{lon}"))
+
+    speeds = steps.withColumns(
+        {
+            "_m": metres("_p.", ""),
+            "_gap_s": gap(us, f"_p.{us}"),
+            "_before": F.try_divide(metres("_q.", "_p."), gap(f"_p.{us}", f"_q.{us}")) * 3.6,
+        }
+    )
+    speed = F.try_divide(F.col("_m"), F.col("_gap_s")) * 3.6
+    return speeds.withColumns(
         {
-            "distance_m": F.coalesce(metres, F.lit(0.0)),
-            "speed_kmh": F.try_divide(metres, gap_s) * 3.6,
-            "_gap_s": gap_s,
+            "distance_m": F.coalesce("_m", F.lit(0.0)),
+            "speed_kmh": speed,
+            "accel_kmhs": F.try_divide(speed - F.col("_before"), F.col("_gap_s")),
         }
-    ).drop("_p")
-    out = previous_row(out, ["speed_kmh"], keys, us, tie, slice_us, "_p")
-    accel = F.try_divide(F.col("speed_kmh") - F.col("_p.speed_kmh"), F.col("_gap_s"))
-    return out.withColumn("accel_kmhs", accel).drop("_p", "_gap_s")
+    ).drop("_p", "_q", "_m", "_gap_s", "_before")
 
 
 def sequence_windows(

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from sensorloom.functions.timefn import DAY, MINUTE, SECOND
-from sensorloom.operators.ordered import count_within, previous_row, running_sum
+from sensorloom.operators.ordered import count_within, run_number, running_sum
 
 
 def place_runs(
@@ -20,10 +20,7 @@ def place_runs(
     slice_us: int = DAY,
 ) -> DataFrame:
     """Add ``run`` = number of the uninterrupted run at one place (a missing place is a run of its own)."""
-    before = previous_row(rows, [place], (device,), us, tie, slice_us, "_p")
-    same = F.coalesce(F.col(f"_p.{place}") == F.col(place), F.lit(False))
-    flagged = before.withColumn("_new", F.when(same, 0).otherwise(1).cast("long")).drop("_p")
-    return running_sum(flagged, F.col("_new"), "run", (device,), us, tie, slice_us).drop("_new")
+    return run_number(rows, place, "run", (device,), us, tie, slice_us)
 
 
 def stays(
@@ -44,9 +41,14 @@ def stays(
     wanted fraction of the expected records. An end is trusted when the horizon
     before its first (after its last) record holds that fraction as well.
     """
-    runs = place_runs(rows, place, device, us, tie, slice_us)
+    runs = place_runs(rows.select(*dict.fromkeys([device, us, place, *tie])), place, device, us, tie, slice_us)
+    return _stays_of(runs, hertz, min_duration_s, min_fraction, horizon_us, place, device, us, tie, slice_us).drop("_lo", "_hi")
+
+
+def _stays_of(runs, hertz, min_duration_s, min_fraction, horizon_us, place, device, us, tie, slice_us) -> DataFrame:
+    """Stays of rows that carry a run number, with the order keys of their first and last row."""
     counted = count_within(
-        runs, {"_before": (-horizon_us, -1), "_after": (0, horizon_us - 1)}, (device,), us, slice_us
+        runs.select(*dict.fromkeys([device, us, place, *tie, "run"])), {"_before": (-horizon_us, -1), "_after": (0, horizon_us - 1)}, (device,), us, slice_us
     )
     order = F.struct(us, *tie)
     grouped = counted.groupBy(device, "run").agg(
@@ -54,9 +56,12 @@ def stays(
         F.min(us).alias("start_us"),
         F.max(us).alias("end_us"),
         F.count("*").alias("n_rows"),
-        F.min(F.struct(order.alias("_o"), "_before"))["_before"].alias("_before"),
-        F.max(F.struct(order.alias("_o"), "_after"))["_after"].alias("_after"),
+        F.min(F.struct(order.alias("_o"), "_before")).alias("_f"),
+        F.max(F.struct(order.alias("_o"), "_after")).alias("_l"),
     )
+    grouped = grouped.select(
+        "*", F.col("_f._o").alias("_lo"), F.col("_l._o").alias("_hi"), F.col("_f._before").alias("_before"), F.col("_l._after").alias("_after")
+    ).drop("_f", "_l")
     seconds = (F.col("end_us") - F.col("start_us")) / F.lit(float(SECOND))
     expected = F.floor(seconds * F.lit(hertz))
     near = math.floor(horizon_us / SECOND * hertz) * min_fraction
@@ -85,12 +90,9 @@ def stay_records(
 ) -> DataFrame:
     """All rows with stay number, first/last flags, and durations on a stay's last record."""
     runs = place_runs(rows, place, device, us, tie, slice_us)
-    found = stays(rows, hertz, min_duration_s, min_fraction, horizon_us, place, device, us, tie, slice_us)
+    found = _stays_of(runs, hertz, min_duration_s, min_fraction, horizon_us, place, device, us, tie, slice_us)
     order = F.struct(us, *tie)
-    edges = runs.groupBy(device, "run").agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    info = found.select(device, "run", "stay_no", "duration_s", "start_trusted", "end_trusted").join(
-        edges, [device, "run"]
-    )
+    info = found.select(device, "run", "stay_no", "duration_s", "start_trusted", "end_trusted", "_lo", "_hi")
     joined = runs.join(info, [device, "run"], "left")
     in_stay = F.col("stay_no").isNotNull()
     first, last = in_stay & (order == F.col("_lo")), in_stay & (order == F.col("_hi"))

@@ -38,7 +38,8 @@ def _closure(name: str, edges: str) -> str:
     ),
 )
 def _haversine_pairs(spark, d):
-    return rounded(rounded(geogrid.haversine_pairs(v.gps(spark, d), 1.0), 8), 6, ("lat_a", "lon_a", "lat_b", "lon_b"), NUDGE)
+    out = geogrid.haversine_pairs(v.gps(spark, d), 1.0)
+    return rounded(out.withColumn("km", F.round(F.col("km") + NUDGE, 6)), 8)
 
 
 @query("place_clusters")
