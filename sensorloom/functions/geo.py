@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 EARTH_RADIUS_KM = 6371.0
@@ -26,51 +28,90 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return haversine_km(lat1, lon1, lat2, lon2) * 1000.0
 
 
-def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, iterations: int = 12) -> Column:
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``then`` (a one-element transform)."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, iterations: int = 8) -> Column:
     """Ellipsoidal distance in metres by Vincenty's inverse formula (1975).
 
     The fixed-point iteration on the longitude difference runs inside one
     ``aggregate`` over a short sequence, so no Python and no plan blow-up.
-    Nearly antipodal points do not converge and are outside its use here.
+    Each round shrinks the error by about the flattening, so eight rounds reach
+    double precision. Nearly antipodal points do not converge and are outside its use here.
     """
-    u1 = F.atan(F.lit(1 - WGS84_F) * F.tan(F.radians(lat1)))
-    u2 = F.atan(F.lit(1 - WGS84_F) * F.tan(F.radians(lat2)))
-    dlon = F.radians(lon2 - lon1)
-    sin1, cos1, sin2, cos2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
-
-    def angles(lam: Column) -> tuple[Column, Column, Column, Column, Column]:
-        sin_sigma = F.sqrt(
-            F.pow(cos2 * F.sin(lam), F.lit(2)) + F.pow(cos1 * sin2 - sin1 * cos2 * F.cos(lam), F.lit(2))
-        )
-        cos_sigma = sin1 * sin2 + cos1 * cos2 * F.cos(lam)
-        sigma = F.atan2(sin_sigma, cos_sigma)
-        sin_alpha = F.coalesce(F.try_divide(cos1 * cos2 * F.sin(lam), sin_sigma), F.lit(0.0))
-        cos2_alpha = F.lit(1.0) - sin_alpha * sin_alpha
-        cos_2m = cos_sigma - F.coalesce(F.try_divide(2 * sin1 * sin2, cos2_alpha), F.lit(0.0))
-        return sin_sigma, cos_sigma, sigma, cos2_alpha, cos_2m
-
-    def step(lam: Column, _: Column) -> Column:
-        sin_sigma, cos_sigma, sigma, cos2_alpha, cos_2m = angles(lam)
-        sin_alpha = F.coalesce(F.try_divide(cos1 * cos2 * F.sin(lam), sin_sigma), F.lit(0.0))
-        c = F.lit(WGS84_F / 16) * cos2_alpha * (4 + WGS84_F * (4 - 3 * cos2_alpha))
-        return dlon + (1 - c) * WGS84_F * sin_alpha * (
-            sigma + c * sin_sigma * (cos_2m + c * cos_sigma * (2 * cos_2m * cos_2m - 1))
-        )
-
-    def finish(lam: Column) -> Column:
-        sin_sigma, cos_sigma, sigma, cos2_alpha, cos_2m = angles(lam)
-        usq = cos2_alpha * ((WGS84_A**2 - WGS84_B**2) / WGS84_B**2)
-        big_a = 1 + usq / 16384 * (4096 + usq * (-768 + usq * (320 - 175 * usq)))
-        big_b = usq / 1024 * (256 + usq * (-128 + usq * (74 - 47 * usq)))
-        delta = big_b * sin_sigma * (
-            cos_2m
-            + big_b
-            / 4
-            * (
-                cos_sigma * (2 * cos_2m * cos_2m - 1)
-                - big_b / 6 * cos_2m * (4 * sin_sigma * sin_sigma - 3) * (4 * cos_2m * cos_2m - 3)
+
+    def reduced(lat: Column) -> Column:
+        return F.atan(F.lit(1 - WGS84_F) * F.tan(F.radians(lat)))
+
+    ends = F.struct(
+        F.sin(reduced(lat1)).alias("s1"),
+        F.cos(reduced(lat1)).alias("c1"),
+        F.sin(reduced(lat2)).alias("s2"),
+        F.cos(reduced(lat2)).alias("c2"),
+        F.radians(lon2 - lon1).alias("l"),
+    )
+
+    def angles(e: Column, lam: Column, then: Callable[[Column], Column]) -> Column:
+        """Evaluate the auxiliary angles for ``lam`` step by step, each once."""
+
+        def trig(t: Column) -> Column:
+            across = F.hypot(e["c2"] * t["sl"], e["c1"] * e["s2"] - e["s1"] * e["c2"] * t["cl"])
+            along = e["s1"] * e["s2"] + e["c1"] * e["c2"] * t["cl"]
+            return _let(F.struct(across.alias("ss"), along.alias("cs"), (e["c1"] * e["c2"] * t["sl"]).alias("x")), azimuth)
+
+        def azimuth(t: Column) -> Column:
+            sin_alpha = F.coalesce(F.try_divide(t["x"], t["ss"]), F.lit(0.0))
+            return _let(
+                F.struct(t["ss"].alias("ss"), t["cs"].alias("cs"), F.atan2(t["ss"], t["cs"]).alias("sg"), sin_alpha.alias("sa")), middle
             )
-        )
-        return WGS84_B * big_a * (sigma - delta)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), dlon, step, finish)
+        def middle(t: Column) -> Column:
+            c2a = F.lit(1.0) - t["sa"] * t["sa"]
+            return _let(
+                F.struct(
+                    t["ss"].alias("ss"), t["cs"].alias("cs"), t["sg"].alias("sg"), t["sa"].alias("sa"), c2a.alias("c2a"),
+                    (t["cs"] - F.coalesce(F.try_divide(2 * e["s1"] * e["s2"], c2a), F.lit(0.0))).alias("cm"),
+                ),
+                then,
+            )
+
+        return _let(F.struct(F.sin(lam).alias("sl"), F.cos(lam).alias("cl")), trig)
+
+    def step(e: Column, lam: Column) -> Column:
+        def update(t: Column) -> Column:
+            return _let(
+                F.lit(WGS84_F / 16) * t["c2a"] * (4 + WGS84_F * (4 - 3 * t["c2a"])),
+                lambda c: e["l"]
+                + (1 - c) * WGS84_F * t["sa"] * (t["sg"] + c * t["ss"] * (t["cm"] + c * t["cs"] * (2 * t["cm"] * t["cm"] - 1))),
+            )
+
+        return angles(e, lam, update)
+
+    def finish(e: Column, lam: Column) -> Column:
+        def scale(t: Column) -> Column:
+            return _let(t["c2a"] * ((WGS84_A**2 - WGS84_B**2) / WGS84_B**2), lambda u: length(t, u))
+
+        def length(t: Column, u: Column) -> Column:
+            big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+            big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+            cm2 = t["cm"] * t["cm"]
+            return _let(
+                big_b,
+                lambda b: WGS84_B
+                * big_a
+                * (
+                    t["sg"]
+                    - b * t["ss"] * (t["cm"] + b / 4 * (t["cs"] * (2 * cm2 - 1) - b / 6 * t["cm"] * (4 * t["ss"] * t["ss"] - 3) * (4 * cm2 - 3)))
+                ),
+            )
+
+        return angles(e, lam, scale)
+
+    return _let(
+        ends,
+        lambda e: F.aggregate(
+            F.sequence(F.lit(1), F.lit(iterations)), e["l"], lambda lam, _: step(e, lam), lambda lam: finish(e, lam)
+        ),
+    )

@@ -21,13 +21,13 @@ def _band(lat: Column, radius_km: float) -> Column:
 
 
 def _cells_around(band: Column, radius_km: float) -> Column:
-    """Number of equal longitude cells of a band, each at least ``radius_km`` wide for its neighbours too."""
-    height = radius_km / KM_PER_DEGREE
-    edge = F.least((F.greatest(F.abs(band), F.abs(band + 1)) + 1) * height, F.lit(90.0))
-    half_angle = F.lit(math.sin(radius_km / (2 * EARTH_RADIUS_KM)))
-    need = F.degrees(2 * F.asin(F.least(F.try_divide(half_angle, F.cos(F.radians(edge))), F.lit(1.0))))
-    width = F.when(need.isNull() | (need <= 0), F.lit(360.0)).otherwise(need * (1 + 1e-9))
-    return F.greatest(F.floor(F.lit(360.0) / width), F.lit(1))
+    """Number of equal longitude cells of a band, each at least ``radius_km`` wide for its neighbours too.
+
+    Kept short on purpose: the expression is inlined several times into generated code.
+    """
+    edge = F.least((F.abs(band + 0.5) + 1.5) * F.lit(radius_km / KM_PER_DEGREE), F.lit(90.0))
+    half_angle = F.lit(math.sin(radius_km / (2 * EARTH_RADIUS_KM)) * (1 + 1e-9))
+    return F.floor(F.lit(180.0) / F.degrees(F.asin(F.least(half_angle / F.cos(F.radians(edge)), F.lit(1.0)))))
 
 
 def _cell(lon: Column, cells: Column) -> Column:
@@ -35,22 +35,6 @@ def _cell(lon: Column, cells: Column) -> Column:
     return F.pmod(F.floor((lon + 180.0) * cells / 360.0), cells)
 
 
-def near_cells(lat: Column, lon: Column, radius_km: float) -> Column:
-    """Array of the (band, cell) pairs that can hold points within the radius."""
-    home = _band(lat, radius_km)
-
-    def of_band(step: Column) -> Column:
-        band = home + step
-        cells = _cells_around(band, radius_km)
-        width = F.lit(360.0) / cells
-        return F.transform(
-            F.array_distinct(F.array(_cell(lon - width, cells), _cell(lon, cells), _cell(lon + width, cells))),
-            lambda c: F.struct(band.alias("band"), c.alias("cell")),
-        )
-
-    return F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), of_band))
-
-
 def home_cell(lat: Column, lon: Column, radius_km: float) -> tuple[Column, Column]:
     band = _band(lat, radius_km)
     return band, _cell(lon, _cells_around(band, radius_km))
@@ -63,10 +47,13 @@ def candidate_pairs(df: DataFrame, keys: Sequence[str], id_column: str, radius_k
     copied to the at most nine cells around it.
     """
     whole = F.struct(*df.columns)
+    lon = F.col("b.lon")
     band, cell = home_cell(F.col("lat"), F.col("lon"), radius_km)
     home = df.select(*keys, band.alias("_band"), cell.alias("_cell"), whole.alias("a"))
-    around = df.select(*keys, whole.alias("b"), F.explode(near_cells(F.col("lat"), F.col("lon"), radius_km)).alias("_near"))
-    around = around.select(*keys, "b", F.col("_near.band").alias("_band"), F.col("_near.cell").alias("_cell"))
+    bands = df.select(*keys, whole.alias("b"), F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
+    sized = bands.withColumn("_n", _cells_around(F.col("_band"), radius_km)).withColumn("_w", F.lit(360.0) / F.col("_n"))
+    cells = F.array_distinct(F.array(*[_cell(at, F.col("_n")) for at in (lon - F.col("_w"), lon, lon + F.col("_w"))]))
+    around = sized.select(*keys, "b", "_band", F.explode(cells).alias("_cell"))
     pairs = home.join(around, [*keys, "_band", "_cell"])
     return pairs.filter(F.col(f"a.{id_column}") < F.col(f"b.{id_column}")).drop("_band", "_cell")
 

@@ -278,20 +278,12 @@ def kmeans_k_sweep(
         nearest = F.array_min(F.transform("_cs", lambda c: F.struct(square(c).alias("d"), c["c"].alias("c"))))
         return points.join(listed(current), device).withColumn("c", nearest["c"]).drop("_cs")
 
-    for _ in range(iterations):
-        moved = assign(centres).groupBy(device, "k", "c").agg(
+    for i in range(iterations):
+        centres = assign(centres).groupBy(device, "k", "c").agg(
             (F.sum(F.col("lat") * F.col("w")) / F.sum("w")).alias("_lat"), (F.sum(F.col("lon") * F.col("w")) / F.sum("w")).alias("_lon")
-        )
-        renewed = materialize(
-            centres.join(moved, [device, "k", "c"], "left").select(
-                device, "k", "c", F.coalesce("_lat", "lat").alias("lat"), F.coalesce("_lon", "lon").alias("lon"),
-                ((F.col("_lat") != F.col("lat")) | (F.col("_lon") != F.col("lon"))).alias("_moved"),
-            ),
-            "centres",
-        )
-        centres = renewed.drop("_moved")
-        if renewed.filter("_moved").isEmpty():
-            break
+        ).withColumnsRenamed({"_lat": "lat", "_lon": "lon"})
+        if i % 4 == 3:  # rounds form one chain; cut it before it grows long
+            centres = materialize(centres, "centres")
 
     members = assign(centres)
     w = F.col("w")
