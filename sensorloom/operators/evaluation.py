@@ -41,11 +41,11 @@ def classification_metrics(
     weight = F.col("support").cast("double") if average == "weighted" else F.lit(1.0)
 
     def mean(value: Column) -> Column:
-        return F.sum(value * weight) / F.sum(weight)
+        return ratio(F.sum(value * weight), F.sum(weight))
 
     return cells.groupBy(*by).agg(
         F.sum("support").alias("n_rows"),
-        (F.sum("hits") / F.sum("support")).alias("accuracy"),
+        ratio(F.sum("hits"), F.sum("support")).alias("accuracy"),
         F.avg(F.when(F.col("support") > 0, recall)).alias("balanced_accuracy"),
         mean(f1).alias("f1"),
         mean(precision).alias("precision"),
@@ -113,7 +113,7 @@ def log_factorial(x: Column) -> Column:
     y = x + 9.0
     series = (
         (y + 0.5) * F.ln(y) - y + F.lit(0.9189385332046727) + F.lit(1 / 12) / y - F.lit(1 / 360) / F.pow(y, F.lit(3))
-        + F.lit(1 / 1260) / F.pow(y, F.lit(5))
+        + F.lit(1 / 1260) / F.pow(y, F.lit(5)) - F.lit(1 / 1680) / F.pow(y, F.lit(7))
     )
     return reduce(lambda acc, i: acc - F.ln(x + float(i)), range(1, 10), series)
 
