@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.functions.scalars import ratio
-from sensorloom.functions.timefn import DAY, MINUTE, SECOND
-from sensorloom.operators.ordered import sides_unbounded, sides_within
+from sensorloom.functions.timefn import MINUTE, SECOND
+from sensorloom.session import materialize
+from sensorloom.operators.ordered import SLICE_US, sides_unbounded, sides_within
 
 
 def _closest(us: Column, lower: int, upper: int) -> Column:
@@ -29,7 +30,7 @@ def asof_nearest(
     us: str = "us",
     tie: Sequence[str] = (),
     prefix: str = "",
-    slice_us: int = DAY,
+    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """Each left row with the payload of the nearest right row in ``[us - before, us + after]``.
 
@@ -54,16 +55,18 @@ def asof_nearest_merge(
     us: str = "us",
     event_us: str = "event_us",
     tie: Sequence[str] = (),
-    slice_us: int = DAY,
+    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """Full-outer nearest merge within a tolerance.
 
     Right rows whose time was not taken by any left row are appended with their
-    own time, key and event time. Both branches share one shuffle by
-    (keys, slice) where the planner can reuse it.
+    own time, key and event time. The matches feed both the result and the search for
+    unmatched rows, so they are written once; a fold over many sensors stays linear.
     """
     carried = [*payload, event_us]
-    matched = asof_nearest(left, right, carried, tolerance, tolerance, keys, us, tie, "_m_", slice_us)
+    matched = materialize(
+        asof_nearest(left, right, carried, tolerance, tolerance, keys, us, tie, "_m_", slice_us), "merged"
+    )
     head = [c for c in left.columns if c != event_us]
     main = matched.select(
         *head,
@@ -92,7 +95,7 @@ def asof_multi_sensor_merge(
     tolerance: int,
     keys: Sequence[str] = ("device",),
     tie: Sequence[str] = (),
-    slice_us: int = DAY,
+    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """Fold several sensors ``(prefix, frame, payload)`` into one series by full-outer nearest merges."""
     out = base
@@ -110,7 +113,7 @@ def asof_backward(
     us: str = "us",
     tie: Sequence[str] = (),
     prefix: str = "",
-    slice_us: int = DAY,
+    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """Each left row with the last right row of the same key at most ``tolerance`` earlier."""
     return asof_nearest(left, right, payload, tolerance, 0, keys, us, tie, prefix, slice_us)
@@ -123,7 +126,7 @@ def session_bounds(
     device: str = "device",
     event_us: str = "event_us",
     answer_us: str | None = None,
-    slice_us: int = DAY,
+    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """Last unlock at/before and first unlock at/after each event, and the seconds between them.
 
@@ -202,7 +205,7 @@ def nearest_static_period(
     threshold: int,
     device: str = "device",
     us: str = "us",
-    slice_us: int = DAY,
+    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """Signed minutes to the nearest static-period start (start - ts) and end (ts - end).
 

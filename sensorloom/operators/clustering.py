@@ -44,6 +44,7 @@ def _agglomerate(pairs: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     a missing pair means a distance beyond the radius.
     """
     roots: DataFrame | None = None
+    rounds: list[DataFrame] = []
     while not pairs.isEmpty():
         both = pairs.unionByName(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "d"))
         nearest = both.groupBy(*keys, "a").agg(F.min(F.struct("d", "b"))["b"].alias("b"))
@@ -70,13 +71,24 @@ def _agglomerate(pairs: DataFrame, keys: Sequence[str]) -> DataFrame | None:
             .drop("_found", "_parts"),
             "pairs",
         )
+        rounds.append(merged)
+        if len(rounds) == 8:
+            roots, rounds = materialize(_follow(roots, rounds, keys), "roots"), []
+    if rounds:
+        roots = materialize(_follow(roots, rounds, keys), "roots")
+    return roots
+
+
+def _follow(roots: DataFrame | None, rounds: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Carry the roots through further rounds of merges."""
+    for merged in rounds:
         step = merged.select(*keys, "id", F.col("keep").alias("root"))
         if roots is None:
             roots = step
-        else:
-            onward = merged.select(*keys, F.col("id").alias("root"), F.col("keep").alias("_to"))
-            roots = roots.join(onward, [*keys, "root"], "left").select(*keys, "id", F.coalesce("_to", "root").alias("root"))
-            roots = materialize(roots.unionByName(step), "roots")
+            continue
+        onward = merged.select(*keys, F.col("id").alias("root"), F.col("keep").alias("_to"))
+        moved = roots.join(onward, [*keys, "root"], "left").select(*keys, "id", F.coalesce("_to", "root").alias("root"))
+        roots = moved.unionByName(step)
     return roots
 
 

@@ -8,8 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sensorloom.functions.scalars import ratio
-from sensorloom.functions.timefn import DAY
-from sensorloom.operators.ordered import previous_row, row_index, running_sum
+from sensorloom.operators.ordered import SLICE_US, previous_row, row_index, running_sum
 from sensorloom.operators.quantiles import DIRECT_ROWS, exact_percentile, exact_percentiles, groups_are_small
 
 SEGMENT_KEYS = ("device", "event_us", "segment")
@@ -62,7 +61,7 @@ def segment_fft(
     keys: Sequence[str] = SEGMENT_KEYS,
     us: str = "us",
     tie: Sequence[str] = (),
-    slice_us: int = DAY,
+    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """Magnitudes of the first Fourier coefficients: ``keys, column, k, fft_abs, n_rows``.
 
@@ -122,7 +121,7 @@ def segment_features_ext(
     keys: Sequence[str] = SEGMENT_KEYS,
     us: str = "us",
     tie: Sequence[str] = (),
-    slice_us: int = DAY,
+    slice_us: int = SLICE_US,
     direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Further whole-segment statistics of one axis.

@@ -110,12 +110,14 @@ def drop_null_columns(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if counts[c] > 0])
 
 
+def in_label_segment(length_us: int, segment_us: int, us: str = "us", event_us: str = "event_us") -> Column:
+    half = length_us // 2
+    return (F.col(us) >= F.col(event_us) - half) & (F.col(us) <= F.col(event_us) + half - segment_us)
+
+
 def label_segment_filter(df: DataFrame, length_us: int, segment_us: int, us: str = "us", event_us: str = "event_us") -> DataFrame:
     """Keep rows whose whole feature segment lies inside ±length/2 of the event."""
-    half = length_us // 2
-    return df.filter(
-        (F.col(us) >= F.col(event_us) - half) & (F.col(us) <= F.col(event_us) + half - segment_us)
-    )
+    return df.filter(in_label_segment(length_us, segment_us, us, event_us))
 
 
 def label_segment_sweep(
@@ -180,22 +182,42 @@ def sensor_coverage_filter(
 
 
 def cleaning_funnel(
-    steps: Sequence[tuple[str, DataFrame]], device: str = "device", event_keys: Sequence[str] = ("device", "event_us")
+    df: DataFrame,
+    steps: Sequence[tuple[str, Column]],
+    device: str = "device",
+    event_keys: Sequence[str] = ("device", "event_us"),
+    start: str = "start",
 ) -> DataFrame:
-    """Participants, events, samples and columns after each cleaning step."""
-    parts = [
-        frame.agg(
-            F.count_distinct(device).alias("n_participants"),
-            F.count_distinct(F.struct(*event_keys)).alias("n_events"),
-            F.count("*").alias("n_samples"),
-        ).select(
+    """Participants, events, samples and columns at the start and after each cleaning condition.
+
+    One pass: a row's level is the number of conditions it passes in order; rows are
+    counted per event and level, events per participant, and only then per step.
+    """
+    level = F.lit(0)
+    for _, condition in reversed(steps):
+        level = F.when(condition, level + 1).otherwise(0)
+    numbers = range(len(steps) + 1)
+    per_event = df.groupBy(device, *[k for k in event_keys if k != device]).agg(
+        *[F.count(F.when(level >= i, 1)).alias(f"s{i}") for i in numbers]
+    )
+    per_device = per_event.groupBy(device).agg(
+        *[F.sum(f"s{i}").alias(f"s{i}") for i in numbers],
+        *[F.count(F.when(F.col(f"s{i}") > 0, 1)).alias(f"e{i}") for i in numbers],
+    )
+    total = per_device.agg(
+        *[F.sum(f"s{i}").alias(f"s{i}") for i in numbers],
+        *[F.sum(f"e{i}").alias(f"e{i}") for i in numbers],
+        *[F.count(F.when(F.col(f"s{i}") > 0, 1)).alias(f"p{i}") for i in numbers],
+    )
+    cells = [
+        F.struct(
             F.lit(i).cast("long").alias("step_no"),
             F.lit(name).alias("step"),
-            "n_participants",
-            "n_events",
-            "n_samples",
-            F.lit(len(frame.columns)).cast("long").alias("n_columns"),
+            F.col(f"p{i}").alias("n_participants"),
+            F.coalesce(f"e{i}", F.lit(0)).alias("n_events"),
+            F.coalesce(f"s{i}", F.lit(0)).alias("n_samples"),
+            F.lit(len(df.columns)).cast("long").alias("n_columns"),
         )
-        for i, (name, frame) in enumerate(steps)
+        for i, name in enumerate([start, *[n for n, _ in steps]])
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return total.select(F.inline(F.array(*cells)))

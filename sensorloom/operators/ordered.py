@@ -21,10 +21,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.functions.scalars import floor_div
-from sensorloom.functions.timefn import DAY, MINUTE
+from sensorloom.functions.timefn import DAY, HOUR, MINUTE
 
 SLICE = "_slice"
 
+# Default slice: at sensor rates an hour holds tens of thousands of rows, and a device that
+# owns a third of all data still spreads over thousands of tasks. ``choose_slice`` measures instead.
+SLICE_US = HOUR
+
 
 def choose_slice(
     df: DataFrame, keys: Sequence[str] = ("device",), us: str = "us", target_rows: int = 2_000_000, finest: int = MINUTE
@@ -51,11 +55,11 @@ def choose_slice(
     return widths[level or 0]
 
 
-def with_slice(df: DataFrame, us: str = "us", slice_us: int = DAY) -> DataFrame:
+def with_slice(df: DataFrame, us: str = "us", slice_us: int = SLICE_US) -> DataFrame:
     return df.withColumn(SLICE, floor_div(F.col(us), slice_us))
 
 
-def with_halo(df: DataFrame, before: int, after: int, us: str = "us", slice_us: int = DAY) -> DataFrame:
+def with_halo(df: DataFrame, before: int, after: int, us: str = "us", slice_us: int = SLICE_US) -> DataFrame:
     """Copy each row to every slice it can be seen from.
 
     ``before`` / ``after``: how far a reader looks back / ahead. The copy in the
@@ -100,7 +104,7 @@ def previous_row(
     keys: Sequence[str] = ("device",),
     us: str = "us",
     tie: Sequence[str] = (),
-    slice_us: int | None = DAY,
+    slice_us: int | None = SLICE_US,
     into: str = "_prev",
 ) -> DataFrame:
     """Add ``into`` = struct of time and ``columns`` of the preceding row of the key (NULL at the first).
@@ -124,7 +128,7 @@ def previous_two_rows(
     keys: Sequence[str] = ("device",),
     us: str = "us",
     tie: Sequence[str] = (),
-    slice_us: int | None = DAY,
+    slice_us: int | None = SLICE_US,
     into: tuple[str, str] = ("_prev1", "_prev2"),
 ) -> DataFrame:
     """Add the structs of the preceding row and of the one before it, in a single scan."""
@@ -162,7 +166,7 @@ def running_sum(
     keys: Sequence[str] = ("device",),
     us: str = "us",
     tie: Sequence[str] = (),
-    slice_us: int | None = DAY,
+    slice_us: int | None = SLICE_US,
 ) -> DataFrame:
     """Add ``into`` = inclusive running sum of a LONG ``value`` along the key's timeline."""
     if slice_us is None:
@@ -182,7 +186,7 @@ def row_index(
     keys: Sequence[str] = ("device",),
     us: str = "us",
     tie: Sequence[str] = (),
-    slice_us: int | None = DAY,
+    slice_us: int | None = SLICE_US,
 ) -> DataFrame:
     """Add ``into`` = 0-based position of the row on the key's timeline."""
     return running_sum(df, F.lit(1).cast("long"), into, keys, us, tie, slice_us).withColumn(into, F.col(into) - 1)
@@ -195,7 +199,7 @@ def run_number(
     keys: Sequence[str] = ("device",),
     us: str = "us",
     tie: Sequence[str] = (),
-    slice_us: int | None = DAY,
+    slice_us: int | None = SLICE_US,
 ) -> DataFrame:
     """Add ``into`` = number of the uninterrupted run of equal values (each NULL is a run of its own).
 
@@ -232,7 +236,7 @@ def count_within(
     windows: dict[str, tuple[int, int]],
     keys: Sequence[str] = ("device",),
     us: str = "us",
-    slice_us: int = DAY,
+    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """Add, per name, the number of rows of the key in ``[us + lo, us + hi]`` (micros, inclusive).
 
@@ -242,6 +246,7 @@ def count_within(
     """
     before = max(0, *[-lo for lo, _ in windows.values()])
     after = max(0, *[hi for _, hi in windows.values()])
+    slice_us = max(slice_us, before, after)
     halo = with_halo(df, before, after, us, slice_us)
     base = Window.partitionBy(*keys, SLICE).orderBy(us)
 
@@ -294,7 +299,7 @@ def sides_within(
     keys: Sequence[str] = ("device",),
     us: str = "us",
     tie: Sequence[str] = (),
-    slice_us: int = DAY,
+    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """Left rows with ``_prev`` / ``_next``: the closest right rows inside ``[us - before, us + after]``.
 
@@ -318,7 +323,7 @@ def sides_unbounded(
     keys: Sequence[str] = ("device",),
     us: str = "us",
     tie: Sequence[str] = (),
-    slice_us: int = DAY,
+    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """Left rows with the last right row at/before and the first at/after, however far away."""
     left_rows, right_rows = _stacked(left, right, payload, keys, us, tie)

@@ -402,6 +402,7 @@ def classify_frequent_places(
 
 # --- named locations --------------------------------------------------------------------------
 
+# Class names of the questionnaire (fixed values).
 HOME, HOME_2, OFFICE = "at home", "at home 2", "in the office"
 
 

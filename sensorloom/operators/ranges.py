@@ -86,11 +86,16 @@ def first_complete_source(
 
 
 def interval_lookup(
-    rows: DataFrame, intervals: DataFrame, columns: Sequence[str] = (), us: str = "us", bucket_us: int = 6 * 3_600_000_000
+    rows: DataFrame,
+    intervals: DataFrame,
+    columns: Sequence[str] = (),
+    us: str = "us",
+    bucket_us: int = 3_600_000_000,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Rows inside an interval with ``_hit`` = struct of the covering interval of highest ``priority``.
 
-    ``intervals(start_us, end_us, priority, …)``, bounds inclusive. Intervals are
+    ``intervals(keys, start_us, end_us, priority, …)``, bounds inclusive. Intervals are
     gathered per time bucket (a bucket holds only the intervals that touch it), so
     a row meets one array and is never multiplied.
     """
@@ -99,11 +104,11 @@ def interval_lookup(
         F.explode(F.sequence(floor_div(F.col("start_us"), bucket_us), floor_div(F.col("end_us"), bucket_us))),
     )
     entry = F.struct("priority", "start_us", "end_us", *columns)
-    per_bucket = spread.groupBy("_bucket").agg(F.sort_array(F.collect_list(entry), asc=False).alias("_cover"))
+    per_bucket = spread.groupBy(*keys, "_bucket").agg(F.sort_array(F.collect_list(entry), asc=False).alias("_cover"))
     hit = F.filter("_cover", lambda i: (F.col(us) >= i["start_us"]) & (F.col(us) <= i["end_us"]))
     return (
         rows.withColumn("_bucket", floor_div(F.col(us), bucket_us))
-        .join(per_bucket, "_bucket")
+        .join(per_bucket, [*keys, "_bucket"])
         .withColumn("_hit", F.get(hit, F.lit(0)))
         .filter(F.col("_hit").isNotNull())
         .drop("_cover", "_bucket")

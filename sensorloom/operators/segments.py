@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sensorloom.functions.geo import haversine_m
 from sensorloom.functions.scalars import floor_div
 from sensorloom.functions.timefn import DAY, SECOND, hour_of
-from sensorloom.operators.ordered import previous_two_rows, row_index
+from sensorloom.operators.ordered import SLICE_US, previous_two_rows, row_index
 
 EVENT_KEYS = ("device", "event_us")
 
@@ -56,7 +56,7 @@ def distance_speed_accel(
     lat: str = "lat",
     lon: str = "lon",
     metric=haversine_m,
-    slice_us: int | None = DAY,
+    slice_us: int | None = SLICE_US,
 ) -> DataFrame:
     """Metres, km/h and km/h per second between successive fixes.
 
@@ -97,7 +97,7 @@ def sequence_windows(
     us: str = "us",
     tie: Sequence[str] = (),
     include_last: bool = False,
-    slice_us: int = DAY,
+    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """Fixed-length sequences of ``length`` rows starting every ``step`` rows, with the majority label.
 

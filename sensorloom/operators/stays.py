@@ -7,8 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from sensorloom.functions.timefn import DAY, MINUTE, SECOND
-from sensorloom.operators.ordered import count_within, run_number, running_sum
+from sensorloom.functions.timefn import MINUTE, SECOND
+from sensorloom.operators.ordered import SLICE_US, count_within, run_number, running_sum
 
 
 def place_runs(
@@ -17,7 +17,7 @@ def place_runs(
     device: str = "device",
     us: str = "us",
     tie: Sequence[str] = (),
-    slice_us: int = DAY,
+    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """Add ``run`` = number of the uninterrupted run at one place (a missing place is a run of its own)."""
     return run_number(rows, place, "run", (device,), us, tie, slice_us)
@@ -33,7 +33,7 @@ def stays(
     device: str = "device",
     us: str = "us",
     tie: Sequence[str] = (),
-    slice_us: int = DAY,
+    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """One row per stay: run, place, bounds, duration, trust of both ends and the stay number.
 
@@ -86,7 +86,7 @@ def stay_records(
     device: str = "device",
     us: str = "us",
     tie: Sequence[str] = (),
-    slice_us: int = DAY,
+    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """All rows with stay number, first/last flags, and durations on a stay's last record."""
     runs = place_runs(rows, place, device, us, tie, slice_us)

@@ -11,6 +11,7 @@ from sensorloom.plans.q_sources import joined
 from sensorloom.plans.q_windows import MOVE_SQL, movement, segment_rows, segment_sql
 from sensorloom.plans.registry import query
 from sensorloom.plans.views import sql_with
+from sensorloom.session import materialize
 
 _AXES = ["dv0", "dv1", "dv2"]
 _STATS = ["maximum", "minimum", "mean", "median", "standard_deviation", "root_mean_square"]
@@ -100,7 +101,8 @@ def _dominant_frequency(spark, d):
     ),
 )
 def _gps_segment_features(spark, d):
-    return rounded(features.gps_segment_features(segments.tumbling_segments(movement(spark, d), DAY, 1)))
+    moves = materialize(movement(spark, d), "moves")
+    return rounded(features.gps_segment_features(materialize(segments.tumbling_segments(moves, DAY, 1), "segments")))
 
 
 _EXT_SQL = """x0 AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER p AS n, avg(dv0) OVER p AS mu, max(dv0) OVER p AS mx, min(dv0) OVER p AS mn,

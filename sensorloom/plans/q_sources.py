@@ -543,13 +543,12 @@ def _sensor_coverage_filter(spark, d):
     ),
 )
 def _cleaning_funnel(spark, d):
-    base = joined(spark, d, 12)
-    accurate = filters.gps_accuracy_filter(base, 100)
-    classes = filters.keep_classes(accurate, ["c0", "c1"])
-    segment = filters.label_segment_filter(classes, 12 * HOUR, HOUR)
-    return filters.cleaning_funnel(
-        [("joined", base), ("accurate", accurate), ("classes", classes), ("segment", segment)]
-    )
+    steps = [
+        ("accurate", F.col("accuracy") <= 100),
+        ("classes", F.col("label").isin("c0", "c1")),
+        ("segment", filters.in_label_segment(12 * HOUR, HOUR)),
+    ]
+    return filters.cleaning_funnel(joined(spark, d, 12), steps, start="joined")
 
 
 __all__ = ["joined", "sql_joined", "MINUTE"]

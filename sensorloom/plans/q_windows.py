@@ -10,6 +10,7 @@ from sensorloom.plans import views as v
 from sensorloom.plans.q_sources import joined, sql_joined
 from sensorloom.plans.registry import query
 from sensorloom.plans.views import sql_haversine_m, sql_with
+from sensorloom.session import materialize
 
 _SEG = """bounds AS (SELECT device, event_us, min(us) AS t0, max(us) AS t1 FROM j GROUP BY ALL),
   placed AS (SELECT j.*, (j.us - t0) // 86400000000 AS segment FROM j JOIN bounds USING (device, event_us)
@@ -23,7 +24,9 @@ def segment_sql() -> str:
 
 
 def segment_rows(spark, d):
-    return segments.tumbling_segments(joined(spark, d, 72), DAY, 1)
+    """The event windows and the kept segment rows are written: later steps read both several times."""
+    windows = materialize(joined(spark, d, 72), "windows")
+    return materialize(segments.tumbling_segments(windows, DAY, 1), "segments")
 
 
 @query(
@@ -165,7 +168,8 @@ STAY_SQL = """p0 AS (SELECT *, CASE WHEN lag(place) OVER w = place THEN 0 ELSE 1
 
 
 def stay_rows(spark, d):
-    return stays.stay_records(v.place_series(spark, d), **STAY_ARGS)
+    """Stay records, written once: the place features read them several times."""
+    return materialize(stays.stay_records(v.place_series(spark, d), **STAY_ARGS), "stays")
 
 
 @query(
@@ -191,7 +195,7 @@ def _stays(spark, d):
 )
 def _stay_records(spark, d):
     return (
-        stay_rows(spark, d)
+        stays.stay_records(v.place_series(spark, d), **STAY_ARGS)
         .drop("lat", "lon", "k", "accuracy", "chunk")
         .withColumns({c: F.round(c, 6) for c in ("stay_s", "stay_s_trusted")})
     )

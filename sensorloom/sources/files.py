@@ -62,17 +62,14 @@ def read_ragged_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame
     return spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").csv(path)
 
 
-def write_partitioned(
-    df: DataFrame, path: str, by: str = "device", spread_on: str = "us", files_per_key: int = 1, max_rows: int = 5_000_000
-) -> None:
+def write_partitioned(df: DataFrame, path: str, by: str = "device", max_rows: int = 5_000_000) -> None:
     """Parquet with one folder per key.
 
-    A key's rows go to ``files_per_key`` tasks, chosen by a hash of ``spread_on``,
-    so that a dominant key is not written by a single task.
+    The rebalance hint brings a key's rows together but lets adaptive execution
+    split a key that is too large for one task.
     """
-    spread = F.pmod(F.xxhash64(spread_on), F.lit(files_per_key))
     (
-        df.repartition(F.col(by), spread)
+        df.hint("rebalance", by)
         .write.mode("overwrite")
         .option("maxRecordsPerFile", max_rows)
         .partitionBy(by)

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructType
 
-from sensorloom.operators.ordered import row_index
-from sensorloom.functions.timefn import DAY
+from sensorloom.operators.ordered import choose_slice, row_index
+from sensorloom.functions.timefn import SECOND
 
 
 def sensor_prefix(sensor: str) -> str:
@@ -44,12 +44,14 @@ def json_expand_discovered(df: DataFrame, sensor: str, payload: str = "payload")
 
 
 def json_pack(
-    df: DataFrame, fields: Sequence[str], device: str = "device", us: str = "us", tie: Sequence[str] = (), slice_us: int = DAY
+    df: DataFrame, fields: Sequence[str], device: str = "device", us: str = "us", tie: Sequence[str] = (), slice_us: int | None = None
 ) -> DataFrame:
     """Pack columns into a JSON payload: ``id, ts_ms, device, payload`` with a running id in time order.
 
-    The id is a running count over time slices, so no single task sees all rows.
+    The id is a running count over time slices of all devices together, narrow
+    enough (measured unless given) that no task sees more than a share of the rows.
     """
+    slice_us = slice_us or choose_slice(df, (), us, finest=SECOND)
     numbered = row_index(df, "_id", keys=(), us=us, tie=[device, *tie], slice_us=slice_us)
     ts_ms = (F.col(us) / 1000).cast("long")
     return numbered.select(

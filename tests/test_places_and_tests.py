@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.geo import geodesic_m, haversine_km
 from sensorloom.operators import clustering, evaluation, geogrid, graphs, labels, places, quantiles, selection, static
-from sensorloom.operators.ordered import SLICE  # noqa: F401
 
 
 def _km(a, b):
