@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def floor_div(value: Column, step: int) -> Column:
@@ -25,3 +25,8 @@ def finite_or_zero(value: Column) -> Column:
     """0 for NULL, NaN and both infinities."""
     infinite = F.abs(value) == F.lit(float("inf"))
     return F.when(value.isNull() | F.isnan(value) | infinite, F.lit(0.0)).otherwise(value)
+
+
+def one_row(stats: DataFrame) -> Column:
+    """The single row of an aggregate as a struct, for use in another frame (scalar subquery)."""
+    return stats.select(F.struct(*stats.columns)).scalar()

@@ -199,7 +199,7 @@ def feature_inventory(
     rows = [(s, a, sum(c.startswith(f"{s[:3]}_{a}") for c in names)) for s in sensors for a in axes]
     spark: SparkSession = features.sparkSession
     listed = spark.createDataFrame(rows, "sensor string, axis string, number_features long")
-    return listed.crossJoin(features.agg(F.count("*").alias("number_records")))  # one row
+    return listed.withColumn("number_records", features.agg(F.count("*")).scalar())
 
 
 def select_features_by_name(

@@ -71,7 +71,7 @@ def anonymize_ids(df: DataFrame, column: str, known: DataFrame | None = None) ->
     start = F.lit(0).cast("long")
     if known is not None:
         ids = ids.join(known.select(column), column, "left_anti")
-        top = known.agg((F.coalesce(F.max("code_number"), F.lit(-1)) + 1).alias("_start"))
+        start = known.agg(F.coalesce(F.max("code_number"), F.lit(-1)) + 1).scalar()
     digest = ids.withColumn("_d", F.md5(F.col(column).cast("string"))).withColumn("_b", F.substring("_d", 1, 3))
     ranked = digest.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy("_d", column)))
     offsets = (
@@ -83,9 +83,6 @@ def anonymize_ids(df: DataFrame, column: str, known: DataFrame | None = None) ->
         .drop("_n")
     )
     numbered = ranked.join(offsets, "_b")
-    if known is not None:
-        numbered = numbered.crossJoin(F.broadcast(top))  # one row
-        start = F.col("_start")
     fresh = numbered.select(column, (start + F.col("_off") + F.col("_rn") - 1).alias("code_number"))
     fresh = fresh.withColumn("code", letter_code(F.col("code_number")))
     return fresh if known is None else known.select(column, "code_number", "code").unionByName(fresh)

@@ -24,6 +24,7 @@ from sensorloom.functions.scalars import floor_div
 from sensorloom.functions.timefn import DAY, HOUR, MINUTE
 
 SLICE = "_slice"
+PART = "_part"
 
 # Default slice: at sensor rates an hour holds tens of thousands of rows, and a device that
 # owns a third of all data still spreads over thousands of tasks. ``choose_slice`` measures instead.
@@ -55,8 +56,14 @@ def choose_slice(
     return widths[level or 0]
 
 
-def with_slice(df: DataFrame, us: str = "us", slice_us: int = SLICE_US) -> DataFrame:
-    return df.withColumn(SLICE, floor_div(F.col(us), slice_us))
+def with_slice(df: DataFrame, us: str = "us", slice_us: int = DAY, keys: Sequence[str] | None = None) -> DataFrame:
+    """Add the slice number and, with ``keys``, the partition key ``_part`` = struct of keys and slice.
+
+    As a struct the partition key is never NULL and compares NULL fields as equal,
+    so the carry join reuses the window's shuffle and still serves NULL keys.
+    """
+    out = df.withColumn(SLICE, floor_div(F.col(us), slice_us))
+    return out if keys is None else out.withColumn(PART, F.struct(*keys, SLICE))
 
 
 def with_halo(df: DataFrame, before: int, after: int, us: str = "us", slice_us: int = SLICE_US) -> DataFrame:
@@ -78,20 +85,19 @@ def with_halo(df: DataFrame, before: int, after: int, us: str = "us", slice_us:
 def _carry(
     df: DataFrame, keys: Sequence[str], aggregates: dict[str, Column], scans: dict[str, Column]
 ) -> DataFrame:
-    """One row per (keys, slice): aggregate, then scan along the slices of a key."""
-    per_slice = df.groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in aggregates.items()])
+    """One row per (keys, slice): aggregate, then scan along the slices of a key.
+
+    Grouping includes the partition key, so rows already shuffled by it stay in place.
+    """
+    per_slice = df.groupBy(PART, *keys, SLICE).agg(*[c.alias(n) for n, c in aggregates.items()])
     return per_slice.select(*keys, SLICE, *[c.alias(n) for n, c in scans.items()])
 
 
 def _attach(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join the carried values back; keys may be NULL, so the match is null-safe."""
-    names = [*keys, SLICE]
-    renamed = carry.withColumnsRenamed({n: f"_k_{n}" for n in names})
-    on = None
-    for n in names:
-        part = F.col(n).eqNullSafe(F.col(f"_k_{n}"))
-        on = part if on is None else on & part
-    return df.join(renamed, on, "left").drop(*[f"_k_{n}" for n in names])
+    """Join the carried values back on the partition key the rows are already shuffled by."""
+    values = [c for c in carry.columns if c not in keys and c != SLICE]
+    summary = carry.select(F.struct(*keys, SLICE).alias("_of"), *values)
+    return df.join(summary, F.col(PART) == F.col("_of"), "left").drop("_of")
 
 
 def _values(columns: Sequence[str], us: str, tie: Sequence[str]) -> Column:
@@ -114,12 +120,12 @@ def previous_row(
     values = _values(columns, us, tie)
     if slice_us is None:
         return df.withColumn(into, F.lag(values).over(Window.partitionBy(*keys).orderBy(us, *tie)))
-    sliced = with_slice(df, us, slice_us)
-    local = Window.partitionBy(*keys, SLICE).orderBy(us, *tie)
+    sliced = with_slice(df, us, slice_us, keys)
+    local = Window.partitionBy(PART).orderBy(us, *tie)
     along = Window.partitionBy(*keys).orderBy(SLICE)
     carry = _carry(sliced, keys, {"_last": F.max(values)}, {"_from_before": F.lag("_last").over(along)})
     out = _attach(sliced.withColumn(into, F.lag(values).over(local)), carry, keys)
-    return out.withColumn(into, F.coalesce(into, "_from_before")).drop("_from_before", SLICE)
+    return out.withColumn(into, F.coalesce(into, "_from_before")).drop("_from_before", SLICE, PART)
 
 
 def previous_two_rows(
@@ -137,12 +143,12 @@ def previous_two_rows(
     if slice_us is None:
         w = Window.partitionBy(*keys).orderBy(us, *tie)
         return df.withColumns({one: F.lag(values).over(w), two: F.lag(values, 2).over(w)})
-    sliced = with_slice(df, us, slice_us)
-    local = Window.partitionBy(*keys, SLICE).orderBy(us, *tie)
+    sliced = with_slice(df, us, slice_us, keys)
+    local = Window.partitionBy(PART).orderBy(us, *tie)
     along = Window.partitionBy(*keys).orderBy(SLICE)
     stepped = sliced.withColumns({one: F.lag(values).over(local), two: F.lag(values, 2).over(local)})
     carry = _carry(
-        stepped.select(*keys, SLICE, values.alias("_v"), one),
+        stepped.select(PART, *keys, SLICE, values.alias("_v"), one),
         keys,
         {"_last": F.max(F.struct("_v", F.col(one).alias("_p")))},
         {
@@ -156,7 +162,7 @@ def previous_two_rows(
             two: F.coalesce(two, F.when(F.col(one).isNotNull(), F.col("_c1")).otherwise(F.col("_c2"))),
             one: F.coalesce(one, "_c1"),
         }
-    ).drop("_c1", "_c2", SLICE)
+    ).drop("_c1", "_c2", SLICE, PART)
 
 
 def running_sum(
@@ -172,12 +178,12 @@ def running_sum(
     if slice_us is None:
         whole = Window.partitionBy(*keys).orderBy(us, *tie).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(into, F.sum(value).over(whole))
-    sliced = with_slice(df, us, slice_us).withColumn("_v", value)
-    local = Window.partitionBy(*keys, SLICE).orderBy(us, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    sliced = with_slice(df, us, slice_us, keys).withColumn("_v", value)
+    local = Window.partitionBy(PART).orderBy(us, *tie).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = _carry(sliced, keys, {"_s": F.sum("_v")}, {"_offset": F.sum("_s").over(before)})
     out = _attach(sliced.withColumn(into, F.sum("_v").over(local)), carry, keys)
-    return out.withColumn(into, F.col(into) + F.coalesce("_offset", F.lit(0))).drop("_offset", "_v", SLICE)
+    return out.withColumn(into, F.col(into) + F.coalesce("_offset", F.lit(0))).drop("_offset", "_v", SLICE, PART)
 
 
 def row_index(
@@ -206,8 +212,8 @@ def run_number(
     One window per slice finds the changes inside it; the per-slice summary (first
     and last value, number of changes) settles the changes at the borders.
     """
-    part = [*keys] if slice_us is None else [*keys, SLICE]
-    base = df if slice_us is None else with_slice(df, us, slice_us)
+    part = [*keys] if slice_us is None else [PART]
+    base = df if slice_us is None else with_slice(df, us, slice_us, keys)
     local = Window.partitionBy(*part).orderBy(us, *tie)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     same = F.coalesce(F.lag(value).over(local) == F.col(value), F.lit(False))
@@ -218,7 +224,7 @@ def run_number(
     entry = F.struct(us, *tie, F.col(value).alias("_val"))
     along = Window.partitionBy(*keys).orderBy(SLICE)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = marked.groupBy(*keys, SLICE).agg(
+    per_slice = marked.groupBy(PART, *keys, SLICE).agg(
         F.min(entry)["_val"].alias("_first"), F.max(entry)["_val"].alias("_last"), F.sum("_new").alias("_changes")
     )
     opens = F.when(F.lag("_last").over(along) == F.col("_first"), 0).otherwise(1)
@@ -228,7 +234,7 @@ def run_number(
         (F.coalesce(F.sum(F.col("_changes") + F.col("_open")).over(before), F.lit(0)) + F.col("_open")).alias("_offset"),
     )
     out = _attach(marked.withColumn(into, F.sum("_new").over(upto)), carry, keys)
-    return out.withColumn(into, F.col(into) + F.col("_offset")).drop("_new", "_offset", SLICE)
+    return out.withColumn(into, F.col(into) + F.col("_offset")).drop("_new", "_offset", SLICE, PART)
 
 
 def count_within(
@@ -266,7 +272,7 @@ def _stacked(left: DataFrame, right: DataFrame, payload: Sequence[str], keys: Se
     return left_rows, right_rows
 
 
-def _sides(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _sides(rows: DataFrame, part: Sequence[str]) -> DataFrame:
     """Nearest right row at/before and at/after each row inside a slice.
 
     Right rows sort first at equal times in both directions, so an exact match
@@ -276,12 +282,12 @@ def _sides(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     tie = F.col("_r")
     back = (
-        Window.partitionBy(*keys, SLICE)
+        Window.partitionBy(*part)
         .orderBy(F.col("_us"), F.col("_side"), tie.asc_nulls_last())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     ahead = (
-        Window.partitionBy(*keys, SLICE)
+        Window.partitionBy(*part)
         .orderBy(F.col("_us").desc(), F.col("_side"), tie.desc_nulls_last())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -310,7 +316,7 @@ def sides_within(
     rows = with_slice(left_rows, "_us", slice_us).unionByName(
         with_halo(right_rows, before, after, "_us", slice_us).drop("_home"), allowMissingColumns=True
     )
-    found = _sides(rows, keys).filter(F.col("_side") == 1)
+    found = _sides(rows, [*keys, SLICE]).filter(F.col("_side") == 1)
     keep_prev = F.when(F.col("_us") - F.col("_prev.us") <= before, F.col("_prev"))
     keep_next = F.when(F.col("_next.us") - F.col("_us") <= after, F.col("_next"))
     return found.select("_l.*", keep_prev.alias("_prev"), keep_next.alias("_next"))
@@ -327,7 +333,7 @@ def sides_unbounded(
 ) -> DataFrame:
     """Left rows with the last right row at/before and the first at/after, however far away."""
     left_rows, right_rows = _stacked(left, right, payload, keys, us, tie)
-    rows = with_slice(left_rows.unionByName(right_rows, allowMissingColumns=True), "_us", slice_us)
+    rows = with_slice(left_rows.unionByName(right_rows, allowMissingColumns=True), "_us", slice_us, keys)
     along = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     back_along = Window.partitionBy(*keys).orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = _carry(
@@ -339,7 +345,7 @@ def sides_unbounded(
             "_c_next": F.last("_lo", ignorenulls=True).over(back_along),
         },
     )
-    found = _attach(_sides(rows, keys).filter(F.col("_side") == 1), carry, keys)
+    found = _attach(_sides(rows, [PART]).filter(F.col("_side") == 1), carry, keys)
     return found.select(
         "_l.*",
         F.coalesce("_prev", "_c_prev").alias("_prev"),

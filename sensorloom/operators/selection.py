@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
-from sensorloom.functions.scalars import ratio
+from sensorloom.functions.scalars import one_row, ratio
 from sensorloom.operators.quantiles import exact_percentiles
 
 
@@ -82,18 +82,18 @@ def impute_columns(df: DataFrame, columns: Sequence[str], clip_infinite: bool =
     """
     finite = df.select(*[_finite(c).alias(c) for c in columns])
     limits = finite.agg(*[F.max(c).alias(f"_hi_{c}") for c in columns], *[F.min(c).alias(f"_lo_{c}") for c in columns])
-    stats = limits.crossJoin(exact_percentiles(finite, columns, [0.5]))
+    medians = exact_percentiles(finite, columns, [0.5])
     inf = F.lit(float("inf"))
 
     def filled(c: str) -> Column:
         x = F.col(c).cast("double")
-        median = F.coalesce(F.col(f"{c}_q")[0], F.lit(0.0))
+        median = F.coalesce(F.col("_med")[f"{c}_q"][0], F.lit(0.0))
         missing = x.isNull() | F.isnan(x)
-        high = F.coalesce(F.col(f"_hi_{c}"), F.lit(0.0)) if clip_infinite else median
-        low = F.coalesce(F.col(f"_lo_{c}"), F.lit(0.0)) if clip_infinite else median
+        high = F.coalesce(F.col("_lim")[f"_hi_{c}"], F.lit(0.0)) if clip_infinite else median
+        low = F.coalesce(F.col("_lim")[f"_lo_{c}"], F.lit(0.0)) if clip_infinite else median
         return F.when(missing, median).when(x == inf, high).when(x == -inf, low).otherwise(x)
 
-    joined = df.crossJoin(F.broadcast(stats))  # one row
+    joined = df.withColumns({"_lim": one_row(limits), "_med": one_row(medians)})
     return joined.select(*[filled(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
@@ -106,7 +106,7 @@ def _erfc(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda z: None if z is None or z != z else math.erfc(z))
 
 
-def mann_whitney_u(df: DataFrame, columns: Sequence[str], label: str, buckets: int = 256) -> DataFrame:
+def mann_whitney_u(df: DataFrame, columns: Sequence[str], label: str, buckets: int = 64) -> DataFrame:
     """One-vs-rest Mann-Whitney U of every feature and class, with tie-corrected z.
 
     Equal values are counted first (map-side combined); ranks come from running
@@ -176,20 +176,23 @@ def relevant_features(df: DataFrame, columns: Sequence[str], label: str, fdr: fl
 def minmax_scale(train: DataFrame, target: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Scale ``target`` to the range of ``train``; a constant column becomes 0."""
     stats = train.agg(*[F.min(c).alias(f"_lo_{c}") for c in columns], *[F.max(c).alias(f"_hi_{c}") for c in columns])
-    joined = target.crossJoin(F.broadcast(stats))  # one row
-    scaled = {
-        c: F.coalesce(ratio(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")), F.col(c) * 0.0) for c in columns
-    }
+    joined = target.withColumn("_st", one_row(stats))
+
+    def rescaled(c: str) -> Column:
+        low, high = F.col("_st")[f"_lo_{c}"], F.col("_st")[f"_hi_{c}"]
+        return F.coalesce(ratio(F.col(c) - low, high - low), F.col(c) * 0.0)
+
+    scaled = {c: rescaled(c) for c in columns}
     return joined.select(*[scaled[c].alias(c) if c in columns else F.col(c) for c in target.columns])
 
 
 def robust_scale(train: DataFrame, target: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - median) / interquartile range of ``train``; a zero range leaves x - median."""
     stats = exact_percentiles(train, columns, [0.25, 0.5, 0.75])
-    joined = target.crossJoin(F.broadcast(stats))  # one row
+    joined = target.withColumn("_st", one_row(stats))
 
     def scaled(c: str) -> Column:
-        low, mid, high = (F.col(f"{c}_q")[i] for i in range(3))
+        low, mid, high = (F.col("_st")[f"{c}_q"][i] for i in range(3))
         spread = high - low
         return (F.col(c) - mid) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)
 
@@ -199,7 +202,7 @@ def robust_scale(train: DataFrame, target: DataFrame, columns: Sequence[str]) ->
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights n / (k · n_c) per class."""
     counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n_class"))
-    whole = counts.agg(F.sum("n_class").alias("_n"), F.count("*").alias("_k"))
-    weight = F.col("_n") / (F.col("_k") * F.col("n_class"))
-    return counts.crossJoin(F.broadcast(whole)).select(label, "n_class", weight.alias("weight"))  # one row
+    whole = one_row(counts.agg(F.sum("n_class").alias("n"), F.count("*").alias("k")))
+    weight = F.col("_all.n") / (F.col("_all.k") * F.col("n_class"))
+    return counts.withColumn("_all", whole).select(label, "n_class", weight.alias("weight"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sensorloom.functions.timefn import MINUTE, SECOND
 from sensorloom.operators.ordered import SLICE_US, count_within, run_number, running_sum
+from sensorloom.session import materialize
 
 
 def place_runs(
@@ -72,6 +73,7 @@ def _stays_of(runs, hertz, min_duration_s, min_fraction, horizon_us, place, devi
         .withColumn("end_trusted", F.col("_after") >= F.lit(near))
         .drop("_before", "_after")
     )
+    kept = materialize(kept, "stays")  # few rows, numbered in two passes
     one = F.lit(1).cast("long")
     return running_sum(kept, one, "stay_no", (device,), "start_us", ("run",), slice_us)
 

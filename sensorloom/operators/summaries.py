@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sensorloom.functions.scalars import floor_div, ratio
+from sensorloom.functions.scalars import floor_div, one_row, ratio
 from sensorloom.functions.timefn import DAY, HOUR, MINUTE, SECOND, hour_of
 from sensorloom.operators.quantiles import exact_percentiles
 
@@ -68,8 +68,8 @@ def sensor_overview(sanity: DataFrame, users: DataFrame, sensors: DataFrame, dev
         F.max("end_us").alias("end_us"),
     )
     names = F.array_sort(F.collect_list(F.struct("sensor", "hz"))).alias("_sensors")
-    listed = sensors.agg(names)  # one row with one entry per sensor type
-    grid = users.select(device).distinct().crossJoin(F.broadcast(listed)).select(device, F.inline("_sensors"))
+    listed = sensors.agg(names).scalar()  # one entry per sensor type
+    grid = users.select(device).distinct().withColumn("_sensors", listed).select(device, F.inline("_sensors"))
     minutes = F.floor((F.col("end_us") - F.col("begin_us")) / F.lit(float(MINUTE)))
     return (
         grid.join(merged, [device, "sensor"], "left")
@@ -83,10 +83,9 @@ def sensor_overview(sanity: DataFrame, users: DataFrame, sensors: DataFrame, dev
 def overview_is_consistent(sanity: DataFrame, overview: DataFrame, device: str = "device") -> DataFrame:
     """Whether every recorded (device, sensor) of the sanity report is in the overview: counts of both."""
     recorded = sanity.filter(F.col("entries") >= 0).select(device, "sensor").distinct()
-    found = overview.filter(F.col("entries") > 0).agg(F.count("*").alias("n_overview"))
-    return recorded.agg(F.count("*").alias("n_recorded")).crossJoin(found).withColumn(
-        "consistent", F.col("n_recorded") == F.col("n_overview")
-    )
+    found = overview.filter(F.col("entries") > 0).agg(F.count("*")).scalar()
+    counts = recorded.agg(F.count("*").alias("n_recorded")).withColumn("n_overview", found)
+    return counts.withColumn("consistent", F.col("n_recorded") == F.col("n_overview"))
 
 
 # --- events × sensors -------------------------------------------------------------------------
@@ -262,7 +261,7 @@ def point_occurrence(df: DataFrame, x: str, y: str, decimals: int | None = None)
         return (F.col(c) if decimals is None else F.round(c, decimals)).alias(c)
 
     counts = df.groupBy(at(x), at(y)).agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.max("n").alias("n_max"))))  # one row
+    return counts.withColumn("n_max", counts.agg(F.max("n")).scalar())
 
 
 def static_start_histogram(periods: DataFrame, start_us: str = "start_us") -> DataFrame:
@@ -319,7 +318,8 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             for c in columns
         ]
     )
-    both = basics.crossJoin(exact_percentiles(df, columns, [0.25, 0.5, 0.75]))  # one row each
+    quartiles = one_row(exact_percentiles(df, columns, [0.25, 0.5, 0.75]))
+    both = basics.withColumn("_q", quartiles)
     cells = [
         F.struct(
             F.lit(c).alias("column"),
@@ -327,7 +327,7 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.col(c)["mean"].alias("mean"),
             F.col(c)["std"].alias("std"),
             F.col(c)["min"].cast("double").alias("min"),
-            *[F.col(f"{c}_q")[i].alias(f"q{q}") for i, q in enumerate((25, 50, 75))],
+            *[F.col("_q")[f"{c}_q"][i].alias(f"q{q}") for i, q in enumerate((25, 50, 75))],
             F.col(c)["max"].cast("double").alias("max"),
         )
         for c in columns

@@ -36,10 +36,8 @@ _LOG_SQL = """lg AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'db0' ELSE 'db1' END
 
 
 def _sanity(spark, d):
-    grid = (
-        _logged(spark, d).select("source").distinct().crossJoin(v.sensors(spark).select("sensor"))
-        .unionByName(spark.createDataFrame([("db0", "gravity"), ("db1", "gravity")], "source string, sensor string"))
-    )
+    names = F.array(*[F.lit(s) for s in [*v.SENSOR_HZ, "gravity"]])
+    grid = _logged(spark, d).select("source").distinct().withColumn("sensor", F.explode(names))
     return summaries.sensor_sanity(_logged(spark, d), v.sensors(spark), grid)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sensorloom.operators import identity, summaries
+from sensorloom.operators import identity, ordered, summaries
 from sensorloom.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -26,11 +26,29 @@ def test_no_nested_loops(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["asof_nearest_merge", "stays", "distance_speed_accel"])
+@pytest.mark.parametrize("name", ["nearest_fix_asymmetric", "session_bounds", "distance_speed_accel"])
 def test_row_windows_are_sliced(spark, name):
     """Windows over rows are partitioned by device and slice; only per-slice summaries use the device alone."""
     plan = _plan(entry.queries()[name](spark, SF))
-    assert re.search(r"hashpartitioning\([^)]*_slice", plan)
+    assert re.search(r"hashpartitioning\([^)]*(_slice|_part)", plan)
+
+
+def test_carry_join_reuses_the_window_shuffle(spark):
+    """Between the window on (device, slice) and the join of the carried values rows are not shuffled again."""
+    df = spark.range(1000).select((F.col("id") % 3).alias("device"), (F.col("id") * 1_000_000).alias("us"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(ordered.previous_row(df, []))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(re.findall(r"Exchange hashpartitioning\(_part", plan)) == 2  # rows, and the per-slice groups
+
+
+def test_null_keys_keep_their_neighbours(spark):
+    df = spark.createDataFrame([(None, 1), (None, 5), (None, 100), (1, 2)], "device long, us long")
+    got = {(r["device"], r["us"]): r["_prev"] for r in ordered.previous_row(df, [], slice_us=10).collect()}
+    assert got[None, 100]["us"] == 5 and got[None, 5]["us"] == 1 and got[1, 2] is None
 
 
 def test_filters_and_columns_reach_the_scan(spark):
