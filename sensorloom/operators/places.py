@@ -189,8 +189,8 @@ def place_timeslots_wide(slots: DataFrame, device: str = "device", place: str =
     names = [f"{f}{t}" for f in SLOT_FEATURES for t in ("", "_trusted")]
     entry = F.struct(F.concat_ws("_", "slot_type", "slot").alias("key"), F.array(*names).alias("value"))
     gathered = slots.groupBy(device, place).agg(F.map_from_entries(F.collect_list(entry)).alias("_slots"))  # at most 37 entries
-    cells = [
-        F.coalesce(F.get(F.col("_slots")[f"{kind}_{slot}"], F.lit(i)), F.lit(0.0)).alias(f"{kind}_{slot}_{n}")
+    cells = [  # SQL text: one call per column instead of a tree of calls for each of the 370
+        F.expr(f"coalesce(get(_slots['{kind}_{slot}'], {i}), 0D) AS `{kind}_{slot}_{n}`")
         for kind, values in SLOTS.items()
         for slot in values
         for i, n in enumerate(names)

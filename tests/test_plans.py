@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from sensorloom.operators import identity, ordered, summaries
 from sensorloom.session import shared_dir
+from sensorloom.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,8 +62,23 @@ def test_top_per_group_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in _plan(entry.queries()["dedupe_keep_first"](spark, SF))
 
 
-def test_checkpoint_dir_of_the_session_is_used(spark):
-    assert shared_dir(spark)
+class _Session:
+    """Stands in for a session with given settings."""
+
+    def __init__(self, master, settings):
+        self.conf = settings
+        self.sparkContext = type("C", (), {"master": master, "applicationId": "app-test"})()
+
+
+def test_shared_folder_comes_from_the_session():
+    assert shared_dir(_Session("yarn", {"spark.checkpoint.dir": "hdfs:///shared"})) == "hdfs:///shared"
+    with pytest.raises(RuntimeError):
+        shared_dir(_Session("yarn", {}))
+
+
+def test_summary_csv_round_trip(spark, tmp_path):
+    files.write_summary_csv(spark.createDataFrame([("a", 1)], "name string, n long"), str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).first()["n"] == "1"
 
 
 def test_codes_are_unique_and_kept(spark):
