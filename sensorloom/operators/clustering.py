@@ -152,7 +152,8 @@ def place_clusters(
     """
     keys = list(keys)
     counted = fixes.groupBy(*keys, F.col(lat).alias("lat"), F.col(lon).alias("lon")).agg(F.count("*").alias("n"))
-    points = materialize(counted.withColumn("point", F.monotonically_increasing_id()), "points")
+    # The coordinate itself is the id, so ties are broken the same way in every run.
+    points = materialize(counted.withColumn("point", F.struct("lat", "lon")), "points")
     assigned = cluster_points(points, limit_km, keys, pairs_per_point)
     summary = _label_clusters(assigned, keys)
     labelled = assigned.join(summary.select(*keys, "cluster", "cluster_label", "cluster_lat", "cluster_lon"), [*keys, "cluster"])
