@@ -51,7 +51,7 @@ def movement(spark, d):
 
     events = v.esm(spark, d).select("device", "event_us")
     fixes = event_window_join(v.gps(spark, d), events, 72 * HOUR, 72 * HOUR)
-    return segments.distance_speed_accel(fixes, tie=["event_id"])
+    return segments.distance_speed_accel(fixes, tie=["event_id"], slice_us=DAY)
 
 
 @query(
@@ -147,7 +147,8 @@ def _static_windows_topk(spark, d):
 
 
 # Stays: longer than 60 s, expected rate one record per 12 h, trust horizon one day.
-STAY_ARGS = dict(hertz=1 / 43200, min_duration_s=60, horizon_us=DAY, tie=["event_id"])
+# Slices of a day, because the test users have about two records per day.
+STAY_ARGS = dict(hertz=1 / 43200, min_duration_s=60, horizon_us=DAY, tie=["event_id"], slice_us=DAY)
 STAY_SQL = """p0 AS (SELECT *, CASE WHEN lag(place) OVER w = place THEN 0 ELSE 1 END AS n0 FROM place_series
     WINDOW w AS (PARTITION BY device ORDER BY us, event_id)),
   p1 AS (SELECT *, CAST(sum(n0) OVER (PARTITION BY device ORDER BY us, event_id) AS BIGINT) AS run,
