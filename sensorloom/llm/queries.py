@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorloom.llm import byte_bpe
+from sensorloom.llm import byte_bpe, language, quality, toxicity
+from sensorloom.llm.common import crc_mod
+from sensorloom.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +26,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_register
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    model = language.fit(docs.filter(crc_mod("doc_id", 3) != 1))
+    found = language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_register
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(crc_mod("doc_id", 5) != 0)
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    found = toxicity.score(docs.withColumn("held_out", held_out), toxicity.fit(docs, labels))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_register
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").filter(crc_mod("doc_id", 3) != 1)
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    stats = materialize(quality.add_statistics(docs), "quality-statistics")
+    found = quality.score(stats, quality.fit(stats, labels))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_register
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
