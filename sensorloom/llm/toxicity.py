@@ -155,7 +155,7 @@ def fit(
 
     scale = ratio.tolist()
     vector = F.udf(lambda at: Vectors.sparse(len(scale), at, [scale[i] for i in at]), VectorUDT())
-    design = _per_partition(sample, presences, "at array<int>, y int").select(vector("at").alias("features"), F.col("y").cast("double").alias("label"))
+    design = _per_partition(sample, presences, "at array<long>, y long").select(vector("at").alias("features"), F.col("y").cast("double").alias("label"))
     found = LogisticRegression(regParam=regularisation, standardization=False, maxIter=60).fit(materialize(design, "toxic-design"))
     return Model(keys, found.coefficients.toArray() * ratio, float(found.intercept))
 
