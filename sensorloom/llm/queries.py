@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorloom.llm import byte_bpe, language, quality, toxicity
+from sensorloom.llm import byte_bpe, language, mixing, quality, toxicity
 from sensorloom.llm.common import crc_mod
 from sensorloom.session import materialize
 
@@ -35,6 +35,46 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@_register
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
+    sized = materialize(docs, "mixing-sizes")
+    mixed = mixing.add_copies(sized, mixing.source_targets(sized))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+ORACLES["op3_mixing"] = rf"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0)::BIGINT AS size FROM documents
+), each AS (
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+  FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, CASE place % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap,
+         (SUM(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS total, (SUM(n) OVER ())::BIGINT AS all_rows
+  FROM each
+), filled AS (
+  SELECT *, cap * (SUM(w) OVER () - coalesce(SUM(w) OVER before, 0)) <= (total - coalesce(SUM(cap) OVER before, 0)) * w AS is_full
+  FROM weighed WINDOW before AS (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, source_size, all_rows,
+         CASE WHEN is_full THEN cap ELSE w * ((total - SUM(CASE WHEN is_full THEN cap ELSE 0 END) OVER ())
+              / (SUM(w) OVER () - SUM(CASE WHEN is_full THEN w ELSE 0 END) OVER ())) END AS target
+  FROM filled
+), placed AS (
+  SELECT s.doc_id, s.size, s.source, t.source_size, t.target, md5(coalesce(s.doc_id::VARCHAR, '')) AS h,
+         ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '')), 1, 8))::BIGINT % (all_rows // {mixing.BUCKET_ROWS} + 1) AS bucket
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, size, h, doc_id) AS k,
+         (('0x' || substr(md5('0:' || coalesce(source, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+  FROM placed
+)
+SELECT doc_id, size, source_size, target, (floor(rate * k + u) - floor(rate * (k - 1) + u))::BIGINT * size AS taken FROM ordered
+"""
+
+
 @_register
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -1,6 +1,6 @@
 """Toxicity scores: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the n-grams of 3 to 6 bytes of the lower-cased text, white space as one blank, each present or
+Features are the n-grams of 3 to 7 bytes of the lower-cased text, white space as one blank, each present or
 absent. Training works on a bounded, reproducible sample of labelled rows: document counts of hashed n-grams
 screen the candidates, exact counts choose the features, and a logistic regression is fitted on presences
 scaled by the log ratio of how often a class contains the n-gram. A score is the logistic of the sum of the
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from sensorloom.llm.common import bounded_batches, bounded_sample, map_batches
 from sensorloom.session import materialize
 
-ORDERS = (3, 4, 5, 6)
+ORDERS = (3, 4, 5, 6, 7)
 BUCKET_BITS = 20
 #: Bytes of a text that are looked at together; longer texts are taken in overlapping steps.
 STEP = 1 << 20
@@ -103,7 +103,7 @@ def _chi_square(pos: str, neg: str, positives: int, negatives: int):
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *,
-    rows_per_class: int = 4000, candidates: int = 16384, features: int = 4096, regularisation: float = 1e-3,
+    rows_per_class: int = 4000, candidates: int = 16384, features: int = 4096, regularisation: float = 3e-4,
 ) -> Model:
     """Learn from at most ``rows_per_class`` labelled documents of each class; both bounds hold at every size."""
     one = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
