@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorloom.llm import byte_bpe, language, mixing, quality, toxicity
+from sensorloom.llm import byte_bpe, language, licenses, mixing, quality, toxicity
 from sensorloom.llm.common import crc_mod
 from sensorloom.session import materialize
 
@@ -84,6 +84,53 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@_register
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _license_sql() -> str:
+    """The scan in SQL: phrases by list positions, every line against every template."""
+
+    def starts(phrase: str) -> str:
+        words = phrase.split()
+        test = " AND ".join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(words))
+        return f"list_filter(range(greatest(len(w) - {len(words) - 1}, 0)), lambda i: {test})"
+
+    places = ", ".join(f"{starts(p)} AS p{k}" for k, p in enumerate(licenses.PHRASES))
+    every = "flatten([" + ", ".join(f"p{k}" for k in range(len(licenses.PHRASES))) + "])"
+    base = "list_filter([" + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(licenses.PHRASES.values())) + "], lambda x: x IS NOT NULL)"
+    templates = ", ".join(f"('{label}', string_split('{text}', ' '))" for text, label in licenses.TEMPLATES.items())
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, lower(coalesce(text, '')) AS t FROM documents
+), worded AS (
+  SELECT k, doc_id, regexp_extract_all(t, '{licenses.WORD}') AS w FROM docs
+), based AS (
+  SELECT k, doc_id, len(w)::BIGINT AS n_words, {places} FROM worded
+), summed AS (
+  SELECT k, doc_id, n_words, {every} AS places, {base} AS base FROM based
+), lines AS (
+  SELECT k, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{licenses.WORD}')) AS b FROM docs
+), templates AS (
+  SELECT label, list_distinct(words) AS words FROM (VALUES {templates}) AS v(label, words)
+), found AS (
+  SELECT k, label, len(list_intersect(b, words)) / len(words)::DOUBLE AS share
+  FROM lines, templates WHERE len(list_intersect(b, words)) >= ceil(0.8 * len(words) - 1e-9)
+), matched AS (
+  SELECT k, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY k
+)
+SELECT doc_id, n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+       array_to_string(list_sort(base), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') AS labels,
+       CASE WHEN len(base) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM summed LEFT JOIN matched USING (k)
+"""
+
+
+ORACLES["op6_licenses"] = _license_sql()
+
+
 @_register
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
