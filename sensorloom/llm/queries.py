@@ -7,13 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorloom.llm import byte_bpe, language, licenses, mixing, quality, simhash, toxicity
+from sensorloom.llm import byte_bpe, language, licenses, mixing, quality, simhash, topk, toxicity, vptree
 from sensorloom.llm.common import crc_mod
 from sensorloom.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Pruning of the vantage-point trees: one is exact search.
+ANN_FACTOR = 1.5
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -35,6 +37,25 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@_register
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "id % 100 = 0")
+
+
+ORACLES["op2_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w::DOUBLE[], c.w::DOUBLE[]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 @_register
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
@@ -138,6 +159,11 @@ FROM summed LEFT JOIN matched USING (k)
 ORACLES["op6_licenses"] = _license_sql()
 
 
+@_register
+def op7_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "id % 20 = 0", factor=ANN_FACTOR)
+
+
 @_register
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
