@@ -15,7 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Pruning of the vantage-point trees: one is exact search.
-ANN_FACTOR = 1.5
+ANN_FACTOR = 4.0
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 

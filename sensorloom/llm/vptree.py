@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sensorloom.llm import blocks
 
-LEAF = 128
+LEAF = 512
 #: Rows of a shard; a tree is built for each.
 SHARD_ROWS = 16384
 
@@ -85,12 +85,15 @@ class Tree:
         room = 1e-9 * (1 + self.base[active])
         q, r = np.nonzero((rough >= (self.scores[active, -1] - room)[:, None]) & (self.ids[rows][None, :] != self.query_ids[active][:, None]))
         if len(q):
-            better, at = np.unique(q, return_inverse=True)
-            offered = np.full((len(better), len(rows)), -np.inf)
-            offered[at, r] = products(self.queries[active[q]], self.vectors[rows[r]])
+            better, start, at, count = np.unique(q, return_index=True, return_inverse=True, return_counts=True)
+            offered = np.full((len(better), count.max()), -np.inf)
+            names = np.full(offered.shape, np.iinfo(np.int64).max)
+            place = np.arange(len(q)) - start[at]
+            offered[at, place] = products(self.queries[active[q]], self.vectors[rows[r]])
+            names[at, place] = self.ids[rows[r]]
             better = active[better]
             every = np.concatenate([self.scores[better], offered], axis=1)
-            names = np.concatenate([self.found[better], np.broadcast_to(self.ids[rows], offered.shape)], axis=1)
+            names = np.concatenate([self.found[better], names], axis=1)
             best = np.lexsort((names, -every), axis=1)[:, : self.top]
             self.scores[better] = np.take_along_axis(every, best, axis=1)
             self.found[better] = np.take_along_axis(names, best, axis=1)
