@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorloom.llm import byte_bpe, language, licenses, mixing, quality, simhash, topk, toxicity, vptree
+from sensorloom.llm import byte_bpe, language, licenses, mixing, quality, simhash, suffix_dedup, topk, toxicity, vptree
 from sensorloom.llm.common import crc_mod
 from sensorloom.session import materialize
 
@@ -164,6 +164,19 @@ def op7_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "id % 20 = 0", factor=ANN_FACTOR)
 
 
+@_register
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return kept.select(
+        "doc_id",
+        n_bytes.alias("n_bytes"),
+        (n_bytes - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @_register
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
