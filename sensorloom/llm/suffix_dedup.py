@@ -171,14 +171,18 @@ def common_prefixes(text: np.ndarray, borders: np.ndarray, order: np.ndarray) ->
 
 
 def _repeating(parts: list[bytes], counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a shard of contexts: which positions repeat, the ends of the parts, and the rank of each position."""
+    """For a shard of contexts in the order of their first places: which positions repeat, which are the first of
+    their equal strings, and the ends of the parts."""
     text = np.frombuffer(b"".join(parts), np.uint8)
     borders = np.cumsum([len(p) for p in parts])
     order, rank = suffix_array(text, borders, length)
     prefix = common_prefixes(text, borders, order)
     repeats = prefix >= length
     repeats[order[:-1][prefix[order[1:]] >= length]] = True
-    return repeats | (np.repeat(counts, np.diff(borders, prepend=0)) > 1), borders, rank
+    starts = np.concatenate([np.arange(b - len(p), b - length + 1) for p, b in zip(parts, borders)])
+    first = np.zeros(len(text), bool)
+    first[starts[np.unique(rank[starts], return_index=True)[1]]] = True
+    return repeats | (np.repeat(counts, np.diff(borders, prepend=0)) > 1), first, borders
 
 
 def _runs(mask: np.ndarray) -> tuple[list[int], list[int]]:
@@ -215,37 +219,33 @@ def find_anchors(df: DataFrame, length: int) -> DataFrame:
     return map_batches(df, run, schema)
 
 
-def _shard_results(length: int):
-    """Over rows sorted by (h, part, c): repeating starts of contexts, and the open strings of divided anchors."""
+def _shard_results(length: int, shard_bytes: int):
+    """Over rows sorted by (h, part, c): for each context the runs of starts to remove everywhere (``a, b``) and
+    everywhere but at its first place (``a1, b1``); for divided anchors also the first of equal strings."""
 
     def emit(rows: list[tuple]):
         rows = [r for k, r in enumerate(rows) if not k or r[:3] != rows[k - 1][:3]]
-        parts = [r[5] for r in rows]
-        repeats, borders, rank = _repeating(parts, np.array([r[3] for r in rows]), length)
-        starts = np.concatenate([np.arange(a, b) for a, b in zip(borders - [len(p) for p in parts], borders - length + 1)])
-        first = np.zeros(borders[-1], bool)  # one start for each group of equal strings of the shard
-        first[starts[np.unique(rank[starts], return_index=True)[1]]] = True
-        out: list[list] = [[] for _ in range(7)]
-        begin = 0
-        for (h, _, c, _, divided, raw), end in zip(rows, borders.tolist()):
-            a, b = _runs(repeats[begin : end - length + 1])
-            strings = np.flatnonzero(first[begin : end - length + 1]).tolist() if divided else []
+        rows.sort(key=lambda r: r[6])
+        parts, counts = [r[5] for r in rows], np.array([r[3] for r in rows])
+        repeats, first, borders = _repeating(parts, counts, length)
+        out: list[list] = [[] for _ in range(8)]
+        for (h, _, c, _, divided, raw, _), end in zip(rows, borders.tolist()):
+            own = slice(end - len(raw), end - length + 1)
+            strings = np.flatnonzero(first[own]).tolist() if divided else []
             keys = b"".join(hashlib.blake2b(raw[s : s + length], digest_size=16).digest() for s in strings)
-            if a or strings:
-                for column, value in zip(out, (h, c, a, b, strings, keys, divided)):
-                    column.append(value)
-            begin = end
+            for column, value in zip(out, (h, c, *_runs(repeats[own] & ~first[own]), *_runs(repeats[own] & first[own]), strings, keys)):
+                column.append(value)
         ints = pa.list_(pa.int32())
-        kinds = (pa.int64(), pa.int64(), ints, ints, ints, pa.binary(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["h", "c", "a", "b", "s", "keys", "divided"])
+        kinds = (pa.int64(), pa.int64(), ints, ints, ints, ints, ints, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["h", "c", "a", "b", "a1", "b1", "s", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 new = not held or held[-1][:2] != row[:2]
-                if new and size > SHARD_BYTES // 2:
+                if new and size > shard_bytes // 2:
                     yield emit(held)
                     held, size = [], 0
                 held.append(row)
@@ -257,76 +257,89 @@ def _shard_results(length: int):
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of one range of keys, sorted by key: those that another shard holds too."""
-    tail: list = []  # the last key of the batch before and its row
+    """Strings of one range of keys, sorted by key and place: those that another shard holds too.
 
-    def names(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], names=["h", "c", "s"])
+    ``later`` tells that an earlier place has the string. A key may go on in the next batch.
+    """
+    tail: list = []  # the last key of the batch before and its row
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.array(batch.column(0).to_pylist(), "S33")
+        keys = np.array(batch.column(0).to_pylist(), "S32")
         where = np.searchsorted(keys, keys, side="left")
         until = np.searchsorted(keys, keys, side="right")
-        shared = until - where > 1
         h, c, s = (batch.column(i).to_pylist() for i in (1, 2, 3))
-        rows = [(h[i], c[i], s[i]) for i in np.flatnonzero(shared)]
-        if tail and tail[0] == keys[0]:
+        goes_on = bool(tail) and tail[0] == keys[0]
+        later = (np.arange(len(keys)) > where) | (goes_on & (where == 0))
+        shared = (until - where > 1) | later
+        rows = [(h[i], c[i], s[i], bool(later[i])) for i in np.flatnonzero(shared)]
+        if goes_on and not tail[2]:
             rows.append(tail[1])
-            rows += [(h[i], c[i], s[i]) for i in range(int(until[0])) if not shared[i]]
         last = len(keys) - 1
-        tail = [keys[last], (h[last], c[last], s[last])]
-        yield names(rows)
+        tail = [keys[last], (h[last], c[last], s[last], bool(later[last])), bool(shared[last])]
+        columns = list(zip(*rows)) if rows else [[], [], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["h", "c", "s", "later"])
+
 
+def repeated_starts(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, keep_first: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``doc, t, spans``: for each document the runs of starts [from, to) whose string also starts elsewhere.
 
-def repeated_starts(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH) -> DataFrame:
-    """``doc, t, spans``: for each document the runs of starts [from, to) whose string also starts elsewhere."""
+    With ``keep_first`` the first place of each string, by a hash of the id and then by position, is left out.
+    """
     spark = df.sparkSession
     bounded_batches(spark)
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     docs = df.select(F.xxhash64(id_col).alias("doc"), _doc_key(text_col).alias("t"), raw.alias("raw"))
     found = materialize(find_anchors(docs, length), "anchors")
-    heads = found.groupBy("h").agg(F.sum("m").alias("total"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("total > 1")
-    heads = materialize(heads.select("h", (F.col("c0") == F.col("c1")).alias("alone")), "heads")
+    place = F.struct("doc", "t", F.col("places")[0].alias("a"), "size")
+    heads = found.groupBy("h").agg(F.sum("m").alias("total"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(place).alias("at")).filter("total > 1")
+    heads = materialize(heads.select("h", (F.col("c0") == F.col("c1")).alias("alone"), "at"), "heads")
     live = materialize(found.join(heads, "h"), "live")
-    some = F.struct("doc", "t", F.col("places")[0].alias("a"), "size")
-    contexts = materialize(live.filter("NOT alone").groupBy("h", "c").agg(F.sum("m").alias("n"), F.min(some).alias("at")), "contexts")
-    widths = contexts.groupBy("h").agg(F.ceil(F.count(F.lit(1)) * (2 * length) / SHARD_BYTES).alias("parts"))
-    widths = materialize(widths, "widths")
-    wanted = (
-        contexts.join(widths, "h")
-        .groupBy(F.col("at.doc").alias("doc"), F.col("at.t").alias("t"))
-        .agg(F.collect_list(F.struct("h", F.pmod(F.col("c"), F.col("parts")).cast("int").alias("part"), "c", "n", (F.col("parts") > 1).alias("divided"), "at.a", "at.size")).alias("want"))
-    )
-    texts = docs.join(materialize(wanted, "wanted").withColumnsRenamed({"doc": "_doc", "t": "_t"}), (F.col("doc") == F.col("_doc")) & (F.col("t") == F.col("_t")))
+    contexts = materialize(live.filter("NOT alone").groupBy("h", "c").agg(F.sum("m").alias("n"), F.min(place).alias("at")), "contexts")
+    widths = materialize(contexts.groupBy("h").agg(F.ceil(F.count(F.lit(1)) * (2 * length) / shard_bytes).alias("parts")), "widths")
+    want = F.struct("h", F.pmod(F.col("c"), F.col("parts")).cast("int").alias("part"), "c", "n", (F.col("parts") > 1).alias("divided"), "at.a", "at.size")
+    wanted = contexts.join(widths, "h").groupBy(F.col("at.doc").alias("_doc"), F.col("at.t").alias("_t")).agg(F.collect_list(want).alias("want"))
+    texts = docs.join(materialize(wanted, "wanted"), (F.col("doc") == F.col("_doc")) & (F.col("t") == F.col("_t")))
 
     def cut(batch: pa.RecordBatch):
-        out: list[list] = [[] for _ in range(6)]
-        for raw_text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        out: list[list] = [[] for _ in range(7)]
+        for doc, t, raw_text, want in zip(*(batch.column(i).to_pylist() for i in range(4))):
             for w in want:
-                for column, value in zip(out, (w["h"], w["part"], w["c"], w["n"], w["divided"], raw_text[w["a"] : w["a"] + w["size"]])):
+                order = b"".join((x + (1 << 63)).to_bytes(8, "big") for x in (doc, t, w["a"]))
+                for column, value in zip(out, (w["h"], w["part"], w["c"], w["n"], w["divided"], raw_text[w["a"] : w["a"] + w["size"]], order)):
                     column.append(value)
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["h", "part", "c", "n", "divided", "raw"])
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["h", "part", "c", "n", "divided", "raw", "order"])
 
-    pieces = map_batches(texts.select("raw", "want"), cut, "h long, part int, c long, n long, divided boolean, raw binary")
+    pieces = map_batches(texts.select("doc", "t", "raw", "want"), cut, "h long, part int, c long, n long, divided boolean, raw binary, order binary")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = pieces.repartition(width, "h", "part").sortWithinPartitions("h", "part", "c")
-    ints = "array<int>"
-    local = materialize(dealt.mapInArrow(_shard_results(length), f"h long, c long, a {ints}, b {ints}, s {ints}, keys binary, divided boolean"), "shards")
+    local = materialize(dealt.mapInArrow(_shard_results(length, shard_bytes), "h long, c long, " + ", ".join(f"{n} array<int>" for n in ("a", "b", "a1", "b1", "s")) + ", keys binary"), "shards")
     # Strings of divided anchors across their shards.
-    each = local.filter("divided").select("h", "c", "keys", F.posexplode("s").alias("k", "s"))
-    key = F.concat(F.hex(F.substring("keys", F.col("k") * 16 + 1, 16)))
-    crossing = each.select(key.alias("key"), "h", "c", "s").repartition(width, "key").sortWithinPartitions("key")
-    shared = crossing.mapInArrow(_merge, "h long, c long, s int").groupBy("h", "c").agg(F.array_sort(F.collect_set("s")).alias("more"))
-    one = local.select("h", "c", F.arrays_zip("a", "b").alias("runs")).filter(F.size("runs") > 0)
-    more = shared.select("h", "c", F.transform("more", lambda s: F.struct(s.alias("a"), (s + 1).alias("b"))).alias("runs"))
-    decided = materialize(one.unionByName(more), "decided")
-    starts = F.struct(F.lit(0).alias("a"), (F.col("size") - (length - 1)).alias("b"))
-    by_context = live.filter("NOT alone").join(decided, ["h", "c"]).select("doc", "t", "places", "runs")
-    repeated = live.filter("alone").select("doc", "t", "places", F.array(starts).alias("runs")).unionByName(by_context)
-    spans = F.flatten(F.transform("places", lambda p: F.transform("runs", lambda r: F.struct((p + r["a"]).alias("a"), (p + r["b"]).alias("b")))))
+    strings = local.filter(F.size("s") > 0).join(contexts.select("h", "c", "at"), ["h", "c"]).select("h", "c", "at", "keys", F.posexplode("s").alias("k", "s"))
+    crossing = strings.select(F.hex(F.substring("keys", F.col("k") * 16 + 1, 16)).alias("key"), "h", "c", "s", "at")
+    crossing = crossing.repartition(width, "key").sortWithinPartitions("key", "at", "s").select("key", "h", "c", "s")
+    shared = crossing.mapInArrow(_merge, "h long, c long, s int, later boolean").groupBy("h", "c").agg(F.collect_set(F.when(F.col("later"), F.col("s"))).alias("s0"), F.collect_set(F.when(~F.col("later"), F.col("s"))).alias("s1"))
+    single = lambda name: F.transform(name, lambda s: F.struct(s.alias("a"), (s + 1).alias("b")))
+    zipped = lambda a, b: F.transform(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b")), lambda z: F.struct(z["a"].alias("a"), z["b"].alias("b")))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    # Of a string that other shards hold too, the place at hand may be the first of all: it stays at its context's
+    # first place, and goes elsewhere if the context has other places; that much the shard has said already.
+    firsts = none if keep_first else single("s1")
+    decided = local.select("h", "c", zipped("a", "b").alias("all"), zipped("a1", "b1").alias("rest")).unionByName(
+        shared.select("h", "c", F.concat(single("s0"), firsts).alias("all"), none.alias("rest"))
+    )
+    decided = decided.filter(F.size("all") + F.size("rest") > 0).join(contexts.select("h", "c", "at"), ["h", "c"])
+    decided = materialize(decided, "decided")
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("size") - (length - 1)).alias("b")))
+    columns = ("doc", "t", "places", "all", "rest", "at")
+    by_context = live.filter("NOT alone").drop("at").join(decided, ["h", "c"]).select(*columns)
+    repeated = live.filter("alone").withColumn("all", none).withColumn("rest", whole).select(*columns).unionByName(by_context)
+    first = (F.col("at.doc") == F.col("doc")) & (F.col("at.t") == F.col("t"))
+    runs = lambda p: F.when(first & (F.col("at.a") == p) & F.lit(keep_first), F.col("all")).otherwise(F.concat("all", "rest"))
+    spans = F.flatten(F.transform("places", lambda p: F.transform(runs(p), lambda r: F.struct((p + r["a"]).alias("a"), (p + r["b"]).alias("b")))))
     return repeated.select("doc", "t", spans.alias("spans")).groupBy("doc", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
@@ -342,9 +355,12 @@ def covered(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, kept_col: str = "kept", removed_col: str = "removed") -> DataFrame:
-    """``df`` with the remaining bytes and the removed byte ranges (array of ``a``, ``b``)."""
-    starts = materialize(repeated_starts(df, id_col, text_col, length), "repeats").select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), F.col("spans").alias("_spans"))
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, *, keep_first: bool = False, shard_bytes: int = SHARD_BYTES, kept_col: str = "kept", removed_col: str = "removed") -> DataFrame:
+    """``df`` with the remaining bytes and the removed byte ranges (array of ``a``, ``b``).
+
+    Every place of a repeated string goes; with ``keep_first`` one of them stays.
+    """
+    starts = materialize(repeated_starts(df, id_col, text_col, length, keep_first, shard_bytes), "repeats").select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), F.col("spans").alias("_spans"))
     columns = [c for c in df.columns if c not in (kept_col, removed_col)]
     kinds = dict(df.dtypes)
     joined = df.join(starts, (F.xxhash64(id_col) == F.col("_doc")) & (_doc_key(text_col) == F.col("_t")), "left")
