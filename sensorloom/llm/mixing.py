@@ -59,7 +59,7 @@ def source_targets(sized: DataFrame, source_col: str = "source", size_col: str =
     )
 
 
-def add_copies(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", *, tie_cols: Sequence[Column] = (), seed: int = 0) -> DataFrame:
+def add_copies(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", *, tie_cols: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """``df`` with ``source_size``, ``target`` and ``copies``, how often the mix takes each row.
 
     ``df`` and ``targets`` must come from the same rows. Rows equal in size, id and ``tie_cols`` are taken in
@@ -90,8 +90,8 @@ def add_copies(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", source
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 0, **shares) -> DataFrame:
     """The rows of ``df``, each as often as the mix takes it."""
-    columns = df.columns
-    sized = df.withColumn("_size", word_count(text_col))
-    targets = source_targets(sized.select(source_col, "_size"), source_col, "_size", **shares)
-    taken = add_copies(sized, targets, id_col, source_col, "_size", tie_cols=[F.xxhash64(text_col)], seed=seed)
-    return taken.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_whole")
+    sized = df.select(whole, F.col(id_col).alias("_id"), F.col(source_col).alias("_from"), word_count(text_col).alias("_size"), F.xxhash64(text_col).alias("_tie"))
+    targets = source_targets(sized.select("_from", "_size"), "_from", "_size", **shares)
+    taken = add_copies(sized, targets, "_id", "_from", "_size", tie_cols=["_tie"], seed=seed).filter("copies > 0")
+    return taken.select("_whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_whole.*")

@@ -355,10 +355,19 @@ def covered(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, *, keep_first: bool = False, shard_bytes: int = SHARD_BYTES, kept_col: str = "kept", removed_col: str = "removed") -> DataFrame:
+def _whole(raw: bytes, a: int, b: int) -> tuple[int, int]:
+    while a > 0 and raw[a] & 0xC0 == 0x80:
+        a -= 1
+    while b < len(raw) and raw[b] & 0xC0 == 0x80:
+        b += 1
+    return a, b
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, *, keep_first: bool = False, whole_characters: bool = False, shard_bytes: int = SHARD_BYTES, kept_col: str = "kept", removed_col: str = "removed") -> DataFrame:
     """``df`` with the remaining bytes and the removed byte ranges (array of ``a``, ``b``).
 
-    Every place of a repeated string goes; with ``keep_first`` one of them stays.
+    Every place of a repeated string goes; with ``keep_first`` one of them stays. ``whole_characters`` also
+    removes what a range leaves of a UTF-8 character that it cuts.
     """
     starts = materialize(repeated_starts(df, id_col, text_col, length, keep_first, shard_bytes), "repeats").select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), F.col("spans").alias("_spans"))
     columns = [c for c in df.columns if c not in (kept_col, removed_col)]
@@ -370,6 +379,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kept, removed = [], []
         for raw, spans in zip(batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist()):
             ranges = covered(spans, length)
+            if whole_characters:
+                ranges = [_whole(raw, a, b) for a, b in ranges]
             edges = [0, *[e for r in ranges for e in r], len(raw)]
             kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
             removed.append([{"a": a, "b": b} for a, b in ranges])
