@@ -73,7 +73,9 @@ def phrase_places(lower: Column, phrases: Mapping[str, str]) -> Column:
     """An array with one array of word places for each phrase; texts without any phrase skip the search."""
     pattern = "|".join(_GAP.join(p.split()) for p in phrases)
     words = F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
-    return F.when(lower.rlike(pattern), F.array(*[_starts(words, p.split()) for p in phrases]))
+    # The words are bound to a name by a transform of one element: each test would cut the text again otherwise.
+    places = F.transform(F.array(words), lambda w: F.array(*[_starts(w, p.split()) for p in phrases]))
+    return F.when(lower.rlike(pattern), F.get(places, F.lit(0)))
 
 
 def _joined(labels: Column) -> Column:
