@@ -33,13 +33,13 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, iterations: int = 8) -> Column:
+def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, iterations: int = 100, tolerance: float = 1e-13) -> Column:
     """Ellipsoidal distance in metres by Vincenty's inverse formula (1975).
 
     The fixed-point iteration on the longitude difference runs inside one
-    ``aggregate`` over a short sequence, so no Python and no plan blow-up.
-    Each round shrinks the error by about the flattening, so eight rounds reach
-    double precision. Nearly antipodal points do not converge and are outside its use here.
+    ``aggregate`` over a short sequence, so no Python and no plan blow-up. It stops
+    where a round moves by less than ``tolerance``; most pairs need under eight rounds.
+    Nearly antipodal points may not converge in ``iterations`` rounds and give NULL.
     """
 
     def reduced(lat: Column) -> Column:
@@ -109,9 +109,16 @@ def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, iteration
 
         return angles(e, lam, scale)
 
+    def round_of(e: Column, state: Column) -> Column:
+        moved = _let(step(e, state["lam"]), lambda lam: F.struct(lam.alias("lam"), (F.abs(lam - state["lam"]) <= tolerance).alias("still")))
+        return F.when(state["still"], state).otherwise(moved)
+
     return _let(
         ends,
         lambda e: F.aggregate(
-            F.sequence(F.lit(1), F.lit(iterations)), e["l"], lambda lam, _: step(e, lam), lambda lam: finish(e, lam)
+            F.sequence(F.lit(1), F.lit(iterations)),
+            F.struct(e["l"].alias("lam"), F.lit(False).alias("still")),
+            lambda state, _: round_of(e, state),
+            lambda state: F.when(state["still"], finish(e, state["lam"])),
         ),
     )

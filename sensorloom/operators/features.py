@@ -4,30 +4,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sensorloom.functions.scalars import ratio
 from sensorloom.operators.ordered import SLICE_US, previous_row, row_index, running_sum
-from sensorloom.operators.quantiles import DIRECT_ROWS, exact_percentile, exact_percentiles, groups_are_small
+from sensorloom.operators.quantiles import exact_percentiles
 
 SEGMENT_KEYS = ("device", "event_us", "segment")
 
 
-def _with_quantiles(
-    rows: DataFrame,
-    keys: Sequence[str],
-    columns: Sequence[str],
-    probs: Sequence[float],
-    aggregates: list[Column],
-    direct_rows: int,
-    small: bool | None = None,
-) -> DataFrame:
-    """One grouped pass; quantiles inline while groups are small, else by the bracketed form."""
-    if groups_are_small(rows, keys, direct_rows) if small is None else small:
-        return rows.groupBy(*keys).agg(*aggregates, *[exact_percentile(c, probs).alias(f"{c}_q") for c in columns])
-    quantiles = exact_percentiles(rows, columns, probs, keys, direct_rows)
-    return rows.groupBy(*keys).agg(*aggregates).join(quantiles, list(keys))
+def _with_quantiles(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], aggregates: list[Column]) -> DataFrame:
+    """One row for each group with the aggregates and the quantiles; NULL keys and groups of NULLs stay."""
+    grouped = rows.groupBy(*keys).agg(*aggregates)
+    quantiles = exact_percentiles(rows, columns, probs, keys)
+    return grouped.join(quantiles, reduce(and_, [grouped[k].eqNullSafe(quantiles[k]) for k in keys])).drop(*[quantiles[k] for k in keys])
 
 
 def segment_features(
@@ -35,7 +28,6 @@ def segment_features(
     columns: Sequence[str],
     keys: Sequence[str] = SEGMENT_KEYS,
     us: str = "us",
-    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Maximum, minimum, mean, median, population deviation and root mean square per segment and axis.
 
@@ -50,7 +42,7 @@ def segment_features(
             F.stddev_pop(c).alias(f"{c}__standard_deviation"),
             F.sqrt(F.avg(F.col(c) * F.col(c))).alias(f"{c}__root_mean_square"),
         ]
-    out = _with_quantiles(rows, keys, columns, [0.5], aggregates, direct_rows)
+    out = _with_quantiles(rows, keys, columns, [0.5], aggregates)
     return out.withColumns({f"{c}__median": F.col(f"{c}_q")[0] for c in columns}).drop(*[f"{c}_q" for c in columns])
 
 
@@ -68,7 +60,6 @@ def segment_fft(
     The sums are plain aggregates, combined map-side; coefficients above half the
     sample count do not exist and are left out.
     """
-    slice_us = None if groups_are_small(rows, keys) else slice_us
     indexed = row_index(rows, "_i", keys, us, tie, slice_us)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     turn = F.col("_i") * F.lit(2 * math.pi) / F.col("_n")
@@ -122,7 +113,6 @@ def segment_features_ext(
     us: str = "us",
     tie: Sequence[str] = (),
     slice_us: int = SLICE_US,
-    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Further whole-segment statistics of one axis.
 
@@ -131,8 +121,6 @@ def segment_features_ext(
     lag-1 autocorrelation, linear trend slope and the quantiles .1-.9.
     """
     x = F.col(column)
-    small = groups_are_small(rows, keys, direct_rows)
-    slice_us = None if small else slice_us
     rows = rows.select(*dict.fromkeys([*keys, us, *tie, column]))
     indexed = row_index(rows, "_i", keys, us, tie, slice_us)
     levels = rows.groupBy(*keys).agg(
@@ -171,7 +159,7 @@ def segment_features_ext(
         F.max(n).alias("n_rows"),
     ]
     probs = [i / 10 for i in range(1, 10)]
-    out = _with_quantiles(runs, keys, [column], probs, aggregates, direct_rows, small)
+    out = _with_quantiles(runs, keys, [column], probs, aggregates)
     nn, var = F.col("n_rows").cast("double"), F.col("variance")
     # Sample skewness and excess kurtosis with the usual small-sample corrections.
     m2, m3, m4 = var, F.col("_m3") / nn, F.col("_m4") / nn

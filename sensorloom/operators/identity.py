@@ -51,13 +51,14 @@ CODE_SCATTER = 141_650_939
 
 
 def letter_code(number: Column, letters: int = CODE_LETTERS) -> Column:
-    """A distinct lower-case code per number below 26**letters."""
+    """A distinct lower-case code per number: six letters below 26**6, twelve above."""
     space = 26**letters
-    scattered = F.pmod(number * F.lit(CODE_SCATTER), F.lit(space))
-    parts = [
-        F.char((F.lit(97) + F.pmod(F.floor(scattered / F.lit(26**i)), F.lit(26))).cast("int")) for i in range(letters)
-    ]
-    return F.concat(*parts)
+
+    def spelled(value: Column) -> Column:
+        return F.concat(*[F.char((F.lit(97) + F.pmod(F.floor(value / F.lit(26**i)), F.lit(26))).cast("int")) for i in range(letters)])
+
+    code = spelled(F.pmod(F.pmod(number, F.lit(space)) * F.lit(CODE_SCATTER), F.lit(space)))
+    return F.when(number < space, code).otherwise(F.concat(code, spelled(F.floor(number / F.lit(space)))))
 
 
 def anonymize_ids(df: DataFrame, column: str, known: DataFrame | None = None) -> DataFrame:
@@ -88,12 +89,9 @@ def anonymize_ids(df: DataFrame, column: str, known: DataFrame | None = None) ->
     return fresh if known is None else known.select(column, "code_number", "code").unionByName(fresh)
 
 
-def category_values(df: DataFrame, column: str, limit: int = 1000) -> list:
-    """Distinct values of a categorical column, refused above ``limit``."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} categories")
-    return sorted(r[0] for r in rows)
+def category_values(df: DataFrame, column: str) -> list:
+    """Distinct values of a categorical column; each becomes a column."""
+    return sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
 
 
 def one_hot(df: DataFrame, columns: Sequence[str], categories: dict[str, Sequence] | None = None) -> DataFrame:

@@ -100,19 +100,20 @@ def event_label_table(
 
 
 def synthetic_events(
-    rows: DataFrame, sessions: DataFrame, length_us: int, us: str = "us"
+    rows: DataFrame, sessions: DataFrame, length_us: int, us: str = "us", keys: Sequence[str] = ()
 ) -> DataFrame:
     """Cut each session into events of ``length_us`` centred at start + length/2, and tag the rows with ``event_us``.
 
     A row on the edge of two events goes to the later one; the last event is the
-    last whose centre lies before end + length/2. Later sessions win.
+    last whose centre lies before end + length/2. Later sessions win. Sessions of
+    single devices name them in ``keys``; without keys they hold for all devices.
     """
     length = F.lit(length_us).cast("long")
     last = F.ceil((F.col("end_us") - F.col("start_us")) / length) - 1
     reach = sessions.withColumn("_last", F.greatest(last, F.lit(0)).cast("long")).withColumn(
         "end_us", F.col("start_us") + (F.col("_last") + 1) * length
     )
-    found = interval_lookup(rows, reach, ["_last"], us)
+    found = interval_lookup(rows, reach, ["_last"], us, keys=keys)
     index = F.least(F.expr(f"({us} - _hit.start_us) div {length_us}"), F.col("_hit._last"))
     return found.withColumn("event_us", F.col("_hit.start_us") + index * length + F.lit(length_us // 2)).drop("_hit")
 
@@ -120,6 +121,5 @@ def synthetic_events(
 def synthetic_event_labels(
     tagged: DataFrame, label: str = "label", device: str = "device", us: str = "us", tie: Sequence[str] = ()
 ) -> DataFrame:
-    """Event → label and device of the event's first row."""
-    first = F.min_by(F.struct(label, device), F.struct(us, *tie)).alias("_f")
-    return tagged.groupBy("event_us").agg(first).select("event_us", f"_f.{label}", f"_f.{device}")
+    """Event (device and time) → label of the event's first row of that device."""
+    return tagged.groupBy(device, "event_us").agg(F.min_by(label, F.struct(us, *tie)).alias(label)).select("event_us", label, device)

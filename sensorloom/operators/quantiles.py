@@ -1,105 +1,78 @@
 """Exact quantiles that do not gather a large group in one buffer.
 
-The built-in ``percentile`` keeps every distinct value of a group in memory. It
-is used while the largest group is small. Beyond that, two passes bracket each
-quantile with ``percentile_approx`` (bounded sketches, combined map-side), count
-what lies below the bracket, and rank only the values inside it - about
-``6 / accuracy`` of a group. The result is the same number.
+A bounded sketch (``percentile_approx``, combined map-side) brackets each quantile; one more pass counts what
+lies below the bracket and on its ends and collects only what lies strictly inside, about ``6 / accuracy`` of
+a group. The quantile follows from these counts. There is one path for groups of every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-DIRECT_ROWS = 2_000_000
 
+def exact_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (), accuracy: int = 100_000) -> DataFrame:
+    """``keys`` plus, per column, an array ``<column>_q`` of interpolated quantiles.
 
-def groups_are_small(df: DataFrame, keys: Sequence[str] = (), limit: int = DIRECT_ROWS) -> bool:
-    """Whether no group of ``keys`` holds more than ``limit`` rows (one counting pass)."""
-    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    return (largest or 0) <= limit
-
-
-def exact_percentile(column: str, probs: Sequence[float]) -> Column:
-    """Interpolated quantiles as an array; for groups known to be small."""
-    return F.percentile(column, F.array(*[F.lit(float(p)) for p in probs]))
-
+    NULLs are left out and a group of NULLs alone keeps its row with NULL quantiles; NULL keys are a group of
+    their own; NaN counts as the largest value. Without ``keys`` there is one row, also for an empty table.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns]))
+    # A struct as key compares NULLs inside as equal, so that joins keep them.
+    values = df.select(F.struct(*keys, F.lit(0).alias("_")).alias("_k"), pairs.alias("_p")).select("_k", "_p.*")
+    # The sketch needs an order without NaN: it stands with infinity there, and the last ranks give it back.
+    values = values.withColumn("_nan", F.isnan("_v")).withColumn("_v", F.when(F.col("_nan"), F.lit(float("inf"))).otherwise(F.col("_v")))
+    group = ["_k", "_c"]
+    margin = 3 / accuracy
+    ends = {
+        "_lo": F.array(*[F.lit(max(0.0, p - margin)) for p in probs]),
+        "_hi": F.array(*[F.lit(min(1.0, p + margin)) for p in probs]),
+    }
+    sketch = values.groupBy(*group).agg(F.count("_v").alias("_n"), F.count_if("_nan").alias("_n_nan"), *[F.percentile_approx("_v", at, accuracy).alias(name) for name, at in ends.items()])
+    v = F.col("_v")
+    parts = []
+    for i in range(len(probs)):
+        lo, hi = F.col("_lo")[i], F.col("_hi")[i]
+        parts += [
+            F.count(F.when(v < lo, 1)).alias(f"_below{i}"),
+            F.max(F.when(v < lo, v)).alias(f"_under{i}"),
+            F.count(F.when(v == lo, 1)).alias(f"_first{i}"),
+            F.collect_list(F.when((v > lo) & (v < hi), v)).alias(f"_inside{i}"),
+            F.count(F.when((v == hi) & (hi > lo), 1)).alias(f"_last{i}"),
+            F.min(F.when(v > hi, v)).alias(f"_over{i}"),
+        ]
+    facts = F.any_value(F.struct("_n", "_n_nan", "_lo", "_hi")).alias("_s")
+    counted = values.join(sketch, group).groupBy(*group).agg(facts, *parts)
+    counted = counted.withColumns({f"_inside{i}": F.array_sort(f"_inside{i}") for i in range(len(probs))})
+    quantiles = counted.select(*group, F.array(*[_quantile(i, p) for i, p in enumerate(probs)]).alias("_q"))
+    wide = [F.max(F.when(F.col("_c") == c, F.col("_q"))).alias(f"{c}_q") for c in columns]
+    if not keys:
+        return quantiles.agg(*wide)
+    return quantiles.groupBy("_k").agg(*wide).select(*[F.col("_k")[k].alias(k) for k in keys], *[f"{c}_q" for c in columns])
 
-def exact_percentiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    keys: Sequence[str] = (),
-    direct_rows: int = DIRECT_ROWS,
-    accuracy: int = 10_000,
-) -> DataFrame:
-    """``keys`` plus, per column, an array ``<column>_q`` of interpolated quantiles (NULLs ignored)."""
-    if groups_are_small(df, keys, direct_rows):
-        return df.groupBy(*keys).agg(*[exact_percentile(c, probs).alias(f"{c}_q") for c in columns])
-    return bracketed_percentiles(df, columns, probs, keys, accuracy)
 
+def _quantile(i: int, prob: float) -> Column:
+    """The interpolated quantile from the counts around the bracket ``i``."""
+    n, lo, hi = F.col("_s._n"), F.col("_s._lo")[i], F.col("_s._hi")[i]
+    inside = F.col(f"_inside{i}")
+    to_lo = F.col(f"_below{i}")
+    to_inside = to_lo + F.col(f"_first{i}")
+    to_hi = to_inside + F.size(inside)
 
-def bracketed_percentiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (), accuracy: int = 10_000
-) -> DataFrame:
-    """The two-pass form of ``exact_percentiles`` for groups of any size."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns]))
-    group = [*keys, "_c"]
-    values = df.select(*keys, pairs.alias("_p")).select(*keys, "_p.*").filter(F.col("_v").isNotNull())
-    margin = 3 / accuracy
-    low = F.array(*[F.lit(max(0.0, p - margin)) for p in probs])
-    high = F.array(*[F.lit(min(1.0, p + margin)) for p in probs])
-    brackets = values.groupBy(*group).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx("_v", low, accuracy).alias("_lo"),
-        F.percentile_approx("_v", high, accuracy).alias("_hi"),
-    )
-    listed = F.arrays_zip("_lo", "_hi", F.array(*[F.lit(float(p)) for p in probs]).alias("_prob"))
-    brackets = brackets.select(*group, "_n", F.posexplode(listed).alias("_i", "_b")).select(
-        *group, "_n", "_i", F.col("_b._lo").alias("_lo"), F.col("_b._hi").alias("_hi"), F.col("_b._prob").alias("_prob")
-    )
-    bounds = brackets.groupBy(*group).agg(
-        F.collect_list(F.struct("_i", "_lo", "_hi")).alias("_all")  # one entry per asked quantile
-    )
-    # Each value meets the few brackets of its group: -1 below, 0 inside, NULL above.
-    placed = F.explode(
-        F.filter(
-            F.transform(
-                "_all",
-                lambda b: F.struct(
-                    b["_i"].alias("_i"),
-                    F.when(F.col("_v") < b["_lo"], F.lit(None).cast("double")).otherwise(F.col("_v")).alias("_in"),
-                    (F.col("_v") <= b["_hi"]).alias("_use"),
-                ),
-            ),
-            lambda x: x["_use"],
-        )
-    )
-    counted = (
-        values.join(bounds, group)
-        .select(*group, placed.alias("_x"))
-        .groupBy(*group, F.col("_x._i").alias("_i"), F.col("_x._in").alias("_in"))
-        .agg(F.count("*").alias("_m"))
-    )
-    # Below-bracket rows are one counted record with a NULL value that sorts first.
-    upto = (
-        Window.partitionBy(*group, "_i").orderBy(F.col("_in").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = counted.withColumn("_cum", F.sum("_m").over(upto)).join(brackets, [*group, "_i"])
-    position = (F.col("_n") - 1) * F.col("_prob")
-    picked = (
-        ranked.withColumn("_pos", position)
-        .groupBy(*group, "_i", "_pos")
-        .agg(
-            F.min(F.when(F.col("_cum") > F.floor("_pos"), F.col("_in"))).alias("_a"),
-            F.min(F.when(F.col("_cum") > F.ceil("_pos"), F.col("_in"))).alias("_z"),
+    def at(rank: Column) -> Column:
+        return (
+            F.when(rank >= n - F.col("_s._n_nan"), F.lit(float("nan")))
+            .when(rank < to_lo, F.col(f"_under{i}"))
+            .when(rank < to_inside, lo)
+            .when(rank < to_hi, F.get(inside, (rank - to_inside).cast("int")))
+            .when(rank < to_hi + F.col(f"_last{i}"), hi)
+            .otherwise(F.col(f"_over{i}"))
         )
-    )
-    value = F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))
-    arrays = picked.groupBy(*group).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_i", value.alias("v")))), lambda x: x["v"]).alias("_q")
-    )
-    wide = [F.max(F.when(F.col("_c") == c, F.col("_q"))).alias(f"{c}_q") for c in columns]
-    return arrays.groupBy(*keys).agg(*wide)
+
+    position = (n - 1) * F.lit(float(prob))
+    low, high = F.floor(position), F.ceil(position)
+    # Each of the two values is looked up once, by a transform.
+    ends = F.transform(F.array(low, high), at)
+    mixed = F.transform(F.array(ends), lambda e: F.when((low == high) | (e[0] == e[1]), e[0]).otherwise((high - position) * e[0] + (position - low) * e[1]))
+    return F.when(n > 0, F.get(mixed, F.lit(0)))

@@ -33,11 +33,10 @@ def event_window_join(
     )
     clash = [c for c in rows.columns if c in events.columns and c != device]
     slim = rows.drop(*clash).withColumn("_bucket", floor_div(F.col(us), width))
-    return (
-        slim.join(bucketed, [device, "_bucket"], how)
-        .filter(F.col(us).between(F.col(event_us) - before, F.col(event_us) + after))
-        .drop("_bucket")
-    )
+    bucketed = bucketed.withColumnsRenamed({device: "_device", "_bucket": "_near"})
+    # The time test belongs to the join: a row that meets no event stays in an outer join.
+    met = (F.col(device) == F.col("_device")) & (F.col("_bucket") == F.col("_near")) & F.col(us).between(F.col(event_us) - before, F.col(event_us) + after)
+    return slim.join(bucketed, met, how).drop("_bucket", "_near", "_device")
 
 
 def event_completeness(

@@ -146,13 +146,15 @@ def contingency_margins(
     """Counts of ``row`` × ``column`` with a total column and a total row.
 
     One grouped pass; the totals come from the few grouped cells. With ``scale``
-    every cell is multiplied (and rounded) before the totals are taken.
+    every cell is multiplied (and rounded) before the totals are taken. Values that
+    are not listed have no column but count in the totals.
     """
     known = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull())
     cells = known.groupBy(F.col(row).cast("string").alias(row)).agg(
-        *[F.count(F.when(F.col(column) == v, 1)).alias(str(v)) for v in values]
+        *[F.count(F.when(F.col(column) == v, 1)).alias(str(v)) for v in values],
+        F.count(F.when(~F.col(column).isin(list(values)), 1)).alias("_other"),
     )
-    names = [str(v) for v in values]
+    names = [*[str(v) for v in values], "_other"]
     if scale is not None:
         scaled = {n: F.col(f"`{n}`") * F.lit(scale) for n in names}
         if decimals is not None:
@@ -160,7 +162,7 @@ def contingency_margins(
         cells = cells.withColumns(scaled)
     cells = cells.withColumn("total", reduce(lambda a, b: a + b, [F.col(f"`{n}`") for n in names]))
     totals = cells.agg(F.lit("total").alias(row), *[F.sum(f"`{n}`").alias(n) for n in [*names, "total"]])
-    return cells.unionByName(totals)
+    return cells.unionByName(totals).drop("_other")
 
 
 def user_class_counts(

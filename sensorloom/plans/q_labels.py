@@ -122,7 +122,7 @@ def _synthetic_events(spark, d):
     "synthetic_event_labels",
     sql_with(
         "sensor lab_session",
-        "SELECT event_us, arg_min(label, (us, event_id)) AS label, arg_min(device, (us, event_id)) AS device FROM lab GROUP BY event_us",
+        "SELECT event_us, arg_min(label, (us, event_id)) AS label, device FROM lab GROUP BY device, event_us",
         _SYN_SQL,
     ),
 )

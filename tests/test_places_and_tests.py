@@ -78,18 +78,103 @@ def test_connected_components(spark):
     assert (got[1, 31], got[2, 5]) == (30, 4)
 
 
-def test_bracketed_percentiles_are_exact(spark):
+@pytest.mark.parametrize("accuracy", [500, 100_000])
+def test_percentiles_are_exact(spark, accuracy):
     rng = np.random.default_rng(8)
     values = np.concatenate([rng.normal(size=30_000), np.full(15_000, 0.25), [np.nan]])
     rows = [(int(i % 2), None if v != v else float(v)) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "g long, x double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
-    got = {r["g"]: r["x_q"] for r in quantiles.bracketed_percentiles(df, ["x"], probs, ["g"], accuracy=500).collect()}
+    got = {r["g"]: r["x_q"] for r in quantiles.exact_percentiles(df, ["x"], probs, ["g"], accuracy=accuracy).collect()}
     for g in (0, 1):
         want = np.quantile([x for k, x in rows if k == g and x is not None], probs)
         assert np.allclose(got[g], want, atol=1e-12)
 
 
+@pytest.mark.parametrize("copies", [1, 700])
+def test_percentiles_keep_null_groups_and_nan(spark, copies):
+    nan = float("nan")
+    groups = {"a": [1.0, 2.0, nan], "b": [None, None], None: [3.0, 5.0], "d": [7.0, None], "e": [nan, 1.0, 2.0, 4.0]}
+    df = spark.createDataFrame([(g, x, i) for g, xs in groups.items() for x in xs for i in range(copies)], "g string, x double, i long")
+    got = {r["g"]: r["x_q"] for r in quantiles.exact_percentiles(df, ["x"], [0.0, 0.5, 1.0], ["g"], accuracy=200).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        known = sorted((x for x in xs for _ in range(copies) if x is not None), key=lambda x: (x != x, x))
+        for p, v in zip([0.0, 0.5, 1.0], got[g]):
+            if not known:
+                assert v is None
+                continue
+            at = (len(known) - 1) * p
+            a, z = known[int(np.floor(at))], known[int(np.ceil(at))]
+            want = a if a == z or at % 1 == 0 else (a + z) / 2
+            assert v == want or (v != v and want != want)
+    assert quantiles.exact_percentiles(df.limit(0), ["x"], [0.5]).collect()[0]["x_q"] is None
+
+
+def test_small_exact_percentiles_of_every_size(spark):
+    rows = [(n, float((7 * k) % n)) for n in range(1, 40) for k in range(n)]
+    probs = [i / 10 for i in range(11)]
+    got = {r["n"]: r["x_q"] for r in quantiles.exact_percentiles(spark.createDataFrame(rows, "n long, x double"), ["x"], probs, ["n"]).collect()}
+    for n in range(1, 40):
+        assert np.allclose(got[n], np.quantile([x for m, x in rows if m == n], probs), atol=1e-9)
+
+
+def test_segment_features_keep_a_segment_of_nulls(spark):
+    from sensorloom.operators.features import segment_features
+
+    df = spark.createDataFrame([("d", 0, 0, 1, 2.0), ("d", 0, 1, 2, None), (None, 0, 0, 3, 4.0)], "device string, event_us long, segment long, us long, x double")
+    got = {(r["device"], r["segment"]): r["x__median"] for r in segment_features(df, ["x"]).collect()}
+    assert got == {("d", 0): 2.0, ("d", 1): None, (None, 0): 4.0}
+
+
+def test_left_range_join_keeps_rows_without_event(spark):
+    from sensorloom.operators.ranges import event_window_join
+
+    rows = spark.createDataFrame([("a", 5), ("a", 100), ("b", 5)], "device string, us long")
+    events = spark.createDataFrame([("a", 6), ("a", 300)], "device string, event_us long")
+    got = sorted((r["device"], r["us"], r["event_us"]) for r in event_window_join(rows, events, 3, 3, how="left").fillna(-1).collect())
+    assert got == [("a", 5, 6), ("a", 100, -1), ("b", 5, -1)]
+
+
+def test_synthetic_events_of_two_devices(spark):
+    from sensorloom.operators import labels
+
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("b", 3, "y")], "device string, us long, label string")
+    sessions = spark.createDataFrame([(0, 10, 1)], "start_us long, end_us long, priority int")
+    tagged = labels.synthetic_events(rows, sessions, 10)
+    assert sorted((r["device"], r["label"]) for r in labels.synthetic_event_labels(tagged).collect()) == [("a", "x"), ("b", "y")]
+    own = spark.createDataFrame([("b", 0, 10, 1)], "device string, start_us long, end_us long, priority int")
+    assert {r["device"] for r in labels.synthetic_events(rows, own, 10, keys=["device"]).collect()} == {"b"}
+
+
+def test_unlisted_classes_count_in_totals(spark):
+    from sensorloom.operators.summaries import contingency_margins
+
+    df = spark.createDataFrame([("r", 0), ("r", 9), ("s", 1)], "row string, m int")
+    got = {r["row"]: (r["0"], r["1"], r["total"]) for r in contingency_margins(df, "row", "m", [0, 1]).collect()}
+    assert got == {"r": (1, 0, 2), "s": (0, 1, 1), "total": (1, 1, 3)}
+
+
+def test_codes_beyond_six_letters(spark):
+    from pyspark.sql import functions as F
+    from sensorloom.operators.identity import letter_code
+
+    numbers = [0, 1, 26**6 - 1, 26**6, 2 * 26**6, 26**6 + 1]
+    codes = [r[0] for r in spark.createDataFrame([(n,) for n in numbers], "n long").select(letter_code(F.col("n"))).collect()]
+    assert len(set(codes)) == len(numbers) and [len(c) for c in codes] == [6, 6, 6, 12, 12, 12]
+
+
+def test_geodesic_far_apart(spark):
+    from pyspark.sql import functions as F
+    from sensorloom.functions.geo import geodesic_m
+
+    df = spark.createDataFrame([(0.0, 0.0, 0.5, 179.7), (0.0, 0.0, 0.5, 179.5), (50.0, 8.0, 50.0, 8.0)], "a double, b double, c double, d double")
+    far, near, same = [r[0] for r in df.select(geodesic_m(*map(F.col, "abcd"))).collect()]
+    assert same == 0.0
+    assert near is None or abs(near - 19_936_288.579) < 0.01
+    assert far is None or far > 19_936_000
+
+
 def test_mann_whitney_against_counts(spark):
     rng = random.Random(9)
     rows = [(rng.choice("ab"), float(rng.randrange(12))) for _ in range(300)]
