@@ -94,12 +94,16 @@ def loso_predictions(
 
 
 def split_predictions(
-    df: DataFrame, features: Sequence[str], label: str, key: str, test_share: float = 0.5, seed: int = 11, **params
+    df: DataFrame, features: Sequence[str], label: str, key: str, subject: str, test_subjects: Sequence | None = None,
+    test_share: float = 0.5, seed: int = 11, **params,
 ) -> DataFrame:
-    """Fixed train / test split by a hash of the row key, for a single model."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10_000))
-    data = materialize(df.filter(F.col(label).isNotNull()), "features")
-    test = bucket < int(test_share * 10_000)
+    """Fixed train / test split for a single model: whole subjects are on one side.
+
+    ``test_subjects`` names the test set; without it a hash of the subject chooses about ``test_share`` of them.
+    """
+    data = materialize(df.filter(F.col(label).isNotNull() & F.col(subject).isNotNull()), "features")
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(subject)), F.lit(10_000))
+    test = bucket < int(test_share * 10_000) if test_subjects is None else F.col(subject).isin(list(test_subjects))
     fitted = fit_forest(data.filter(~test), features, label, seed, **params)
     if fitted is None:
         raise ValueError("one class in the training half")

@@ -232,7 +232,7 @@ def kmeans_k_sweep(
     min_rows: int = 3600,
     near_m: float = 50.0,
     stop_silhouette: float = 0.9,
-    iterations: int = 12,
+    tolerance: float = 1e-9,
     device: str = "device",
     us: str = "us",
 ) -> DataFrame:
@@ -243,7 +243,8 @@ def kmeans_k_sweep(
     The silhouette uses squared distances, which follow from counts, sums and sums
     of squares per cluster. The first k whose silhouette exceeds the limit wins,
     otherwise the best. Participants with fewer distinct coordinates than the
-    smallest k get one location.
+    smallest k get one location, whose silhouette is 1. Rounds go on until no centre
+    moves by more than ``tolerance`` degrees.
     """
     ks = sorted(ks)
     hour = hour_of(F.col(us))
@@ -278,12 +279,19 @@ def kmeans_k_sweep(
         nearest = F.array_min(F.transform("_cs", lambda c: F.struct(square(c).alias("d"), c["c"].alias("c"))))
         return points.join(listed(current), device).withColumn("c", nearest["c"]).drop("_cs")
 
-    for i in range(iterations):
-        centres = assign(centres).groupBy(device, "k", "c").agg(
+    def moved(current: DataFrame) -> DataFrame:
+        return assign(current).groupBy(device, "k", "c").agg(
             (F.sum(F.col("lat") * F.col("w")) / F.sum("w")).alias("_lat"), (F.sum(F.col("lon") * F.col("w")) / F.sum("w")).alias("_lon")
         ).withColumnsRenamed({"_lat": "lat", "_lon": "lon"})
-        if i % 4 == 3:  # rounds form one chain; cut it before it grows long
-            centres = materialize(centres, "centres")
+
+    while True:
+        before = centres
+        for _ in range(4):  # rounds form a short chain between two written tables
+            centres = moved(centres)
+        centres = materialize(centres, "centres")
+        still = (F.abs(F.col("lat") - F.col("_lat")) <= tolerance) & (F.abs(F.col("lon") - F.col("_lon")) <= tolerance)
+        if centres.join(before.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}), [device, "k", "c"]).filter(~still).isEmpty():
+            break
 
     members = assign(centres)
     w = F.col("w")
@@ -305,7 +313,7 @@ def kmeans_k_sweep(
     outer = F.array_min(
         F.transform(F.filter("_ps", lambda p: p["c"] != F.col("c")), lambda p: spread(p) / p["n"])
     )
-    value = F.coalesce(F.try_divide(outer - inner, F.greatest(outer, inner)), F.lit(0.0))
+    value = F.when(F.size("_ps") == 1, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(outer - inner, F.greatest(outer, inner)), F.lit(0.0)))
     scores = (
         members.join(profile, [device, "k"])
         .groupBy(device, "k")

@@ -173,7 +173,7 @@ def _loso_predictions(spark, d):
 
 @query("split_predictions")
 def _split_predictions(spark, d):
-    return rounded(models.split_predictions(_table(spark, d), _FEATURES, "label", "vec_id"))
+    return rounded(models.split_predictions(_table(spark, d), _FEATURES, "label", "vec_id", "device", [0, 1, 2]))
 
 
 @query("loso_grid_search")

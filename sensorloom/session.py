@@ -48,8 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder, in a folder of the application's own."""
+    return os.path.join(shared_dir(spark), f"sensorloom-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
