@@ -28,6 +28,9 @@ from sensorloom.session import materialize
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Columns that a scan adds; columns of the table with these names give way.
+OUTPUTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
 # Phrases and the labels they stand for.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -91,7 +94,7 @@ def scan(
     ``score`` is 1 where a phrase stands, else the largest share of a template's words found in one block.
     Lower-casing may change letters outside A-Z; that moves no word border and makes no phrase.
     """
-    kept = [c for c in df.columns if c != text_col]
+    kept = [c for c in df.columns if c not in (text_col, *OUTPUTS)]
     table = [
         {"label": label, "words": sorted(set(text.split())), "needed": math.ceil(threshold * len(set(text.split())) - 1e-9)}
         for text, label in templates.items()

@@ -63,8 +63,10 @@ def add_copies(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", source
     """``df`` with ``source_size``, ``target`` and ``copies``, how often the mix takes each row.
 
     ``df`` and ``targets`` must come from the same rows. Rows equal in size, id and ``tie_cols`` are taken in
-    any order; with ids that repeat name columns that tell the rows apart.
+    any order; with ids that repeat name columns that tell the rows apart. Columns of ``df`` with the names of
+    the added ones give way.
     """
+    df = df.drop("source_size", "target", "copies")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     buckets = F.floor(F.col("all_rows") / BUCKET_ROWS) + 1
     placed = df.join(targets, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_bucket", _hash(key) % buckets).drop("_source", "source_rows", "all_rows")

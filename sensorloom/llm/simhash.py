@@ -206,4 +206,4 @@ def components(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fing
     rooted = materialize(rooted, "roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"), "components")
-    return prints.join(named, F.col(print_col) == F.col("_fp")).drop("_fp")
+    return prints.drop("component_id").join(named, F.col(print_col) == F.col("_fp")).drop("_fp")

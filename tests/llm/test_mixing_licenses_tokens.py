@@ -42,7 +42,8 @@ def test_mix_reaches_targets(spark):
     for source, t in targets.items():
         assert abs(sum(r.copies * r["size"] for r in taken if r.source == source) - t.target) <= 120
     mixed = mixing.mix(df)
-    assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in mixing.add_copies(df.drop("target", "copies").withColumn("size", mixing.word_count()), mixing.source_targets(sized), tie_cols=["text"]).collect())
+    again = mixing.add_copies(df.withColumn("size", mixing.word_count()), mixing.source_targets(sized), tie_cols=["text"])
+    assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in again.collect())
     assert mixing.mix(df.limit(0)).count() == 0
 
 
@@ -71,6 +72,8 @@ def test_license_scan_of_odd_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert compare(licenses.scan(df), con, queries.ORACLES["op6_licenses"]) is None
     assert licenses.scan(df.limit(0)).count() == 0
+    clash = licenses.scan(spark.createDataFrame([(1, "mit license", "x", "y", 2)], "doc_id long, text string, labels string, key string, score int"))
+    assert [tuple(r[c] for c in ("doc_id", "labels", "key", "score")) for r in clash.collect()] == [(1, "mit", "y", 1.0)]
 
 
 @pytest.fixture(scope="module")
