@@ -285,7 +285,30 @@ def _mann_whitney_u(spark, d):
     return rounded(selection.mann_whitney_u(_coarse(spark, d), _RANKED, "label"))
 
 
-@query("relevant_features")
+def _sql_relevant(columns: list[str], fdr: float = 0.05) -> str:
+    series, fraction = "1.0::DOUBLE", "z"
+    for n in range(selection.TAIL_TERMS, 0, -1):
+        series, fraction = f"(1 + z * z / {2 * n + 1} * {series})", f"(z + {n} / {fraction})"
+    density = "exp(-z * z / 2) * sqrt(2 / pi())"
+    harmonic = sum(1 / i for i in range(1, len(columns) + 1))
+    return sql_with(
+        "fm",
+        f"""SELECT feature, round(min(p), 10) AS min_p_value, count(*) FILTER (i <= cut) AS n_relevant_classes, count(*) FILTER (i <= cut) > 0 AS is_relevant
+        FROM (SELECT *, max(CASE WHEN p <= i * {fdr}::DOUBLE / {len(columns) * harmonic!r}::DOUBLE THEN i END) OVER (PARTITION BY class) AS cut FROM ordered) GROUP BY feature""",
+        "long AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, label AS class, {c} AS x FROM fm" for c in columns) + ")",
+        "counted AS (SELECT *, count(*) OVER (PARTITION BY feature, x) AS c, count(*) OVER (PARTITION BY feature) AS n FROM long)",
+        """ranked AS (SELECT feature, class, n, sum(c * c - 1.0::DOUBLE) OVER (PARTITION BY feature) AS t,
+          rank() OVER (PARTITION BY feature ORDER BY x) + (c - 1) / 2.0::DOUBLE AS rk FROM counted)""",
+        """tested AS (SELECT feature, class, count(*) AS n1, max(n) AS n, max(t) AS t, sum(rk) - count(*) * (count(*) + 1) / 2.0::DOUBLE AS u
+          FROM ranked GROUP BY feature, class)""",
+        """scored AS (SELECT feature, class, greatest(abs(u - n1 * (n - n1) / 2.0::DOUBLE) - 0.5, 0)
+          / sqrt(n1 * (n - n1) / 12.0::DOUBLE * (n + 1 - t / (n * (n - 1.0::DOUBLE)))) AS z FROM tested)""",
+        f"valued AS (SELECT feature, class, coalesce(CASE WHEN z < 3.5 THEN greatest(1 - {density} * z * {series}, 0) ELSE {density} / {fraction} END, 1) AS p FROM scored)",
+        "ordered AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY p, feature) AS i FROM valued)",
+    )
+
+
+@query("relevant_features", _sql_relevant([f"f{i}" for i in range(v.N_FEATURES)]))
 def _relevant_features(spark, d):
     cols = [f"f{i}" for i in range(v.N_FEATURES)]
     return rounded(selection.relevant_features(v.feature_matrix(spark, d), cols, "label"), 10)

@@ -224,14 +224,14 @@ _NEEDS = {
 }
 
 
-def sql_with(names: str, body: str, extra: str = "") -> str:
+def sql_with(names: str, body: str, *extra: str) -> str:
     """SQL text: the named views, optional further CTE text, then ``body``."""
     wanted: list[str] = []
     for name in names.split():
         for part in [*_NEEDS.get(name, []), name]:
             if part not in wanted:
                 wanted.append(part)
-    ctes = [_CTE[n] for n in wanted] + ([extra] if extra else [])
+    ctes = [_CTE[n] for n in wanted] + [e for e in extra if e]
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
