@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.operators.evaluation import classification_metrics
-from sensorloom.operators.selection import class_weights
+from sensorloom.operators.selection import class_weights, impute_columns
 from sensorloom.session import materialize
 
 FOREST = {"numTrees": 20, "maxDepth": 5}
@@ -218,12 +218,15 @@ def routed_scoring(
 ) -> DataFrame:
     """Score each subject with its own model (trained without it), others with the deployment model.
 
-    ``models``: subject → (model, classes). Rows are split by subject and united again.
+    ``models``: subject → (model, classes). Missing and infinite features are imputed first, as a forest
+    would take them for values. Rows are split by subject and united again.
     """
+    features = deployment[0].stages[0].getInputCols()
+    df = impute_columns(df, features)
     everything = sorted({c for _, classes in [*models.values(), deployment] for c in classes})
     known = list(models)
     parts = [(m, c, F.col(subject) == F.lit(s), "own") for s, (m, c) in models.items()]
-    rest = ~F.col(subject).isin(*known) if known else F.lit(True)
+    rest = ~F.coalesce(F.col(subject).isin(*known), F.lit(False)) if known else F.lit(True)
     parts.append((*deployment, rest, "deployment"))
     out: DataFrame | None = None
     for model, classes, where, name in parts:

@@ -313,3 +313,25 @@ def test_synthetic_events_edges(spark):
     rows = spark.createDataFrame([(t,) for t in (0, 9, 10, 20, 29, 30, 31)], "us long")
     got = {r["us"]: r["event_us"] for r in labels.synthetic_events(rows, sessions, 10).collect()}
     assert got == {0: 5, 9: 5, 10: 15, 20: 25, 29: 25, 30: 25}
+
+
+def test_routed_scoring_imputes_missing_features(spark):
+    from sensorloom.operators import models
+
+    rng = random.Random(12)
+    rows = [(k, k % 3, "ab"[k % 2], float(k % 2) * 4 + rng.random(), rng.random()) for k in range(60)]
+    df = spark.createDataFrame(rows, "row long, device int, label string, x double, y double")
+    fitted = models.fit_forest(df, ["x", "y"], "label", numTrees=3)
+    odd = spark.createDataFrame([(100, 7, "a", None, float("nan")), (101, None, "b", float("inf"), None)], df.schema)
+    got = models.routed_scoring(df.unionByName(odd), {0: fitted}, fitted, "label", "device", keep=["row"]).collect()
+    assert len(got) == 62 and {r["row"]: r["y_pred"] for r in got}[101] == "b"
+    assert {r["model"] for r in got if r["row"] in (100, 101)} == {"deployment"}
+
+
+def test_split_by_subjects(spark):
+    from sensorloom.operators import models
+
+    rows = [(k, k % 5, "ab"[k % 2], float(k % 2)) for k in range(50)]
+    df = spark.createDataFrame(rows, "row long, device int, label string, x double")
+    got = models.split_predictions(df, ["x"], "label", "row", "device", [1, 2], numTrees=2)
+    assert sorted(r["row"] for r in got.collect()) == [k for k in range(50) if k % 5 in (1, 2)]
