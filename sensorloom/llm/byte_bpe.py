@@ -26,7 +26,9 @@ _NONE = np.int64(1 << 40)
 #: Pieces above this length are merged one by one, all places of the smallest rank in one round.
 LONG_PIECE = 256
 #: Distinct pieces a worker remembers; beyond that it starts again. Results do not depend on it.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 200_000
+#: Characters of texts that are cut into pieces together.
+TEXT_STEP = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,7 +50,7 @@ class PairTable:
                     right.append(b)
                     made.append(rank)
         keys = (np.array(left, np.uint64) << np.uint64(32)) | np.array(right, np.uint64)
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
         self.keys = np.full(1 << self.bits, np.iinfo(np.uint64).max, np.uint64)
         self.made = np.full(1 << self.bits, _NONE, np.int64)
         values, slot = np.array(made, np.int64), self._slot(keys)
@@ -169,7 +171,19 @@ class Coder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; the distinct new pieces of all of them are merged together."""
+        """Ids of each text; the distinct new pieces of texts that are taken together are merged together."""
+        out: list[bytes] = []
+        step: list[str] = []
+        size = 0
+        for text in texts:
+            if step and size + len(text) > TEXT_STEP:
+                out += self._encode_step(step)
+                step, size = [], 0
+            step.append(text)
+            size += len(text)
+        return out + self._encode_step(step)
+
+    def _encode_step(self, texts: list[str]) -> list[bytes]:
         split = [self.find(t) for t in texts]
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()

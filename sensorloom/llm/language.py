@@ -27,17 +27,19 @@ from sensorloom.session import materialize
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+").findall
 #: Unseen words a worker remembers with their scores; results do not depend on it.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 @dataclass
 class Model:
-    """Log frequencies per language of words (order 0) and of n-grams (orders 1 and up)."""
+    """Log frequencies per language of words (order 0) and of n-grams (orders 1 and up).
+
+    The items of an order are one text with line ends between them, so that a shipped model stays small.
+    """
 
     languages: list[str]
-    rows: dict[tuple[int, str], int]
-    scores: np.ndarray
-    orders: int
+    items: list[str]
+    scores: list[np.ndarray]
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -86,7 +88,7 @@ def count_features(sample: DataFrame, text_col: str, lang_col: str, orders: int)
 
 def fit(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
-    rows_per_language: int = 2500, max_languages: int = 200, max_items: int = 60_000, orders: int = 5, smoothing: float = 0.5,
+    rows_per_language: int = 2500, max_languages: int = 200, max_items: int = 30_000, orders: int = 5, smoothing: float = 0.5,
 ) -> Model:
     """Learn from a sample of about ``rows_per_language`` rows of the ``max_languages`` commonest languages.
 
@@ -100,52 +102,51 @@ def fit(
     item_counts = counts.groupBy("n", "item").agg(
         F.sum("count").alias("all"), *[F.sum(F.when(F.col("lang") == lang, F.col("count"))).alias(f"c{k}") for k, lang in enumerate(languages)]
     )
-    rows: dict[tuple[int, str], int] = {}
+    items: list[str] = []
     scores: list[np.ndarray] = []
     for order in range(orders + 1) if languages else ():
         top = item_counts.filter(F.col("n") == order).orderBy(F.desc("all"), "item").limit(max_items).toPandas()
         seen = top[[f"c{k}" for k in range(len(languages))]].fillna(0).to_numpy(float)
         total = np.array([totals.get((lang, order), 0) for lang in languages], float)
+        items.append("\n".join(top["item"]))
         scores.append(np.log((seen + smoothing) / (total + smoothing * (len(top) + 1))))
-        start = len(rows)
-        rows.update(((order, item), start + k) for k, item in enumerate(top["item"]))
-    return Model(languages, rows, np.concatenate(scores) if scores else np.zeros((0, 0)), orders)
+    return Model(languages, items, scores)
 
 
 class Scorer:
     """Scores words with a model and remembers the unseen ones."""
 
     def __init__(self, model: Model):
-        self.model = model
-        order = model.scores
-        self.known = {item: row for (n, item), row in model.rows.items() if n == 0}
-        self.base = len(order)
+        self.languages, self.scores = model.languages, model.scores
+        self.rows = [{item: k for k, item in enumerate(text.split("\n") if text else ())} for text in model.items]
+        self.base = len(self.rows[0]) if self.rows else 0
         self.table = np.zeros((self.base + CACHE_WORDS, len(model.languages)))
-        self.table[: self.base] = order
+        if self.rows:
+            self.table[: self.base] = model.scores[0]
         self.seen: dict[str, int] = {}
 
     def backoff(self, word: str) -> np.ndarray:
-        for order in range(self.model.orders, 0, -1):
-            hits = [row for g in grams(word, order) if (row := self.model.rows.get((order, g))) is not None]
+        for order in range(len(self.rows) - 1, 0, -1):
+            hits = [row for g in grams(word, order) if (row := self.rows[order].get(g)) is not None]
             if hits:
-                return self.model.scores[hits].mean(axis=0)
-        return np.zeros(len(self.model.languages))
+                return self.scores[order][hits].mean(axis=0)
+        return np.zeros(len(self.languages))
 
     def row(self, word: str) -> int:
-        at = self.known.get(word)
+        at = self.rows[0].get(word)
         if at is None:
             at = self.seen.get(word)
         if at is None:
             at = self.base + len(self.seen)
             self.seen[word] = at
-            self.table[at] = self.backoff(word[:1000])
+            self.table[at] = self.backoff(word)
         return at
 
     def predict(self, text: str) -> tuple[str, float]:
         counts = Counter(_WORDS(text.lower()))
-        if not counts or not self.model.languages:
+        if not counts or not self.languages:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.model.languages))
+        total = np.zeros(len(self.languages))
         words = list(counts)
         for k in range(0, len(words), CACHE_WORDS // 2):
             part = words[k : k + CACHE_WORDS // 2]
@@ -154,7 +155,7 @@ class Scorer:
             rows = [self.row(w) for w in part]
             total += np.array([counts[w] for w in part], float) @ self.table[rows]
         best = int(total.argmax())
-        return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
+        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
 _SCORERS: dict[str, Scorer] = {}
