@@ -26,6 +26,7 @@ equal rests on a 64-bit hash beside that of the anchor, strings across shards on
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,10 @@ STEP = 1 << 19
 #: before. Positions in a shard must fit into 20 bits.
 SHARD_BYTES = 550_000
 
+#: Bytes that stand for a word where passages are told by words.
+CODE = 6
+_WORDS = re.compile(rb"\S+").finditer
+
 _ROOT = 0x9E3779B97F4A7C15
 _PLACE_BITS = np.uint64(20)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -363,24 +368,79 @@ def _whole(raw: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, *, keep_first: bool = False, whole_characters: bool = False, shard_bytes: int = SHARD_BYTES, kept_col: str = "kept", removed_col: str = "removed") -> DataFrame:
+def word_codes(raw: bytes | None) -> bytes:
+    """A text with ``CODE`` bytes of a hash in place of each word."""
+    hashes = [xxhash.xxh3_64_intdigest(w) for w in (raw or b"").split()]
+    return np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes()
+
+
+def _add_codes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    kind = dict(df.dtypes)[id_col]
+
+    def run(batch: pa.RecordBatch):
+        codes = pa.array([word_codes(raw) for raw in batch.column(1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes], names=["id", "raw", "codes"])
+
+    return map_batches(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("raw")), run, f"id {kind}, raw binary, codes binary")
+
+
+def word_ranges(raw: bytes, spans: list[dict] | None, words: int) -> list[tuple[int, int]]:
+    """The byte ranges of the passages of ``words`` words whose codes start in the spans."""
+    if not spans:
+        return []
+    places = [m.span() for m in _WORDS(raw)]
+    out = []
+    for span in spans:
+        # A string that does not start at a word only tells of the words around it.
+        first, last = -(-span["a"] // CODE), (span["b"] - 1) // CODE
+        if first <= last:
+            out.append((places[first][0], places[last + words - 1][1]))
+    return out
+
+
+def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, *, words: int = 0, keep_first: bool = False, whole_characters: bool = False, shard_bytes: int = SHARD_BYTES, kept_col: str = "kept", removed_col: str = "removed") -> DataFrame:
     """``df`` with the remaining bytes and the removed byte ranges (array of ``a``, ``b``).
 
     Every place of a repeated string goes; with ``keep_first`` one of them stays. ``whole_characters`` also
     removes what a range leaves of a UTF-8 character that it cuts.
+
+    With ``words``, passages of that many equal words (cut at white space) go as well, however short. Both kinds
+    are judged on the input and count their places in one order, so one place of each byte stays with ``keep_first``.
     """
     starts = materialize(repeated_starts(df, id_col, text_col, length, keep_first, shard_bytes), "repeats").select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), F.col("spans").alias("_spans"))
     columns = [c for c in df.columns if c not in (kept_col, removed_col)]
     kinds = dict(df.dtypes)
     joined = df.join(starts, (F.xxhash64(id_col) == F.col("_doc")) & (_doc_key(text_col) == F.col("_t")), "left")
+    if words:
+        coded = _add_codes(df, id_col, text_col)
+        found = repeated_starts(coded, "id", "codes", words * CODE, keep_first, shard_bytes)
+        # The spans go from the codes to the text, whose key tells rows that share an id.
+        of_text = coded.select(F.xxhash64("id").alias("doc"), _doc_key("codes").alias("t"), _doc_key("raw").alias("_t2")).distinct()
+        found = found.join(of_text, ["doc", "t"]).select(F.col("doc").alias("_doc2"), "_t2", F.col("spans").alias("_word_spans"))
+        found = materialize(found, "repeated-words")
+        joined = joined.join(found, (F.xxhash64(id_col) == F.col("_doc2")) & (_doc_key(text_col) == F.col("_t2")), "left")
+    else:
+        joined = joined.withColumn("_word_spans", F.array().cast("array<struct<a:int,b:int>>"))
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"`{kept_col}` binary", f"`{removed_col}` array<struct<a: int, b: int>>"])
 
     def run(batch: pa.RecordBatch):
         kept, removed = [], []
-        for raw, spans in zip(batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist()):
+        for raw, spans, word_spans in zip(*(batch.column(len(columns) + k).to_pylist() for k in range(3))):
             ranges = covered(spans, length)
             if whole_characters:
                 ranges = [_whole(raw, a, b) for a, b in ranges]
+            if words:
+                ranges = _joined(ranges + word_ranges(raw, word_spans, words))
             edges = [0, *[e for r in ranges for e in r], len(raw)]
             kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
             removed.append([{"a": a, "b": b} for a, b in ranges])
@@ -388,4 +448,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(kept, pa.binary()), pa.array(removed, kind)], names=[*columns, kept_col, removed_col])
 
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    return map_batches(joined.select(*[F.col(f"`{c}`") for c in columns], raw.alias("_raw"), "_spans"), run, schema)
+    return map_batches(joined.select(*[F.col(f"`{c}`") for c in columns], raw.alias("_raw"), "_spans", "_word_spans"), run, schema)
