@@ -14,8 +14,8 @@ from sensorloom.session import materialize
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Pruning of the vantage-point trees: one is exact search.
-ANN_FACTOR = 4.0
+#: Pruning of the vantage-point trees: one is exact search. Larger factors lose neighbours as norms spread.
+ANN_FACTOR = 1.0
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 

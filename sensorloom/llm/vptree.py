@@ -1,10 +1,11 @@
-"""Approximate nearest neighbours by largest inner product with vantage-point trees.
+"""Nearest neighbours by largest inner product with vantage-point trees.
 
 One more component, the root of the largest squared length less a vector's own, turns the largest inner
 product into the smallest Euclidean distance. Every shard builds a tree: a vantage point splits its rows at
 the median distance, and each side keeps the range of its distances. A side is skipped when the triangle
 inequality, its margin multiplied by ``factor``, says that it holds nothing nearer than the k-th best so far;
-factor one is exact search. Scores are sums in the order of the components, in double precision.
+factor one, the default, is exact search. What a larger factor loses depends on the norms: one long vector puts every
+query far from all rows, and half a shard is closed. Scores are sums in the order of the components, in double precision.
 
 Results: rows whose vector is null, zero, empty or holds null or non-finite components take no part; of rows
 with one id the smallest vector stands for all, and a query never finds its own id; with fewer candidates
@@ -121,7 +122,7 @@ class Tree:
             self._visit(side, active[chosen[self._open(active[chosen], apart[chosen], bounds)]])
 
 
-def search(vectors: DataFrame, queries: str, top: int = 20, factor: float = 1.5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: str, top: int = 20, factor: float = 1.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The ``top`` nearest other rows found for every row that the SQL condition ``queries`` (on ``id``) selects."""
     each = blocks.one_per_id(vectors.filter(F.exists(vec_col, lambda x: x != 0)), id_col, vec_col)
     square = F.aggregate("vec", F.lit(0.0), lambda total, x: total + x * x)
