@@ -289,7 +289,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_starts(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, keep_first: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``doc, t, spans``: for each document the runs of starts [from, to) whose string also starts elsewhere.
+    """``doc, t, spans``: for each document the runs of starts [from, to) whose string also starts elsewhere, each as
+    one long (``from`` in the upper 32 bits), in no order.
 
     With ``keep_first`` the first place of each string, by a hash of the id and then by position, is left out.
     """
@@ -344,20 +345,20 @@ def repeated_starts(df: DataFrame, id_col: str, text_col: str, length: int = LEN
     repeated = live.filter("alone").withColumn("all", none).withColumn("rest", whole).select(*columns).unionByName(by_context)
     first = (F.col("at.doc") == F.col("doc")) & (F.col("at.t") == F.col("t"))
     runs = lambda p: F.when(first & (F.col("at.a") == p) & F.lit(keep_first), F.col("all")).otherwise(F.concat("all", "rest"))
-    spans = F.flatten(F.transform("places", lambda p: F.transform(runs(p), lambda r: F.struct((p + r["a"]).alias("a"), (p + r["b"]).alias("b")))))
-    return repeated.select("doc", "t", spans.alias("spans")).groupBy("doc", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    packed = lambda p, r: F.shiftleft((p + r["a"]).cast("long"), 32) + (p + r["b"])
+    spans = F.flatten(F.transform("places", lambda p: F.transform(runs(p), lambda r: packed(p, r))))
+    # Rows equal in id and text say the same; a set keeps one of them before and after the shuffle.
+    return repeated.select("doc", "t", spans.alias("spans")).groupBy("doc", "t").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
-def covered(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
-    """Maximal byte ranges that the strings at the starts cover."""
-    out: list[list[int]] = []
-    for span in spans or ():
-        a, b = span["a"], span["b"] - 1 + length
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def covered(spans: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Maximal byte ranges that the strings at the starts cover; ``spans`` are packed as in ``repeated_starts``."""
+    if not len(spans):
+        return []
+    spans = np.sort(spans)
+    a, b = spans >> 32, np.maximum.accumulate((spans & 0xFFFFFFFF) - 1 + length)
+    breaks = np.flatnonzero(a[1:] > b[:-1])
+    return list(zip([int(a[0]), *a[breaks + 1].tolist()], [*b[breaks].tolist(), int(b[-1])]))
 
 
 def _whole(raw: bytes, a: int, b: int) -> tuple[int, int]:
@@ -384,15 +385,15 @@ def _add_codes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_batches(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("raw")), run, f"id {kind}, raw binary, codes binary")
 
 
-def word_ranges(raw: bytes, spans: list[dict] | None, words: int) -> list[tuple[int, int]]:
+def word_ranges(raw: bytes, spans: np.ndarray, words: int) -> list[tuple[int, int]]:
     """The byte ranges of the passages of ``words`` words whose codes start in the spans."""
-    if not spans:
+    if not len(spans):
         return []
     places = [m.span() for m in _WORDS(raw)]
     out = []
-    for span in spans:
+    for a, b in covered(spans, 1):
         # A string that does not start at a word only tells of the words around it.
-        first, last = -(-span["a"] // CODE), (span["b"] - 1) // CODE
+        first, last = -(-a // CODE), (b - 1) // CODE
         if first <= last:
             out.append((places[first][0], places[last + words - 1][1]))
     return out
@@ -408,6 +409,13 @@ def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _arrays(lists: pa.ListArray) -> Iterator[np.ndarray]:
+    """The numbers of each row; none for null."""
+    values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+    for size, end in zip(np.diff(ends, prepend=0), ends):
+        yield values[end - size : end]
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, *, words: int = 0, keep_first: bool = False, whole_characters: bool = False, shard_bytes: int = SHARD_BYTES, kept_col: str = "kept", removed_col: str = "removed") -> DataFrame:
     """``df`` with the remaining bytes and the removed byte ranges (array of ``a``, ``b``).
 
@@ -430,12 +438,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = materialize(found, "repeated-words")
         joined = joined.join(found, (F.xxhash64(id_col) == F.col("_doc2")) & (_doc_key(text_col) == F.col("_t2")), "left")
     else:
-        joined = joined.withColumn("_word_spans", F.array().cast("array<struct<a:int,b:int>>"))
+        joined = joined.withColumn("_word_spans", F.array().cast("array<long>"))
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"`{kept_col}` binary", f"`{removed_col}` array<struct<a: int, b: int>>"])
 
     def run(batch: pa.RecordBatch):
         kept, removed = [], []
-        for raw, spans, word_spans in zip(*(batch.column(len(columns) + k).to_pylist() for k in range(3))):
+        each = (_arrays(batch.column(len(columns) + k)) for k in (1, 2))
+        for raw, spans, word_spans in zip(batch.column(len(columns)).to_pylist(), *each):
             ranges = covered(spans, length)
             if whole_characters:
                 ranges = [_whole(raw, a, b) for a, b in ranges]

@@ -200,3 +200,23 @@ def test_no_documents(spark):
     none = spark.createDataFrame([], TEXTS)
     assert suffix_dedup.remove_repeats(none).count() == 0
     assert simhash.components(simhash.add_fingerprints(none)).count() == 0
+
+
+def test_long_repetitive_texts_and_repeated_rows(spark):
+    rng = random.Random(3)
+    steps = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(suffix_dedup.STEP + 1000))  # crosses a step
+    rows = [(1, "a" * 1_000_000), (2, "ab" * 300_000), (3, steps), (4, "x" + steps[suffix_dedup.STEP - 300 : suffix_dedup.STEP + 300])]
+    rows += [(5, "left alone " * 3)] * 40 + [(6, steps[:500])] * 400
+    df = spark.createDataFrame(rows, TEXTS)
+    got = {(r.doc_id, len(r.kept), tuple((s.a, s.b) for s in r.removed)) for r in suffix_dedup.remove_repeats(df).collect()}
+    step = suffix_dedup.STEP
+    assert got == {
+        (1, 0, ((0, 1_000_000),)), (2, 0, ((0, 600_000),)), (3, step + 1000 - 1100, ((0, 500), (step - 300, step + 300))),
+        (4, 1, ((1, 601),)), (5, 33, ()), (6, 0, ((0, 500),)),
+    }
+    assert suffix_dedup.remove_repeats(df).count() == len(rows)
+
+
+def test_columns_named_as_the_results(spark):
+    df = spark.createDataFrame([(1, "q" * 50, 7, "old")], TEXTS + ", kept long, removed string")
+    assert [tuple(r) for r in suffix_dedup.remove_repeats(df, length=40).select("doc_id", "kept").collect()] == [(1, bytearray())]
