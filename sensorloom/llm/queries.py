@@ -7,9 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorloom.llm import byte_bpe, language, licenses, mixing, quality, simhash, suffix_dedup, topk, toxicity, vptree
+from sensorloom.llm import archives, byte_bpe, language, lexical, licenses, mixing, quality, simhash, suffix_dedup, topk, toxicity, vptree, whitening
 from sensorloom.llm.common import crc_mod
-from sensorloom.session import materialize
+from sensorloom.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,3 +197,71 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_register
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4)
+    each = white.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("k", "whitened"))
+    return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("k")].alias("explained"), "identity_error")
+
+
+@_register
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    old = F.coalesce(F.pmod("page_id", F.lit(2)) == 0, F.lit(True))
+    legacy = [scratch_path(spark, f"arc-{version}") for version in (1, 2)]
+    for version, own in ((1, old), (2, ~old)):
+        archives.write_arc(pages.filter(own), legacy[version - 1], version, key_col="page_id", url_col="url", payload_col="html")
+    path = scratch_path(spark, "warc")
+    archives.convert(spark, legacy, path, F.col("key").cast("long"))
+    found = archives.with_targets(archives.read_warc(spark, [path]).filter("type <> 'warcinfo'"))
+    return found.select(
+        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
+ORACLES["op12_warc"] = """
+WITH rows AS (
+  SELECT page_id, coalesce(html, '') AS payload, row_number() OVER () AS k FROM pages
+), sized AS (
+  SELECT *, strlen(payload)::BIGINT AS payload_bytes, row_number() OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST, k) AS place,
+         first_value(page_id) OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST, k) AS last_id
+  FROM rows
+)
+SELECT page_id, payload_bytes, sha1(payload) AS payload_digest, CASE WHEN payload_bytes >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND place > 1 THEN last_id END AS refers_to
+FROM sized
+"""
+
+
+@_register
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.search(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"), top=10)
+
+
+ORACLES["op13_lexical"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, TERMS AS w FROM documents
+), items AS (
+  SELECT row_number() OVER () AS i, item_id, list_distinct(TERMS) AS w FROM benchmark
+), sizes AS (
+  SELECT d, doc_id, len(w)::BIGINT AS n FROM docs WHERE len(w) > 0
+), totals AS (
+  SELECT count(*)::BIGINT AS documents, sum(n)::BIGINT AS words FROM sizes
+), counts AS (
+  SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(w) AS term FROM docs) GROUP BY d, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM counts, totals GROUP BY term, documents
+), scored AS (
+  SELECT i, item_id, doc_id, d, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // words))))::BIGINT AS score
+  FROM (SELECT i, item_id, unnest(w) AS term FROM items) JOIN weights USING (term) JOIN counts USING (term) JOIN sizes USING (d), totals GROUP BY i, item_id, doc_id, d
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, d)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+""".replace(
+    "TERMS",
+    r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')",
+)
