@@ -20,7 +20,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from sensorloom.llm.common import map_batches, text_of
+from sensorloom.llm.common import held, map_batches, text_of
 
 _NONE = np.int64(1 << 40)
 #: Pieces above this length are merged one by one, all places of the smallest rank in one round.
@@ -206,14 +206,12 @@ class Coder:
         return self.blob[np.repeat(self.starts[tokens] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
 
 
-_CODERS: dict[tuple[str, str], Coder] = {}
+def _state(name: str, pattern: str) -> str:
+    return f"bpe {name} {pattern}"
 
 
 def _coder(name: str, pattern: str) -> Coder:
-    key = (name, pattern)
-    if key not in _CODERS:
-        _CODERS[key] = Coder(read_ranks(SparkFiles.get(name)), pattern)
-    return _CODERS[key]
+    return held(_state(name, pattern), lambda: Coder(read_ranks(SparkFiles.get(name)), pattern))
 
 
 def _ship(df: DataFrame, vocab_path: str) -> str:
@@ -245,7 +243,7 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, text_col: str = "text",
             made.append(pa.array([coder.decode(i) for i in ids], pa.binary()))
         yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns) if i != at] + made, names=[*kept, *added])
 
-    return map_batches(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("binary").alias(spare)), run, schema)
+    return map_batches(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("binary").alias(spare)), run, schema, _state(name, pattern))
 
 
 def decode(df: DataFrame, vocab_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -259,7 +257,7 @@ def decode(df: DataFrame, vocab_path: str, pattern: str, ids_col: str = "ids", o
         ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([coder.decode(i or b"") for i in ids], pa.binary())], names=[*kept, out_col])
 
-    return map_batches(df.select(*[F.col(f"`{c}`") for c in kept]), run, schema)
+    return map_batches(df.select(*[F.col(f"`{c}`") for c in kept]), run, schema, _state(name, pattern))
 
 
 def ids_as_array(column: str):

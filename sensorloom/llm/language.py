@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sensorloom.llm.common import map_batches, text_of
+from sensorloom.llm.common import held, map_batches, text_of
 from sensorloom.session import materialize
 
 UNKNOWN = "und"
@@ -158,9 +158,6 @@ class Scorer:
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """``df`` with the predicted language and its share of the likelihood (0 to 1)."""
     shipped = df.sparkSession.sparkContext.broadcast(model)
@@ -173,13 +170,10 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_col: str =
         spare += "_"
 
     def run(batch: pa.RecordBatch):
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shipped.value)
-        scorer = _SCORERS[key]
+        scorer = held(key, lambda: Scorer(shipped.value))
         at = batch.schema.get_field_index(spare)
         found = [scorer.predict(text_of(v)) for v in batch.column(at).to_pylist()]
         made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
         yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns) if i != at] + made, names=[*kept, lang_col, score_col])
 
-    return map_batches(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("binary").alias(spare)), run, schema)
+    return map_batches(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("binary").alias(spare)), run, schema, key)

@@ -24,7 +24,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
-from sensorloom.llm.common import bounded_batches, bounded_sample, map_batches
+from sensorloom.llm.common import bounded_batches, bounded_sample, held, map_batches
 from sensorloom.session import materialize
 
 ORDERS = (3, 4, 5, 6, 7)
@@ -160,9 +160,6 @@ def fit(
     return Model(keys, found.coefficients.toArray() * ratio, float(found.intercept))
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``df`` with the probability that the label of the text is 1."""
     shipped = df.sparkSession.sparkContext.broadcast(model)
@@ -176,14 +173,11 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
 
     def run(batch: pa.RecordBatch):
         known = shipped.value
-        if name not in _MATCHERS:
-            _MATCHERS.clear()
-            _MATCHERS[name] = Matcher(known.keys)
-        matcher = _MATCHERS[name]
+        matcher = held(name, lambda: Matcher(known.keys))
         at = batch.schema.get_field_index(spare)
         sums = np.array([known.weights[matcher.present(normal(raw))].sum() for raw in batch.column(at).to_pylist()]) + known.intercept
         with np.errstate(over="ignore"):
             scores = 1 / (1 + np.exp(-sums))
         yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns) if i != at] + [pa.array(scores)], names=[*kept, score_col])
 
-    return map_batches(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("binary").alias(spare)), run, schema)
+    return map_batches(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("binary").alias(spare)), run, schema, name)
