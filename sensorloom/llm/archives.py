@@ -36,6 +36,8 @@ from sensorloom.session import materialize
 
 #: Payloads below this many bytes are never revisits.
 LEAST = 1000
+#: Bytes of records that the parsers hand on at once.
+OUT_BYTES = 1 << 20
 KEY_FIELD = "X-Record-Key"
 AGENT = "sensorloom"
 
@@ -166,7 +168,7 @@ def _streams(spark: SparkSession, paths: list[str], whole: bool, parse, schema:
             for row in parse(Feed(v + end for _, v in chunks)):
                 held.append((file, *row))
                 size += 200 + sum(len(v) for v in row if isinstance(v, bytes))
-                if size > 4 << 20:
+                if size > OUT_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds.types)], schema=kinds)
                     held, size = [], 0
         if held:
@@ -250,7 +252,8 @@ def convert(spark: SparkSession, paths: list[str], path: str, order: Column, lea
     groups = materialize(index.groupBy("same").agg(F.max("place").alias("last"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "arc-equal")
     shared = join_back(index, groups, ["same"], "m", index.count())
     revisits = shared.filter("place <> last").select("file", "offset", F.col("last.file").alias("to_file"), F.col("last.offset").alias("to_offset"))
-    records = read_arc(spark, paths, whole).join(materialize(revisits, "arc-revisits"), ["file", "offset"], "left")
+    # A shuffle between the parser and the writer keeps them in tasks, and so in Python workers, of their own.
+    records = read_arc(spark, paths, whole).hint("merge").join(materialize(revisits, "arc-revisits"), ["file", "offset"], "left")
     columns = ("file", "offset", "url", "ip", "date", "mime", "http", "payload", "truncated", "to_file", "to_offset")
 
     def run(batches: Iterator[pa.RecordBatch]):
