@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sensorloom.functions.scalars import ratio
 from sensorloom.operators.ordered import SLICE_US, previous_row, row_index, running_sum
-from sensorloom.operators.quantiles import exact_percentiles
+from sensorloom.operators.quantiles import with_percentiles
 
 SEGMENT_KEYS = ("device", "event_us", "segment")
 
 
-def _with_quantiles(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], aggregates: list[Column]) -> DataFrame:
-    """One row for each group with the aggregates and the quantiles; NULL keys and groups of NULLs stay."""
-    grouped = rows.groupBy(*keys).agg(*aggregates)
-    quantiles = exact_percentiles(rows, columns, probs, keys)
-    return grouped.join(quantiles, reduce(and_, [grouped[k].eqNullSafe(quantiles[k]) for k in keys])).drop(*[quantiles[k] for k in keys])
-
-
 def segment_features(
     rows: DataFrame,
     columns: Sequence[str],
@@ -42,62 +32,10 @@ def segment_features(
             F.stddev_pop(c).alias(f"{c}__standard_deviation"),
             F.sqrt(F.avg(F.col(c) * F.col(c))).alias(f"{c}__root_mean_square"),
         ]
-    out = _with_quantiles(rows, keys, columns, [0.5], aggregates)
+    out = with_percentiles(rows, aggregates, columns, [0.5], keys)
     return out.withColumns({f"{c}__median": F.col(f"{c}_q")[0] for c in columns}).drop(*[f"{c}_q" for c in columns])
 
 
-def segment_fft(
-    rows: DataFrame,
-    columns: Sequence[str],
-    k_max: int,
-    keys: Sequence[str] = SEGMENT_KEYS,
-    us: str = "us",
-    tie: Sequence[str] = (),
-    slice_us: int = SLICE_US,
-) -> DataFrame:
-    """Magnitudes of the first Fourier coefficients: ``keys, column, k, fft_abs, n_rows``.
-
-    The sums are plain aggregates, combined map-side; coefficients above half the
-    sample count do not exist and are left out.
-    """
-    indexed = row_index(rows, "_i", keys, us, tie, slice_us)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    turn = F.col("_i") * F.lit(2 * math.pi) / F.col("_n")
-    sums = [
-        part
-        for j, c in enumerate(columns)
-        for k in range(k_max + 1)
-        for part in (F.sum(F.col(c) * F.cos(turn * k)).alias(f"_re_{j}_{k}"), F.sum(F.col(c) * F.sin(turn * k)).alias(f"_im_{j}_{k}"))
-    ]
-    grouped = indexed.join(sizes, list(keys)).groupBy(*keys, "_n").agg(*sums)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(k).alias("k"),
-                F.hypot(F.col(f"_re_{j}_{k}"), F.col(f"_im_{j}_{k}")).alias("fft_abs"),
-            )
-            for j, c in enumerate(columns)
-            for k in range(k_max + 1)
-        ]
-    )
-    return (
-        grouped.select(*keys, F.col("_n").alias("n_rows"), F.inline(cells))
-        .filter(F.col("k") <= F.floor(F.col("n_rows") / 2))
-    )
-
-
-def dominant_frequency(
-    spectrum: DataFrame, rate_hz: float, samples: int | None = None, keys: Sequence[str] = SEGMENT_KEYS
-) -> DataFrame:
-    """Frequency of the strongest coefficient (the lowest ``k`` on a tie) per segment and column."""
-    strongest = spectrum.groupBy(*keys, "column", "n_rows").agg(
-        F.max(F.struct("fft_abs", (-F.col("k")).alias("_k")))["_k"].alias("_k")
-    )
-    n = F.col("n_rows") if samples is None else F.lit(samples)
-    return strongest.select(*keys, "column", (-F.col("_k") * F.lit(float(rate_hz)) / n).alias("dominant_hz"))
-
-
 def gps_segment_features(moves: DataFrame, keys: Sequence[str] = SEGMENT_KEYS, us: str = "us") -> DataFrame:
     """Mean, median and maximum of speed and acceleration of GPS segments (rows without both are dropped)."""
     full = moves.na.drop(subset=["speed_kmh", "accel_kmhs"])
@@ -108,20 +46,22 @@ def gps_segment_features(moves: DataFrame, keys: Sequence[str] = SEGMENT_KEYS, u
 
 def segment_features_ext(
     rows: DataFrame,
-    column: str,
+    columns: Sequence[str],
     keys: Sequence[str] = SEGMENT_KEYS,
     us: str = "us",
     tie: Sequence[str] = (),
     slice_us: int = SLICE_US,
 ) -> DataFrame:
-    """Further whole-segment statistics of one axis.
+    """Further whole-segment statistics, one row for each segment and axis (``column``).
 
     Moments, energy, change sums, counts around the mean, positions of the extremes
     (as a fraction of the rows), longest strike above the mean, mean crossings,
     lag-1 autocorrelation, linear trend slope and the quantiles .1-.9.
     """
+    axes = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_x")) for c in columns])
+    rows = rows.select(*dict.fromkeys([*keys, us, *tie]), F.inline(axes))
+    keys, column = [*keys, "column"], "_x"
     x = F.col(column)
-    rows = rows.select(*dict.fromkeys([*keys, us, *tie, column]))
     indexed = row_index(rows, "_i", keys, us, tie, slice_us)
     levels = rows.groupBy(*keys).agg(
         F.avg(x).alias("_mean"), F.count("*").alias("_n"), F.max(x).alias("_max"), F.min(x).alias("_min"), F.var_pop(x).alias("_var")
@@ -159,7 +99,7 @@ def segment_features_ext(
         F.max(n).alias("n_rows"),
     ]
     probs = [i / 10 for i in range(1, 10)]
-    out = _with_quantiles(runs, keys, [column], probs, aggregates)
+    out = with_percentiles(runs, aggregates, [column], probs, keys)
     nn, var = F.col("n_rows").cast("double"), F.col("variance")
     # Sample skewness and excess kurtosis with the usual small-sample corrections.
     m2, m3, m4 = var, F.col("_m3") / nn, F.col("_m4") / nn

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sensorloom.functions.scalars import floor_div
 from sensorloom.functions.timefn import DAY, HOUR, micros
+from sensorloom.operators.models import loso_centroids
 
 N_FEATURES = 64
 
@@ -174,16 +175,9 @@ CLASSES = ["c0", "c1", "c2", "c3"]
 
 
 def prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = feature_matrix(spark, sf_dir, 4).select(
-        "vec_id",
-        F.concat(F.lit("c"), (F.col("label") % 4).cast("string")).alias("y_test"),
-        F.col("device").alias("subject"),
-        *[((F.col(f"f{i}") + 1) / 2).alias(f"c{i}") for i in range(4)],
-    )
-    top = F.greatest(*CLASSES)
-    return base.withColumn(
-        "y_pred", F.coalesce(*[F.when(F.col(c) == top, F.lit(c)) for c in CLASSES])
-    )
+    """Each subject predicted from the class centroids of the others; probabilities fall with the distance."""
+    labelled = feature_matrix(spark, sf_dir).withColumn("y_test", F.concat(F.lit("c"), (F.col("label") % 4).cast("string")))
+    return loso_centroids(labelled, [f"f{i}" for i in range(N_FEATURES)], "y_test", "device", CLASSES, ["vec_id"]).withColumnRenamed("device", "subject")
 
 
 _CTE = {
@@ -214,13 +208,21 @@ _CTE = {
     "fm": "fm AS (SELECT vec_id, vec_id % 6 AS device, CAST(label AS BIGINT) AS label, "
     + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(N_FEATURES))
     + " FROM embeddings)",
-    "prediction": """prediction AS (SELECT *, CASE greatest(c0, c1, c2, c3) WHEN c0 THEN 'c0' WHEN c1 THEN 'c1'
-      WHEN c2 THEN 'c2' ELSE 'c3' END AS y_pred FROM (SELECT vec_id, 'c' || CAST(label % 4 AS VARCHAR) AS y_test,
-      device AS subject, (f0 + 1) / 2 AS c0, (f1 + 1) / 2 AS c1, (f2 + 1) / 2 AS c2, (f3 + 1) / 2 AS c3 FROM fm))""",
+    "prediction": """cells AS (SELECT vec_id, vec_id % 6 AS subject, 'c' || CAST(label % 4 AS VARCHAR) AS y_test, unnest(embedding)::DOUBLE AS x,
+      unnest(range(len(embedding))) AS j FROM embeddings),
+      sums AS (SELECT subject, y_test, j, sum(x) AS s, count(*) AS n FROM cells GROUP BY ALL),
+      centroids AS (SELECT o.subject, t.y_test AS class, t.j, (t.s - coalesce(u.s, 0)) / (t.n - coalesce(u.n, 0)) AS mean
+        FROM (SELECT DISTINCT subject FROM sums) o CROSS JOIN (SELECT y_test, j, sum(s) AS s, sum(n) AS n FROM sums GROUP BY ALL) t
+        LEFT JOIN sums u ON u.subject = o.subject AND u.y_test = t.y_test AND u.j = t.j WHERE t.n > coalesce(u.n, 0)),
+      apart AS (SELECT vec_id, c.subject, c.y_test, class, sqrt(sum((x - mean) * (x - mean))) AS d FROM cells c JOIN centroids m USING (subject, j) GROUP BY ALL),
+      shares AS (SELECT vec_id, subject, y_test, class, (1 / (d + 1e-9::DOUBLE)) / sum(1 / (d + 1e-9::DOUBLE)) OVER (PARTITION BY vec_id) AS p FROM apart),
+      prediction AS (SELECT vec_id, y_test, subject, c0, c1, c2, c3, CASE greatest(c0, c1, c2, c3) WHEN c0 THEN 'c0' WHEN c1 THEN 'c1' WHEN c2 THEN 'c2' ELSE 'c3' END AS y_pred
+        FROM (SELECT vec_id, subject, y_test, coalesce(max(p) FILTER (class = 'c0'), 0) AS c0, coalesce(max(p) FILTER (class = 'c1'), 0) AS c1,
+          coalesce(max(p) FILTER (class = 'c2'), 0) AS c2, coalesce(max(p) FILTER (class = 'c3'), 0) AS c3 FROM shares GROUP BY ALL))""",
 }
 _NEEDS = {
     "sensor": ["ev"], "esm": ["ev"], "screen": ["ev"], "gps": ["ev"], "place_series": ["ev", "gps"], "users": ["ev"],
-    "wifi": ["ev"], "lab_session": ["ev"], "prediction": ["fm"],
+    "wifi": ["ev"], "lab_session": ["ev"],
 }
 
 
