@@ -7,9 +7,10 @@ inequality, its margin multiplied by ``factor``, says that it holds nothing near
 factor one, the default, is exact search. What a larger factor loses depends on the norms: one long vector puts every
 query far from all rows, and half a shard is closed. Scores are sums in the order of the components, in double precision.
 
-Results: rows whose vector is null, zero, empty or holds null or non-finite components take no part; of rows
-with one id the smallest vector stands for all, and a query never finds its own id; with fewer candidates
-than k all come back.
+Results: rows whose vector is null, zero, empty or holds null or non-finite components take no part, and shorter
+vectors end in zeros. Rows that share an id are each a candidate and, if the condition selects them, each a query; a query only
+leaves out its own row. Equal scores go by the smaller id, null ids last; with fewer candidates than k all come
+back, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,12 +48,13 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, reach: float, seed: int = 1):
-        self.ids, self.vectors, self.reach = ids, vectors, reach
+    def __init__(self, names: np.ndarray, vectors: np.ndarray, reach: float, seed: int = 1):
+        """``names`` are the row keys; rows stand in the order that decides ties."""
+        self.names, self.vectors, self.reach = names, vectors, reach
         squares = np.einsum("ij,ij->i", vectors, vectors)
         self.lifted = np.concatenate([vectors, np.sqrt(np.maximum(reach - squares, 0))[:, None]], axis=1)
         self.random = np.random.default_rng(seed)
-        self.root = self._build(np.arange(len(ids)))
+        self.root = self._build(np.arange(len(names)))
 
     def _build(self, rows: np.ndarray) -> Node:
         if len(rows) <= LEAF:
@@ -67,14 +69,15 @@ class Tree:
             (apart[0], apart[half - 1]), (apart[half], apart[-1]),
         )
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, top: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        self.query_ids, self.queries, self.top, self.factor = query_ids, queries, top, factor
+    def search(self, query_names: np.ndarray, queries: np.ndarray, top: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names of queries and of the rows found for them, and their scores."""
+        self.query_names, self.queries, self.top, self.factor = query_names, queries, top, factor
         self.base = np.einsum("ij,ij->i", queries, queries) + self.reach
         self.scores = np.full((len(queries), top), -np.inf)
         self.found = np.full((len(queries), top), np.iinfo(np.int64).max)
         self._visit(self.root, np.arange(len(queries)))
         q, k = np.nonzero(self.scores > -np.inf)
-        return self.query_ids[q], self.found[q, k], self.scores[q, k]
+        return self.query_names[q], self.names[self.found[q, k]], self.scores[q, k]
 
     def _offer(self, active: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Keep the best of the rows for the active queries; gives their scores, the last bits aside.
@@ -84,20 +87,20 @@ class Tree:
         """
         rough = self.queries[active] @ self.vectors[rows].T
         room = 1e-9 * (1 + self.base[active])
-        q, r = np.nonzero((rough >= (self.scores[active, -1] - room)[:, None]) & (self.ids[rows][None, :] != self.query_ids[active][:, None]))
+        q, r = np.nonzero((rough >= (self.scores[active, -1] - room)[:, None]) & (self.names[rows][None, :] != self.query_names[active][:, None]))
         if len(q):
             better, start, at, count = np.unique(q, return_index=True, return_inverse=True, return_counts=True)
             offered = np.full((len(better), count.max()), -np.inf)
-            names = np.full(offered.shape, np.iinfo(np.int64).max)
+            places = np.full(offered.shape, np.iinfo(np.int64).max)
             place = np.arange(len(q)) - start[at]
             offered[at, place] = products(self.queries[active[q]], self.vectors[rows[r]])
-            names[at, place] = self.ids[rows[r]]
+            places[at, place] = rows[r]
             better = active[better]
             every = np.concatenate([self.scores[better], offered], axis=1)
-            names = np.concatenate([self.found[better], names], axis=1)
-            best = np.lexsort((names, -every), axis=1)[:, : self.top]
+            places = np.concatenate([self.found[better], places], axis=1)
+            best = np.lexsort((places, -every), axis=1)[:, : self.top]
             self.scores[better] = np.take_along_axis(every, best, axis=1)
-            self.found[better] = np.take_along_axis(names, best, axis=1)
+            self.found[better] = np.take_along_axis(places, best, axis=1)
         return rough
 
     def _open(self, active: np.ndarray, apart: np.ndarray, side: tuple[float, float]) -> np.ndarray:
@@ -124,11 +127,11 @@ class Tree:
 
 def search(vectors: DataFrame, queries: str, top: int = 20, factor: float = 1.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The ``top`` nearest other rows found for every row that the SQL condition ``queries`` (on ``id``) selects."""
-    each = blocks.one_per_id(vectors.filter(F.exists(vec_col, lambda x: x != 0)), id_col, vec_col)
+    each = blocks.keyed(vectors.filter(F.exists(vec_col, lambda x: x != 0)), id_col, vec_col)
     square = F.aggregate("vec", F.lit(0.0), lambda total, x: total + x * x)
     reach = (each.agg(F.max(square)).first()[0] or 0.0) * (1 + 1e-12)
 
-    def compare(query_ids, query_vectors, ids, candidates):
-        return Tree(ids, candidates, reach).search(query_ids, query_vectors, top, factor)
+    def compare(query_rows, query_vectors, rows, candidates):
+        return Tree(rows, candidates, reach).search(query_rows, query_vectors, top, factor)
 
     return blocks.search(each.filter(queries), each, compare, "double", top, candidate_rows=SHARD_ROWS)

@@ -18,23 +18,36 @@ def vectors(spark):
     rows = [(k, rng.normal(size=8).astype(np.float32).tolist()) for k in range(1300)]
     rows += [(2000 + k, rows[20][1]) for k in range(40)]  # ties
     rows += [(3000, None), (3100, [1.0, None]), (3200, [float("nan")] * 8), (3300, [float("inf")] * 8), (3400, [0.0] * 8), (None, [1.0] * 8), (0, rows[0][1])]
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>"), {k: v for k, v in rows if k is not None and k < 3000 or k == 3400}
+    usable = [(k, v) for k, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>"), usable
 
 
-def _brute(rows, queries, score, top):
-    out = {}
-    for q in queries:
-        ranked = sorted(((-score(rows[q], v), k) for k, v in rows.items() if k != q))[:top]
-        out[q] = [(k, -s) for s, k in ranked]
-    return out
+def _brute(rows, every, score, top):
+    """The results of each query row; rows that share an id are rows of their own, null ids come last."""
+    out = []
+    for q, (query_id, vector) in enumerate(rows):
+        if query_id is not None and query_id % every == 0:
+            ranked = sorted(((-score(vector, v), k is None, k or 0, k) for c, (k, v) in enumerate(rows) if c != q), key=lambda r: r[:3])[:top]
+            out.append((query_id, tuple((k, -s) for s, _, _, k in ranked)))
+    return Counter(out)
 
 
 def _found(df):
-    out = defaultdict(list)
-    for r in df.orderBy("query_id", "rank").collect():
-        assert r["rank"] == len(out[r.query_id]) + 1
-        out[r.query_id].append((r.vec_id, r.score))
-    return dict(out)
+    """The same of a result; rows of queries that share an id are told apart by their ranks where they agree."""
+    by_id = defaultdict(lambda: defaultdict(list))
+    for r in df.collect():
+        by_id[r.query_id][r["rank"]].append((r.vec_id, r.score))
+    return by_id
+
+
+def _same(df, want):
+    got = _found(df)
+    wanted = defaultdict(lambda: defaultdict(list))
+    for (query_id, found), times in want.items():
+        for rank, row in enumerate(found, 1):
+            wanted[query_id][rank] += [row] * times
+    order = lambda pairs: sorted(pairs, key=lambda p: (p[0] is None, p[0] or 0, p[1]))
+    assert {q: {k: order(v) for k, v in r.items()} for q, r in got.items()} == {q: {k: order(v) for k, v in r.items()} for q, r in wanted.items()}
 
 
 def _product(a, b):
@@ -46,14 +59,13 @@ def _product(a, b):
 
 def test_topk_exact(spark, vectors):
     df, rows = vectors
-    rows = {k: [int(np.floor(1024 * x)) for x in map(float, v)] for k, v in rows.items()}
-    want = _brute(rows, [k for k in rows if k % 100 == 0], lambda a, b: sum(x * y for x, y in zip(a, b)), 10)
-    assert _found(topk.search(df, "id % 100 = 0")) == want
+    rows = [(k, [int(np.floor(1024 * x)) for x in map(float, v)]) for k, v in rows]
+    _same(topk.search(df, "id % 100 = 0"), _brute(rows, 100, lambda a, b: sum(x * y for x, y in zip(a, b)), 10))
 
 
 def test_blocks_do_not_change_results(spark, vectors):
     df, _ = vectors
-    each = blocks.one_per_id(df, "vec_id", "embedding")
+    each = blocks.keyed(df, "vec_id", "embedding")
     one = blocks.search(each.filter("id % 50 = 0"), each, topk.best_of_block(10), "long", 10)
     many = blocks.search(each.filter("id % 50 = 0"), each, topk.best_of_block(10), "long", 10, query_rows=7, candidate_rows=100)
     assert _found(one) == _found(many)
@@ -61,11 +73,23 @@ def test_blocks_do_not_change_results(spark, vectors):
 
 def test_vptree_exact_with_factor_one(spark, vectors):
     df, rows = vectors
-    rows = {k: list(map(float, v)) for k, v in rows.items() if any(v)}
-    want = _brute(rows, [k for k in rows if k % 20 == 0], _product, 20)
-    assert _found(vptree.search(df, "id % 20 = 0", factor=1.0)) == want
-    got = _found(vptree.search(df, "id % 20 = 0"))
-    assert np.mean([len({k for k, _ in got[q]} & {k for k, _ in want[q]}) / 20 for q in want]) >= 0.9
+    _same(vptree.search(df, "id % 20 = 0", factor=1.0), _brute([(k, list(map(float, v))) for k, v in rows if any(v)], 20, _product, 20))
+
+
+def test_one_id_for_all_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [(100, rng.normal(size=4).tolist()) for _ in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(k, [int(np.floor(1024 * x)) for x in v]) for k, v in rows]
+    _same(topk.search(df, "id % 100 = 0"), _brute(whole, 100, lambda a, b: sum(x * y for x, y in zip(a, b)), 10))
+    _same(vptree.search(df, "id % 20 = 0"), _brute(rows, 20, _product, 20))
+
+
+def test_components_beyond_64_bits_are_refused():
+    with pytest.raises(OverflowError):
+        topk.quantise(np.array([[1e17]]))
+    with pytest.raises(OverflowError):
+        topk.best_of_block(1)(np.array([0]), np.array([[1e12]]), np.array([1]), np.array([[1e12]]))
 
 
 def test_recall_of_the_registered_search(spark):
@@ -77,13 +101,13 @@ def test_recall_of_the_registered_search(spark):
     for q, found in got.items():
         scores = matrix @ rows[q]
         scores[ids == q] = -np.inf
-        hits.append(len(set(ids[np.argsort(-scores)[:20]]) & {k for k, _ in found}) / 20)
+        hits.append(len(set(ids[np.argsort(-scores)[:20]]) & {k for row in found.values() for k, _ in row}) / 20)
     assert len(got) == sum(k % 20 == 0 for k in rows) and np.mean(hits) >= 0.9
 
 
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (20, [3.0]), (5, [])], "vec_id long, embedding array<double>")
-    assert _found(vptree.search(df, "id % 20 = 0")) == {0: [(20, 3.0)], 20: [(0, 3.0)]}
+    assert _found(vptree.search(df, "id % 20 = 0")) == {0: {1: [(20, 3.0)]}, 20: {1: [(0, 3.0)]}}
     assert topk.search(df.limit(0), "id % 100 = 0").count() == 0
     assert vptree.search(df.limit(0), "id % 20 = 0").count() == 0
 
