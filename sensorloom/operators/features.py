@@ -135,6 +135,6 @@ def select_features_by_name(
 ) -> DataFrame:
     """Columns named exactly, or containing one of the texts, plus the columns to keep."""
     chosen = [c for c in features.columns if c in keep or c in exact or any(t in c for t in containing)]
-    return features.select(*chosen)
+    return features.select(*[F.col(f"`{c}`") for c in chosen])
 
 
