@@ -1,33 +1,40 @@
 """Language identification: known words first, shorter and shorter character n-grams for the rest.
 
 Training counts words and the n-grams of words per language on a bounded, reproducible sample of labelled
-rows. A known word scores the log frequency it has in each language. An unseen word scores the mean log
-frequency of its longest n-grams of which any is known, and falls back from the longest order to single
-letters. A document sums the scores of its words; ties go to the smallest language name.
+rows. Words start with a letter and go on with letters and combining marks. A known word scores the log frequency it has
+in each language. An unseen word scores the mean log frequency of its longest n-grams of which any is known, and
+falls back from the longest order to single letters. A document sums the scores of its words; ties go to the
+smallest language name.
+
+Every language value is learned. The model's size is shared among them: each language brings its own commonest words and
+n-grams of each order, so common languages do not push out the words of rare ones.
 
 Results: a text that is null, empty or without letters gives ``und`` and score 0; so does every text when
-no row is labelled. Repeated rows repeat their result, other columns stay as they are. Only the bounded
-training sample is shuffled; prediction runs where the rows are.
+no row is labelled, and an empty table gives none. Texts of any length are read whole; a word of over 64 letters is known by its
+first letters and a hash of all. Repeated rows repeat their result, other columns stay as they are, and columns
+named as the results give way. Only the bounded training sample is shuffled; prediction runs where the rows are.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import regex
+import xxhash
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.llm.common import held, map_batches, text_of
 from sensorloom.session import materialize
 
 UNKNOWN = "und"
-_WORDS = re.compile(r"[^\W\d_]+").findall
-#: Unseen words a worker remembers with their scores; results do not depend on it.
-CACHE_WORDS = 100_000
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+#: Unseen words a worker remembers with their scores, and scores it remembers; results do not depend on them.
+CACHE_WORDS, CACHE_CELLS = 100_000, 4_000_000
 
 
 @dataclass
@@ -50,18 +57,25 @@ def grams(word: str, order: int) -> list[str]:
     return [marked[i : i + order] for i in range(len(marked) - order + 1)]
 
 
+def word_key(word: str) -> str:
+    """What the model knows a word by."""
+    return word if len(word) <= 64 else f"{word[:32]}\0{xxhash.xxh3_128_hexdigest(word.encode('utf-8', 'surrogatepass'))}"
+
+
 def training_sample(labelled: DataFrame, id_col: str, lang_col: str, counts: dict[str, int], rows_per_language: int) -> DataFrame:
     """About ``rows_per_language`` rows of each language (all, if fewer), chosen by a hash of their id.
 
     ``counts`` holds the rows of each language to learn. The choice is a filter, without any shuffle.
     """
     share = F.shiftrightunsigned(F.xxhash64(id_col), 11) / float(1 << 53)
-    least = F.lit(-1.0)
-    for lang, count in counts.items():
-        least = F.when(F.col(lang_col) == lang, F.lit(rows_per_language / count)).otherwise(least)
+    least = _looked_up(lang_col, {lang: rows_per_language / count for lang, count in counts.items()})
     return labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).filter(share < least)
 
 
+def _looked_up(column: str, values: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col(column)] if values else F.lit(None).cast("double")
+
+
 def count_features(sample: DataFrame, text_col: str, lang_col: str, orders: int) -> DataFrame:
     """``lang, n (order, 0 for words), item, count`` over the sample, summed in each batch first."""
 
@@ -71,7 +85,7 @@ def count_features(sample: DataFrame, text_col: str, lang_col: str, orders: int)
             words.setdefault(lang, Counter()).update(_WORDS(text_of(text).lower()))
         rows: list[tuple[str, int, str, int]] = []
         for lang, counts in words.items():
-            rows += [(lang, 0, w, c) for w, c in counts.items() if len(w) <= 64]
+            rows += [(lang, 0, word_key(w), c) for w, c in counts.items()]
             for order in range(1, orders + 1):
                 pieces: Counter = Counter()
                 for word, count in counts.items():
@@ -88,31 +102,49 @@ def count_features(sample: DataFrame, text_col: str, lang_col: str, orders: int)
 
 def fit(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
-    rows_per_language: int = 2500, max_languages: int = 200, max_items: int = 30_000, orders: int = 5, smoothing: float = 0.5,
+    rows_per_language: int = 2500, max_items: int = 60_000, max_cells: int = 24_000_000, orders: int = 5, smoothing: float = 0.5,
 ) -> Model:
-    """Learn from a sample of about ``rows_per_language`` rows of the ``max_languages`` commonest languages.
+    """Learn every language from a sample of about ``rows_per_language`` of its rows.
 
-    The model holds the ``max_items`` commonest words and n-grams of each order, so its size has a bound.
+    Each language brings an equal share of ``max_items`` commonest words and n-grams of each order, one of each at
+    least; with very many languages the shares shrink so that all scores stay within ``max_cells``.
     """
-    found = labelled.filter(F.col(lang_col).isNotNull()).groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages)
+    found = labelled.filter(F.col(lang_col).isNotNull()).groupBy(lang_col).count()
     rows_of = {r[0]: r[1] for r in found.collect()}
     languages = sorted(rows_of)
+    if not languages:
+        return Model([], [], [])
     counts = materialize(count_features(training_sample(labelled, id_col, lang_col, rows_of, rows_per_language), text_col, lang_col, orders), "language")
     totals = {(r[0], r[1]): r[2] for r in counts.groupBy("lang", "n").agg(F.sum("count")).collect()}
-    item_counts = counts.groupBy("n", "item").agg(
-        F.sum("count").alias("all"), *[F.sum(F.when(F.col("lang") == lang, F.col("count"))).alias(f"c{k}") for k, lang in enumerate(languages)]
-    )
+    share = max(1, min(max_items, max_cells // ((orders + 1) * len(languages))) // len(languages))
+    place = F.row_number().over(Window.partitionBy("n", "lang").orderBy(F.desc("count"), "item"))
+    chosen = counts.withColumn("place", place).filter(F.col("place") <= share).select("n", "item").distinct()
+    number = _looked_up("lang", {lang: float(k) for k, lang in enumerate(languages)}).cast("int")
+    by_item = counts.join(chosen, ["n", "item"]).groupBy("n", "item").agg(F.collect_list(F.struct(number.alias("k"), "count")).alias("c"))
+    table = by_item.select("n", "item", "c.k", "c.count").toArrow().sort_by([("n", "ascending"), ("item", "ascending")]).combine_chunks()
+    kinds = table.column("n").to_numpy()
     items: list[str] = []
     scores: list[np.ndarray] = []
-    for order in range(orders + 1) if languages else ():
-        top = item_counts.filter(F.col("n") == order).orderBy(F.desc("all"), "item").limit(max_items).toPandas()
-        seen = top[[f"c{k}" for k in range(len(languages))]].fillna(0).to_numpy(float)
+    for order in range(orders + 1):
+        start, end = np.searchsorted(kinds, [order, order + 1])
+        part = table.slice(start, end - start).combine_chunks()
+        seen = np.zeros((len(part), len(languages)))
+        for chunk, first in _with_starts(part):
+            rows = np.repeat(np.arange(len(chunk)), chunk.column("k").value_lengths().to_numpy()) + first
+            seen[rows, chunk.column("k").flatten().to_numpy()] = chunk.column("count").flatten().to_numpy()
         total = np.array([totals.get((lang, order), 0) for lang in languages], float)
-        items.append("\n".join(top["item"]))
-        scores.append(np.log((seen + smoothing) / (total + smoothing * (len(top) + 1))))
+        items.append("\n".join(part.column("item").to_pylist()))
+        scores.append(np.log((seen + smoothing) / (total + smoothing * (len(part) + 1))).astype(np.float32))
     return Model(languages, items, scores)
 
 
+def _with_starts(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, int]]:
+    first = 0
+    for batch in table.to_batches():
+        yield batch, first
+        first += len(batch)
+
+
 class Scorer:
     """Scores words with a model and remembers the unseen ones."""
 
@@ -120,7 +152,8 @@ class Scorer:
         self.languages, self.scores = model.languages, model.scores
         self.rows = [{item: k for k, item in enumerate(text.split("\n") if text else ())} for text in model.items]
         self.base = len(self.rows[0]) if self.rows else 0
-        self.table = np.zeros((self.base + CACHE_WORDS, len(model.languages)))
+        self.room = min(CACHE_WORDS, max(2, CACHE_CELLS // max(1, len(model.languages))))
+        self.table = np.zeros((self.base + self.room, len(model.languages)), np.float32)
         if self.rows:
             self.table[: self.base] = model.scores[0]
         self.seen: dict[str, int] = {}
@@ -129,16 +162,17 @@ class Scorer:
         for order in range(len(self.rows) - 1, 0, -1):
             hits = [row for g in grams(word, order) if (row := self.rows[order].get(g)) is not None]
             if hits:
-                return self.scores[order][hits].mean(axis=0)
+                return self.scores[order][hits].mean(axis=0, dtype=float)
         return np.zeros(len(self.languages))
 
     def row(self, word: str) -> int:
-        at = self.rows[0].get(word)
+        key = word_key(word)
+        at = self.rows[0].get(key)
         if at is None:
-            at = self.seen.get(word)
+            at = self.seen.get(key)
         if at is None:
             at = self.base + len(self.seen)
-            self.seen[word] = at
+            self.seen[key] = at
             self.table[at] = self.backoff(word)
         return at
 
@@ -148,9 +182,9 @@ class Scorer:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.languages))
         words = list(counts)
-        for k in range(0, len(words), CACHE_WORDS // 2):
-            part = words[k : k + CACHE_WORDS // 2]
-            if len(self.seen) + len(part) > CACHE_WORDS:
+        for k in range(0, len(words), self.room // 2):
+            part = words[k : k + self.room // 2]
+            if len(self.seen) + len(part) > self.room:
                 self.seen.clear()
             rows = [self.row(w) for w in part]
             total += np.array([counts[w] for w in part], float) @ self.table[rows]
