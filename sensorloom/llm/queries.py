@@ -118,7 +118,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    """The scan in SQL: phrases by list positions, every line against every template."""
+    """The scan in SQL: phrases by list positions, every window of words against every template."""
 
     def starts(phrase: str) -> str:
         words = phrase.split()
@@ -131,20 +131,21 @@ def _license_sql() -> str:
     templates = ", ".join(f"('{label}', string_split('{text}', ' '))" for text, label in licenses.TEMPLATES.items())
     return rf"""
 WITH docs AS (
-  SELECT row_number() OVER () AS k, doc_id, lower(coalesce(text, '')) AS t FROM documents
+  SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
 ), worded AS (
-  SELECT k, doc_id, regexp_extract_all(t, '{licenses.WORD}') AS w FROM docs
+  SELECT k, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs
 ), based AS (
   SELECT k, doc_id, len(w)::BIGINT AS n_words, {places} FROM worded
 ), summed AS (
   SELECT k, doc_id, n_words, {every} AS places, {base} AS base FROM based
-), lines AS (
-  SELECT k, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{licenses.WORD}')) AS b FROM docs
+), windows AS (
+  SELECT k, list_distinct(w[i * {licenses.STRIDE} + 1 : (i + 2) * {licenses.STRIDE}]) AS b
+  FROM (SELECT k, w, unnest(range(0, 1 + greatest(ceil(len(w) / {licenses.STRIDE}.0) - 2, 0)::BIGINT)) AS i FROM worded)
 ), templates AS (
   SELECT label, list_distinct(words) AS words FROM (VALUES {templates}) AS v(label, words)
 ), found AS (
   SELECT k, label, len(list_intersect(b, words)) / len(words)::DOUBLE AS share
-  FROM lines, templates WHERE len(list_intersect(b, words)) >= ceil(0.8 * len(words) - 1e-9)
+  FROM windows, templates WHERE len(list_intersect(b, words)) >= ceil(0.8 * len(words) - 1e-9)
 ), matched AS (
   SELECT k, list(DISTINCT label) AS labels, max(share) AS share FROM found GROUP BY k
 )

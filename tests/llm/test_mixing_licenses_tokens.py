@@ -135,3 +135,15 @@ def test_pipeline_of_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_license_notices_however_wrapped(spark):
+    bsd = "# Redistribution and use in source and binary\n# forms, with or without modification,\n# are permitted provided that"
+    mit = "Permission is hereby granted,\r\n * free of charge, to any\n * person obtaining a copy\n * of this software"
+    scattered = " ".join(f"this pad{i} work is pad dedicated to some the public pad" if i % 9 == 0 else f"filler{i} words{i} that{i} say{i} nothing{i}" for i in range(400))
+    rows = [(1, bsd), (2, "x " * 37 + mit + " y" * 333), (3, scattered.replace("public", "republic")), (4, "word " * 100_000 + mit), (5, "Released under the Kit License"), (6, "cc bK"), (7, "Mİt License")]
+    rows += [(10 + k, "pad " * k + bsd + " pad" * 50) for k in range(45)]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].labels == "bsd" and found[2].labels == "mit" and found[4].labels == "mit" and found[3].labels == ""
+    assert {found[10 + k].labels for k in range(45)} == {"bsd"} and {found[10 + k].score for k in range(45)} == {1.0}
+    assert found[6].n_base == found[7].n_base == 0
