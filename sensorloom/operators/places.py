@@ -11,6 +11,7 @@ from sensorloom.functions.scalars import floor_div, ratio, ratio_or_zero
 from sensorloom.functions.timefn import DAY, day_kind, hour_of, time_of_day, weekday_of
 from sensorloom.operators.geogrid import near_pairs
 from sensorloom.operators.graphs import connected_components
+from sensorloom.operators.silhouette import choose, silhouettes
 from sensorloom.session import materialize
 
 # --- selection --------------------------------------------------------------------------------
@@ -240,8 +241,7 @@ def kmeans_k_sweep(
 
     All participants and all k run in the same jobs: a row is compared with its own
     participant's few centres and each round is one map-side combined average.
-    The silhouette uses squared distances, which follow from counts, sums and sums
-    of squares per cluster. The first k whose silhouette exceeds the limit wins,
+    The silhouette is the usual one on Euclidean distances (see ``silhouettes``). The first k whose silhouette exceeds the limit wins,
     otherwise the best. Participants with fewer distinct coordinates than the
     smallest k get one location, whose silhouette is 1. Rounds go on until no centre
     moves by more than ``tolerance`` degrees.
@@ -293,42 +293,15 @@ def kmeans_k_sweep(
         if centres.join(before.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}), [device, "k", "c"]).filter(~still).isEmpty():
             break
 
-    members = assign(centres)
-    w = F.col("w")
-    sums = members.groupBy(device, "k", "c").agg(
-        F.sum("w").alias("n"),
-        F.sum(F.col("lat") * w).alias("x"),
-        F.sum(F.col("lon") * w).alias("y"),
-        F.sum((F.col("lat") * F.col("lat") + F.col("lon") * F.col("lon")) * w).alias("q"),
-    )
-    profile = sums.groupBy(device, "k").agg(F.collect_list(F.struct("c", "n", "x", "y", "q")).alias("_ps"))
-    norm = F.col("lat") * F.col("lat") + F.col("lon") * F.col("lon")
-
-    def spread(p: Column) -> Column:
-        total = norm * p["n"] + p["q"] - 2 * (F.col("lat") * p["x"] + F.col("lon") * p["y"])
-        return F.greatest(total, F.lit(0.0))
-
-    own = F.element_at(F.filter("_ps", lambda p: p["c"] == F.col("c")), 1)
-    inner = F.try_divide(spread(own), own["n"] - 1)
-    outer = F.array_min(
-        F.transform(F.filter("_ps", lambda p: p["c"] != F.col("c")), lambda p: spread(p) / p["n"])
-    )
-    value = F.when(F.size("_ps") == 1, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(outer - inner, F.greatest(outer, inner)), F.lit(0.0)))
-    scores = (
-        members.join(profile, [device, "k"])
-        .groupBy(device, "k")
-        .agg((F.sum(value * w) / F.sum("w")).alias("silhouette"))
-    )
-    good = F.min(F.when(F.col("silhouette") > stop_silhouette, F.col("k")))
-    best = scores.groupBy(device).agg(
-        F.coalesce(good, F.max(F.struct("silhouette", (-F.col("k")).alias("_k")))["_k"] * -1).alias("k")
-    )
+    members = materialize(assign(centres), "members")
+    scores = silhouettes(members, device, sorted({1, *ks}), stop_silhouette)
+    best = choose(scores, device, stop_silhouette).select(device, "k")
     metres = haversine_m(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
     chosen = centres.join(best, [device, "k"]).select(device, "k", "c", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
     return (
         members.join(chosen, [device, "k", "c"])
         .groupBy(device, "k", F.col("c").cast("long").alias("c"), "c_lat", "c_lon")
-        .agg(F.sum("w").alias("n_members"), F.coalesce(F.sum(F.when(metres < near_m, w)), F.lit(0)).alias("entries_near"))
+        .agg(F.sum("w").alias("n_members"), F.coalesce(F.sum(F.when(metres < near_m, F.col("w"))), F.lit(0)).alias("entries_near"))
         .join(scores, [device, "k"])
         .join(points.groupBy(device).agg(F.sum("w").alias("n_rows")), device)
         .select(
@@ -339,8 +312,10 @@ def kmeans_k_sweep(
             F.col("c_lon").alias("lon"),
             "n_members",
             "entries_near",
+            F.sum("entries_near").over(Window.partitionBy(device)).alias("n_rows_near"),
             "n_rows",
             "silhouette",
+            "silhouette_error",
         )
     )
 

@@ -63,8 +63,9 @@ def _limit(columns: Sequence[str], buffer_values: int) -> int:
 
 
 def _whole(columns: Sequence[str], probs: Sequence[float]) -> list[Column]:
-    """The exact aggregate, which holds the distinct values of a group."""
-    return [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(f"{c}_q") for c in columns]
+    """The exact aggregate, which holds the distinct values of a group; a group of NULLs has NULL quantiles, no group none."""
+    asked, unknown = F.array(*[F.lit(float(p)) for p in probs]), F.array_repeat(F.lit(None).cast("double"), len(probs))
+    return [F.when(F.count(F.lit(1)) > 0, F.coalesce(F.percentile(F.col(c).cast("double"), asked), unknown)).alias(f"{c}_q") for c in columns]
 
 
 def _largest(sizes: DataFrame) -> int:
