@@ -5,17 +5,18 @@ matrices, one matrix for each bucket of lengths. In every round each row merges
 smallest rank, rows without a pair leave the matrix, and the rest close up. Ranks of pairs come from an
 open-addressing hash table held in two arrays.
 
-Results: a null or empty text has no tokens; bytes that are no UTF-8 count as U+FFFD; repeated rows repeat
+Results: a null or empty text has no tokens and an empty table no rows; texts of any length are read whole; bytes that are no UTF-8 count as U+FFFD; repeated rows repeat
 their result; every other column stays as it is. Nothing is shuffled, so skew does not matter.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from sensorloom.llm.common import held, map_batches, text_of
 
 _NONE = np.int64(1 << 40)
-#: Pieces above this length are merged one by one, all places of the smallest rank in one round.
+#: Pieces above this length are merged one by one, all places of the smallest rank in one round. Results are
+#: the same as in the matrix (tested); only memory and time differ.
 LONG_PIECE = 256
 #: Distinct pieces a worker remembers; beyond that it starts again. Results do not depend on it.
 CACHE_PIECES = 200_000
@@ -220,6 +222,17 @@ def _ship(df: DataFrame, vocab_path: str) -> str:
     return vocab_path.rsplit("/", 1)[-1]
 
 
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with about ``TEXT_STEP`` bytes of text, so that what they turn into stays small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy().astype(np.int64))
+    start = 0
+    while start < len(batch):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + TEXT_STEP, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def encode(df: DataFrame, vocab_path: str, pattern: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``df`` with the token ids of ``text_col`` as little-endian unsigned 32-bit integers (binary).
 
@@ -234,14 +247,18 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, text_col: str = "text",
     kept = [c for c in columns if c not in added]
     schema = ", ".join([f"`{c}` {dict(df.dtypes)[c]}" for c in kept] + [f"`{c}` binary" for c in added])
 
-    def run(batch: pa.RecordBatch):
+    def run(whole: pa.RecordBatch):
         coder = _coder(name, pattern)
-        at = batch.schema.get_field_index(spare)
+        at = whole.schema.get_field_index(spare)
+        for batch in _slices(whole, at):
+            yield coded(coder, batch, at)
+
+    def coded(coder: Coder, batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
         ids = coder.encode([text_of(v) for v in batch.column(at).to_pylist()])
         made = [pa.array(ids, pa.binary())]
         if decoded_col:
             made.append(pa.array([coder.decode(i) for i in ids], pa.binary()))
-        yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns) if i != at] + made, names=[*kept, *added])
+        return pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns) if i != at] + made, names=[*kept, *added])
 
     return map_batches(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("binary").alias(spare)), run, schema, _state(name, pattern))
 
