@@ -122,3 +122,19 @@ def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, iteration
             lambda state: F.when(state["still"], finish(e, state["lam"])),
         ),
     )
+
+
+def mean_position(lat: Column, lon: Column, weight: Column | None = None) -> tuple[Column, Column]:
+    """Aggregates: latitude and longitude of the mean of unit vectors, which no date line or pole disturbs."""
+    x, y, z = (F.sum(p if weight is None else p * weight) for p in unit_vector(lat, lon))
+    return position_of(x, y, z)
+
+
+def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    phi, theta = F.radians(lat), F.radians(lon)
+    return F.cos(phi) * F.cos(theta), F.cos(phi) * F.sin(theta), F.sin(phi)
+
+
+def position_of(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of the direction of a vector."""
+    return F.degrees(F.atan2(z, F.hypot(x, y))), F.degrees(F.atan2(y, x))

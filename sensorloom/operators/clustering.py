@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sensorloom.functions.geo import haversine_km
+from sensorloom.functions.geo import haversine_km, mean_position, position_of, unit_vector
 from sensorloom.operators.geogrid import candidate_pairs, farthest_km, home_cell, hulls, near_pairs
 from sensorloom.operators.graphs import connected_components
 from sensorloom.session import materialize
@@ -164,12 +164,12 @@ def place_clusters(
 
 
 def _label_clusters(assigned: DataFrame, keys: Sequence[str]) -> DataFrame:
-    weight = F.col("n").cast("double")
+    mean_lat, mean_lon = mean_position(F.col("lat"), F.col("lon"), F.col("n").cast("double"))
     sizes = assigned.groupBy(*keys, "cluster").agg(
         F.min(F.struct("lat", "lon")).alias("_corner"),
         F.sum("n").alias("n_rows"),
-        (F.sum(F.col("lat") * weight) / F.sum(weight)).alias("cluster_lat"),
-        (F.sum(F.col("lon") * weight) / F.sum(weight)).alias("cluster_lon"),
+        mean_lat.alias("cluster_lat"),
+        mean_lon.alias("cluster_lon"),
     )
     w = Window.partitionBy(*keys).orderBy("_corner")
     return sizes.withColumn("cluster_label", (F.row_number().over(w) - 1).cast("long")).drop("_corner")
@@ -197,7 +197,8 @@ def chunk_cluster_pairs(
 ) -> DataFrame:
     """Clusters of different chunks with close centroids, and whether their farthest members allow a merge."""
     keys = [device, chunk, label]
-    means = rows.groupBy(*keys).agg(F.avg("lat").alias("_mlat"), F.avg("lon").alias("_mlon"))
+    mean_lat, mean_lon = mean_position(F.col("lat"), F.col("lon"))
+    means = rows.groupBy(*keys).agg(mean_lat.alias("_mlat"), mean_lon.alias("_mlon"))
     shape = hulls(rows.select(*keys, "lat", "lon").distinct(), keys)
     state = materialize(
         means.join(shape, keys).select(
@@ -249,7 +250,8 @@ def merge_chunk_clusters(
 
 
 def _with_means(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    means = rows.groupBy(*keys).agg(F.avg("lat").alias("cluster_lat"), F.avg("lon").alias("cluster_lon"))
+    mean_lat, mean_lon = mean_position(F.col("lat"), F.col("lon"))
+    means = rows.groupBy(*keys).agg(mean_lat.alias("cluster_lat"), mean_lon.alias("cluster_lon"))
     return rows.drop("cluster_lat", "cluster_lon").join(means, list(keys))
 
 
@@ -268,21 +270,21 @@ def merge_close_places(
 ) -> DataFrame:
     """Merge clusters whose centroids are nearer than the limit, recompute centroids, repeat.
 
-    Centroids are first reduced to one weighted record per cluster; the rows are
+    Centroids are first reduced to one sum of unit vectors per cluster; the rows are
     joined once at the end.
     """
-    sums = rows.groupBy(device, label).agg(
-        F.sum("lat").alias("_slat"), F.sum("lon").alias("_slon"), F.count("*").alias("_n")
-    )
+    axes = ("_x", "_y", "_z")
+    sums = rows.groupBy(device, label).agg(*[F.sum(p).alias(a) for p, a in zip(unit_vector(F.col("lat"), F.col("lon")), axes)])
+    lat, lon = position_of(*[F.col(a) for a in axes])
     mapping = sums.select(device, F.col(label).alias("id"), F.col(label).alias("to"))
     state = sums.withColumnRenamed(label, "id")
     for _ in range(passes):
-        placed = state.select(device, "id", (F.col("_slat") / F.col("_n")).alias("lat"), (F.col("_slon") / F.col("_n")).alias("lon"))
+        placed = state.select(device, "id", lat.alias("lat"), lon.alias("lon"))
         roots = connected_components(near_pairs(placed, [device], "id", limit_km), [device])
         state = materialize(
             state.join(roots, [device, "id"], "left")
             .groupBy(device, F.coalesce("root", "id").alias("id"))
-            .agg(*[F.sum(c).alias(c) for c in ("_slat", "_slon", "_n")]),
+            .agg(*[F.sum(c).alias(c) for c in axes]),
             "places",
         )
         hop = roots.select(device, F.col("id").alias("to"), "root")
@@ -291,7 +293,7 @@ def merge_close_places(
         )
     final = mapping.join(
         state.select(
-            device, F.col("id").alias("to"), (F.col("_slat") / F.col("_n")).alias("cluster_lat"), (F.col("_slon") / F.col("_n")).alias("cluster_lon")
+            device, F.col("id").alias("to"), lat.alias("cluster_lat"), lon.alias("cluster_lon")
         ),
         [device, "to"],
     ).withColumnRenamed("id", label)

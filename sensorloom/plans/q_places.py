@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sensorloom.functions.geo import mean_position
 from sensorloom.operators import clustering, geogrid, places
 from sensorloom.plans import views as v
 from sensorloom.plans.q_features import rounded
 from sensorloom.plans.q_windows import STAY_SQL, stay_rows
 from sensorloom.plans.registry import query
 from sensorloom.plans.views import sql_haversine_m, sql_with
+from sensorloom.session import materialize
 
 # Means of short decimals fall on rounding ties; both sides shift by this before rounding.
 NUDGE = 3.31e-8
@@ -17,6 +19,11 @@ NUDGE = 3.31e-8
 _KM = sql_haversine_m("a.lat", "a.lon", "b.lat", "b.lon") + " / 1000"
 
 
+# Sums of unit vectors, and the position of such a sum.
+_UNIT_SQL = "sum(cos(radians(lat)) * cos(radians(lon))) AS ux, sum(cos(radians(lat)) * sin(radians(lon))) AS uy, sum(sin(radians(lat))) AS uz"
+_LAT_SQL, _LON_SQL = "degrees(atan2(uz, sqrt(ux * ux + uy * uy)))", "degrees(atan2(uy, ux))"
+
+
 def _recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
@@ -53,8 +60,32 @@ def _place_cluster_summary(spark, d):
     return rounded(clustering.place_cluster_summary(clustering.place_clusters(v.gps(spark, d), 1.5)))
 
 
+@query(
+    "place_cluster_facts",
+    sql_with(
+        "gps",
+        """SELECT device, count(*) AS n_rows, count(DISTINCT (lat, lon)) AS n_points, true AS within, true AS apart, true AS means_agree, true AS dense
+        FROM gps GROUP BY device""",
+    ),
+)
+def _place_cluster_facts(spark, d):
+    """What complete linkage with a limit promises: members within it, no two clusters that could still merge."""
+    rows = materialize(clustering.place_clusters(v.gps(spark, d), 1.5), "clustered")
+    key = ["device", "cluster_label"]
+    mean_lat, mean_lon = mean_position(F.col("lat"), F.col("lon"))
+    means = rows.groupBy(*key).agg(mean_lat.alias("m_lat"), mean_lon.alias("m_lon"), F.first("cluster_lat").alias("lat"), F.first("cluster_lon").alias("lon"))
+    agree = (F.abs(F.col("m_lat") - F.col("lat")) < 1e-9) & (F.abs(F.col("m_lon") - F.col("lon")) < 1e-9)
+    shapes = materialize(geogrid.hulls(rows.select(*key, "lat", "lon").distinct(), key).withColumns({"lat": F.col("hull")[0]["lat"], "lon": F.col("hull")[0]["lon"]}), "shapes")
+    near = geogrid.candidate_pairs(shapes, ["device"], "cluster_label", 1.5).filter(geogrid.farthest_km(F.col("a.hull"), F.col("b.hull")) < 1.5)
+    mergeable = near.groupBy("device").agg(F.count("*").alias("n"))
+    inside = shapes.groupBy("device").agg(F.bool_and(geogrid.farthest_km(F.col("hull"), F.col("hull")) < 1.5).alias("within"), F.count("*").alias("c"), F.max("cluster_label").alias("top"))
+    whole = rows.groupBy("device").agg(F.count("*").alias("n_rows"), F.count_distinct("lat", "lon").alias("n_points"))
+    told = whole.join(inside, "device").join(means.groupBy("device").agg(F.bool_and(agree).alias("means_agree")), "device").join(mergeable, "device", "left")
+    return told.select("device", "n_rows", "n_points", "within", F.col("n").isNull().alias("apart"), "means_agree", (F.col("top") + 1 == F.col("c")).alias("dense"))
+
+
 _CHUNK_SQL = f"""ps AS (SELECT *, k % 3 AS ch, k // 5 AS lab FROM gps),
-  cc AS (SELECT device, ch, lab, avg(lat) AS lat, avg(lon) AS lon FROM ps GROUP BY ALL),
+  cc AS (SELECT device, ch, lab, {_LAT_SQL} AS lat, {_LON_SQL} AS lon FROM (SELECT device, ch, lab, {_UNIT_SQL} FROM ps GROUP BY ALL)),
   cp AS (SELECT a.device, a.ch AS ac, a.lab AS al, b.ch AS bc, b.lab AS bl, {_KM} AS centroid_km FROM cc a JOIN cc b ON a.device = b.device
     AND (a.ch, a.lab) < (b.ch, b.lab) AND a.ch <> b.ch WHERE {_KM} < 1.5),
   cf AS (SELECT cp.device, ac, al, bc, bl, centroid_km, max({_KM}) AS farthest_km FROM cp JOIN ps a ON a.device = cp.device AND a.ch = ac AND a.lab = al
@@ -88,16 +119,17 @@ def _chunk_cluster_pairs(spark, d):
     _recursive(
         sql_with(
             "gps",
-            """SELECT event_id, chunk, cluster_label, round(avg(lat) OVER w + 3.31e-8, 6) AS cluster_lat, round(avg(lon) OVER w + 3.31e-8, 6) AS cluster_lon FROM
-            (SELECT ps.event_id, ps.device, ps.lat, ps.lon, coalesce(root, ch * 1000 + lab) // 1000 AS chunk, coalesce(root, ch * 1000 + lab) % 1000 AS cluster_label
-             FROM ps LEFT JOIN comp ON comp.device = ps.device AND comp.id = ch * 1000 + lab) WINDOW w AS (PARTITION BY device, chunk, cluster_label)""",
-            _CHUNK_SQL + ", " + _closure("comp", "ce"),
+            f"""SELECT event_id, chunk, cluster_label, round({_LAT_SQL}, 6) AS cluster_lat, round({_LON_SQL}, 6) AS cluster_lon
+            FROM moved JOIN (SELECT device, chunk, cluster_label, {_UNIT_SQL} FROM moved GROUP BY ALL) USING (device, chunk, cluster_label)""",
+            _CHUNK_SQL + ", " + _closure("comp", "ce")
+            + """, moved AS (SELECT ps.event_id, ps.device, ps.lat, ps.lon, coalesce(root, ch * 1000 + lab) // 1000 AS chunk, coalesce(root, ch * 1000 + lab) % 1000 AS cluster_label
+             FROM ps LEFT JOIN comp ON comp.device = ps.device AND comp.id = ch * 1000 + lab)""",
         )
     ),
 )
 def _merge_chunk_clusters(spark, d):
     out = clustering.merge_chunk_clusters(_chunked(spark, d), 1.5, 2.5)
-    return rounded(out.select("event_id", "chunk", "cluster_label", "cluster_lat", "cluster_lon"), nudge=NUDGE)
+    return rounded(out.select("event_id", "chunk", "cluster_label", "cluster_lat", "cluster_lon"))
 
 
 @query(
@@ -112,11 +144,11 @@ def _relabel_clusters(spark, d):
 
 
 def _sql_pass(i: int, state: str) -> str:
-    """One merge pass over ``state(device, id, sla, slo, n)``."""
-    return f"""pl{i} AS (SELECT device, id, sla / n AS lat, slo / n AS lon FROM {state}),
+    """One merge pass over ``state(device, id, ux, uy, uz)``."""
+    return f"""pl{i} AS (SELECT device, id, {_LAT_SQL} AS lat, {_LON_SQL} AS lon FROM {state}),
     pe{i} AS (SELECT a.device, a.id AS s, b.id AS t FROM pl{i} a JOIN pl{i} b ON a.device = b.device AND a.id < b.id WHERE {_KM} < 0.6),
     {_closure(f"pc{i}", f"pe{i}")},
-    st{i} AS (SELECT s.device, coalesce(root, s.id) AS id, sum(sla) AS sla, sum(slo) AS slo, sum(n) AS n FROM {state} s
+    st{i} AS (SELECT s.device, coalesce(root, s.id) AS id, sum(ux) AS ux, sum(uy) AS uy, sum(uz) AS uz FROM {state} s
       LEFT JOIN pc{i} c ON c.device = s.device AND c.id = s.id GROUP BY 1, 2)"""
 
 
@@ -125,10 +157,10 @@ def _sql_pass(i: int, state: str) -> str:
     _recursive(
         sql_with(
             "gps",
-            """SELECT event_id, coalesce(b.root, a.root, g.k) AS cluster_label, round(sla / n + 3.31e-8, 6) AS cluster_lat, round(slo / n + 3.31e-8, 6) AS cluster_lon FROM gps g
+            f"""SELECT event_id, coalesce(b.root, a.root, g.k) AS cluster_label, round({_LAT_SQL}, 6) AS cluster_lat, round({_LON_SQL}, 6) AS cluster_lon FROM gps g
             LEFT JOIN pc1 a ON a.device = g.device AND a.id = g.k LEFT JOIN pc2 b ON b.device = g.device AND b.id = coalesce(a.root, g.k)
             JOIN st2 ON st2.device = g.device AND st2.id = coalesce(b.root, a.root, g.k)""",
-            "st0 AS (SELECT device, k AS id, sum(lat) AS sla, sum(lon) AS slo, count(*) AS n FROM gps GROUP BY ALL), "
+            f"st0 AS (SELECT device, k AS id, {_UNIT_SQL} FROM gps GROUP BY ALL), "
             + _sql_pass(1, "st0") + ", " + _sql_pass(2, "st1"),
         )
     ),
@@ -136,7 +168,7 @@ def _sql_pass(i: int, state: str) -> str:
 def _merge_close_places(spark, d):
     rows = v.gps(spark, d).withColumn("cluster_label", F.col("k"))
     out = clustering.merge_close_places(rows, 0.6)
-    return rounded(out.select("event_id", "cluster_label", "cluster_lat", "cluster_lon"), nudge=NUDGE)
+    return rounded(out.select("event_id", "cluster_label", "cluster_lat", "cluster_lon"))
 
 
 @query(
@@ -281,6 +313,25 @@ def _kmeans_k_sweep(spark, d):
     return rounded(places.kmeans_k_sweep(v.gps(spark, d), 9, 18, min_rows=10, near_m=1500))
 
 
+@query(
+    "kmeans_facts",
+    sql_with(
+        "gps",
+        """SELECT device, count(*) AS n_rows, true AS all_members, true AS near_are_members, true AS near_add_up, true AS silhouettes, true AS places
+        FROM gps WHERE date_part('hour', make_timestamp(us)) >= 9 AND date_part('hour', make_timestamp(us)) < 18 GROUP BY device HAVING count(*) >= 10""",
+    ),
+)
+def _kmeans_facts(spark, d):
+    """Per participant: rows of the day part, members and near rows that add up, and one silhouette from -1 to 1."""
+    found = materialize(places.kmeans_k_sweep(v.gps(spark, d), 9, 18, min_rows=10, near_m=1500), "frequent")
+    near = F.sum("entries_near") == F.max("n_rows_near")
+    one = (F.min("silhouette") == F.max("silhouette")) & (F.abs(F.min("silhouette")) <= 1) & (F.max("silhouette_error") == 0)
+    return found.groupBy("device").agg(
+        F.max("n_rows").alias("n_rows"), (F.sum("n_members") == F.max("n_rows")).alias("all_members"), F.bool_and(F.col("entries_near") <= F.col("n_members")).alias("near_are_members"),
+        near.alias("near_add_up"), one.alias("silhouettes"), ((F.count("*") <= F.max("n_places")) & F.max("n_places").isin(1, 2, 3, 4, 5, 6)).alias("places"),
+    )
+
+
 def _frequent(spark, d, hours: str = "true"):
     return (
         v.gps(spark, d)
