@@ -40,6 +40,15 @@ def home_cell(lat: Column, lon: Column, radius_km: float) -> tuple[Column, Colum
     return band, _cell(lon, _cells_around(band, radius_km))
 
 
+def cells_around(df: DataFrame, radius_km: float) -> DataFrame:
+    """Each point in the at most nine cells (``_band, _cell``) from which it may be within the radius."""
+    band, lon = _band(F.col("lat"), radius_km), F.col("lon")
+    bands = df.withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
+    sized = bands.withColumn("_n", _cells_around(F.col("_band"), radius_km)).withColumn("_w", F.lit(360.0) / F.col("_n"))
+    cells = F.array_distinct(F.array(*[_cell(at, F.col("_n")) for at in (lon - F.col("_w"), lon, lon + F.col("_w"))]))
+    return sized.withColumn("_cell", F.explode(cells)).drop("_n", "_w")
+
+
 def candidate_pairs(df: DataFrame, keys: Sequence[str], id_column: str, radius_km: float) -> DataFrame:
     """Pairs ``a``/``b`` (structs of all columns, a.id < b.id) of the same keys in neighbouring cells.
 
@@ -47,13 +56,9 @@ def candidate_pairs(df: DataFrame, keys: Sequence[str], id_column: str, radius_k
     copied to the at most nine cells around it.
     """
     whole = F.struct(*df.columns)
-    lon = F.col("b.lon")
     band, cell = home_cell(F.col("lat"), F.col("lon"), radius_km)
     home = df.select(*keys, band.alias("_band"), cell.alias("_cell"), whole.alias("a"))
-    bands = df.select(*keys, whole.alias("b"), F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
-    sized = bands.withColumn("_n", _cells_around(F.col("_band"), radius_km)).withColumn("_w", F.lit(360.0) / F.col("_n"))
-    cells = F.array_distinct(F.array(*[_cell(at, F.col("_n")) for at in (lon - F.col("_w"), lon, lon + F.col("_w"))]))
-    around = sized.select(*keys, "b", "_band", F.explode(cells).alias("_cell"))
+    around = cells_around(df.select(*keys, "lat", "lon", whole.alias("b")), radius_km).drop("lat", "lon")
     pairs = home.join(around, [*keys, "_band", "_cell"])
     return pairs.filter(F.col(f"a.{id_column}") < F.col(f"b.{id_column}")).drop("_band", "_cell")
 

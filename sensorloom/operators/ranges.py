@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sensorloom.functions.scalars import floor_div, ratio
+from sensorloom.operators.ordered import SLICE_US, sides_unbounded
+from sensorloom.session import materialize
 
 
 def event_window_join(
@@ -84,34 +86,45 @@ def first_complete_source(
     return joined.join(kept, [*keys, source_rank], "left_semi")
 
 
+def disjoint_cover(intervals: DataFrame, columns: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, us, _hit``: from each ``us`` on, the covering interval of highest ``priority`` (NULL: none), until the next ``us``.
+
+    An interval is the union of at most two blocks for each power of two (canonical blocks); each block keeps its
+    best interval, a map-side maximum. The winner at an endpoint is the best of the blocks that hold it, one for each
+    power, found by equality. No interval meets another one, and nothing is gathered.
+    """
+    whole = intervals.filter(F.col("start_us") <= F.col("end_us"))
+    entry = F.struct("priority", "start_us", "end_us", *columns)
+    spans = materialize(whole.select(*keys, F.col("start_us").alias("_from"), (F.col("end_us") + 1).alias("_to"), entry.alias("_entry")), "intervals")
+    longest = spans.agg(F.max(F.col("_to") - F.col("_from"))).first()[0] or 1
+    levels = int(longest).bit_length()
+    first, last = F.expr("shiftright(_from + shiftleft(1L, _level) - 1, _level)"), F.expr("shiftright(_to, _level)")
+    placed = spans.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns({"_a": first, "_b": last}).filter("_a < _b")
+    ends = F.array_compact(F.array(F.when(F.col("_a") % 2 != 0, F.col("_a")), F.when(F.col("_b") % 2 != 0, F.col("_b") - 1)))
+    blocks = placed.select(*keys, "_level", "_entry", F.explode(ends).alias("_block")).groupBy(*keys, "_level", "_block").agg(F.max("_entry").alias("_entry"))
+    points = spans.select(*keys, F.explode(F.array("_from", "_to")).alias("us")).distinct()
+    asked = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("_block", F.expr("shiftright(us, _level)"))
+    on = [*keys, "_level", "_block"]
+    found = asked.alias("a").join(blocks.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in on], "left").select("a.*", "b._entry")
+    return materialize(found.groupBy(*keys, "us").agg(F.max("_entry").alias("_hit")).select(*keys, "us", "_hit"), "cover")
+
+
 def interval_lookup(
     rows: DataFrame,
     intervals: DataFrame,
     columns: Sequence[str] = (),
     us: str = "us",
-    bucket_us: int = 3_600_000_000,
     keys: Sequence[str] = (),
+    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """Rows inside an interval with ``_hit`` = struct of the covering interval of highest ``priority``.
 
-    ``intervals(keys, start_us, end_us, priority, …)``, bounds inclusive. Intervals are
-    gathered per time bucket (a bucket holds only the intervals that touch it), so
-    a row meets one array and is never multiplied.
+    ``intervals(keys, start_us, end_us, priority, …)``, bounds inclusive; of equal priorities the later start, then the
+    later end. A row looks back to the last piece of the disjoint cover, so it is never multiplied.
     """
-    spread = intervals.withColumn(
-        "_bucket",
-        F.explode(F.sequence(floor_div(F.col("start_us"), bucket_us), floor_div(F.col("end_us"), bucket_us))),
-    )
-    entry = F.struct("priority", "start_us", "end_us", *columns)
-    per_bucket = spread.groupBy(*keys, "_bucket").agg(F.sort_array(F.collect_list(entry), asc=False).alias("_cover"))
-    hit = F.filter("_cover", lambda i: (F.col(us) >= i["start_us"]) & (F.col(us) <= i["end_us"]))
-    return (
-        rows.withColumn("_bucket", floor_div(F.col(us), bucket_us))
-        .join(per_bucket, [*keys, "_bucket"])
-        .withColumn("_hit", F.get(hit, F.lit(0)))
-        .filter(F.col("_hit").isNotNull())
-        .drop("_cover", "_bucket")
-    )
+    cover = disjoint_cover(intervals, columns, keys).withColumnRenamed("us", us)
+    found = sides_unbounded(rows, cover, ["_hit"], keys, us, slice_us=slice_us)
+    return found.withColumn("_hit", F.col("_prev._hit")).drop("_prev", "_next").filter(F.col("_hit").isNotNull())
 
 
 def interval_label(rows: DataFrame, intervals: DataFrame, us: str = "us", strip: int = 3) -> DataFrame:
