@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.functions.scalars import ratio
 from sensorloom.functions.timefn import MINUTE, SECOND
 from sensorloom.session import materialize
-from sensorloom.operators.ordered import SLICE_US, sides_unbounded, sides_within
+from sensorloom.operators.ordered import SLICE_US, choose_slice, sides_unbounded, sides_within
 
 
 def _closest(us: Column, lower: int, upper: int) -> Column:
@@ -20,6 +21,15 @@ def _closest(us: Column, lower: int, upper: int) -> Column:
     return F.when(F.col("_next").isNotNull() & use_next, F.col("_next")).otherwise(F.col("_prev"))
 
 
+def measured_slice(frames: Sequence[DataFrame], reach: int, keys: Sequence[str], us: str) -> int:
+    """The widest slice whose fullest part stays small, over the times of all frames; no finer than the reach or a second.
+
+    A busy hour of one key is split by it, and a quiet table is not cut at all.
+    """
+    times = reduce(DataFrame.unionByName, [f.select(*keys, us) for f in frames])
+    return choose_slice(times, keys, us, finest=max(reach, SECOND))
+
+
 def asof_nearest(
     left: DataFrame,
     right: DataFrame,
@@ -30,12 +40,13 @@ def asof_nearest(
     us: str = "us",
     tie: Sequence[str] = (),
     prefix: str = "",
-    slice_us: int = SLICE_US,
+    slice_us: int | None = None,
 ) -> DataFrame:
     """Each left row with the payload of the nearest right row in ``[us - before, us + after]``.
 
-    Adds ``<prefix>matched_us``. Unmatched left rows keep NULLs.
+    Adds ``<prefix>matched_us``. Unmatched left rows keep NULLs. Slices are measured unless given.
     """
+    slice_us = slice_us or measured_slice([left, right], max(before, after), keys, us)
     sides = sides_within(left, right, payload, before, after, keys, us, tie, slice_us)
     hit = sides.withColumn("_hit", _closest(F.col(us), before, after)).drop("_prev", "_next")
     return hit.select(
@@ -55,7 +66,7 @@ def asof_nearest_merge(
     us: str = "us",
     event_us: str = "event_us",
     tie: Sequence[str] = (),
-    slice_us: int = SLICE_US,
+    slice_us: int | None = None,
 ) -> DataFrame:
     """Full-outer nearest merge within a tolerance.
 
@@ -63,6 +74,7 @@ def asof_nearest_merge(
     own time, key and event time. The matches feed both the result and the search for
     unmatched rows, so they are written once; a fold over many sensors stays linear.
     """
+    slice_us = slice_us or measured_slice([left, right], tolerance, keys, us)
     carried = [*payload, event_us]
     matched = materialize(
         asof_nearest(left, right, carried, tolerance, tolerance, keys, us, tie, "_m_", slice_us), "merged"
@@ -95,9 +107,10 @@ def asof_multi_sensor_merge(
     tolerance: int,
     keys: Sequence[str] = ("device",),
     tie: Sequence[str] = (),
-    slice_us: int = SLICE_US,
+    slice_us: int | None = None,
 ) -> DataFrame:
     """Fold several sensors ``(prefix, frame, payload)`` into one series by full-outer nearest merges."""
+    slice_us = slice_us or measured_slice([base, *(frame for _, frame, _ in others)], tolerance, keys, "us")
     out = base
     for prefix, frame, payload in others:
         out = asof_nearest_merge(out, frame, payload, tolerance, prefix, keys, tie=tie, slice_us=slice_us)
@@ -113,7 +126,7 @@ def asof_backward(
     us: str = "us",
     tie: Sequence[str] = (),
     prefix: str = "",
-    slice_us: int = SLICE_US,
+    slice_us: int | None = None,
 ) -> DataFrame:
     """Each left row with the last right row of the same key at most ``tolerance`` earlier."""
     return asof_nearest(left, right, payload, tolerance, 0, keys, us, tie, prefix, slice_us)

@@ -29,13 +29,15 @@ PART = "_part"
 # Default slice: at sensor rates an hour holds tens of thousands of rows, and a device that
 # owns a third of all data still spreads over thousands of tasks. ``choose_slice`` measures instead.
 SLICE_US = HOUR
+#: Rows of a key that one slice holds where the width is measured.
+TARGET_ROWS = 2_000_000
 
 
 def choose_slice(
-    df: DataFrame, keys: Sequence[str] = ("device",), us: str = "us", target_rows: int = 2_000_000, finest: int = MINUTE
+    df: DataFrame, keys: Sequence[str] = ("device",), us: str = "us", target_rows: int | None = None, finest: int = MINUTE
 ) -> int:
     """The widest slice (``finest`` times a power of two, at most 4096 days) whose fullest
-    ``(keys, slice)`` holds at most ``target_rows`` rows.
+    ``(keys, slice)`` holds at most ``target_rows`` (``TARGET_ROWS``) rows.
 
     One aggregation pass; only one number per width reaches the driver.
     """
@@ -49,7 +51,7 @@ def choose_slice(
         .agg(F.sum("_n").alias("_n"))
         .groupBy("_level")
         .agg(F.max("_n").alias("_n"))
-        .filter(F.col("_n") <= target_rows)
+        .filter(F.col("_n") <= (target_rows or TARGET_ROWS))
         .agg(F.max("_level").alias("_level"))
     )
     level = levels.first()["_level"]

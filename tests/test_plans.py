@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sensorloom.operators import identity, ordered, summaries
+from sensorloom.operators import asof, identity, ordered, summaries
 from sensorloom.session import shared_dir
 from sensorloom.sources import files
 
@@ -93,3 +93,18 @@ def test_margins(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", None)], "r string, c long")
     got = {r["r"]: (r["1"], r["2"], r["total"]) for r in summaries.contingency_margins(df, "r", "c", [1, 2]).collect()}
     assert got == {"a": (1, 1, 2), "b": (1, 0, 1), "total": (2, 1, 3)}
+
+
+def test_a_busy_hour_of_one_device_is_split(spark, monkeypatch):
+    """As-of merges measure their slices: here one device has nearly all rows, nearly all of them in one hour."""
+    monkeypatch.setattr(ordered, "TARGET_ROWS", 500)
+    busy = spark.range(20_000).select(F.lit(1).alias("device"), (F.col("id") * 180_000).alias("us"), F.lit(0).alias("event_us"))
+    quiet = spark.range(50).select((F.col("id") % 9 + 2).cast("int").alias("device"), (F.col("id") * 3_600_000_000).alias("us"), F.lit(0).alias("event_us"))
+    left = busy.unionByName(quiet)
+    right = left.withColumn("us", F.col("us") + 40_000).withColumn("v", F.col("us"))
+    width = asof.measured_slice([left, right], 100_000, ["device"], "us")
+    fullest = left.unionByName(right.drop("v")).groupBy("device", F.floor(F.col("us") / width)).count().agg(F.max("count")).first()[0]
+    assert width < 3_600_000_000 and fullest <= 500
+    found = asof.asof_nearest(left, right, ["v"], 100_000, 100_000)
+    assert found.filter("matched_us = us + 40000 AND v = us + 40000").count() == left.count()
+    assert asof.asof_nearest(left, right, ["v"], 100_000, 100_000, slice_us=3_600_000_000).exceptAll(found).isEmpty()
