@@ -7,7 +7,8 @@ fitted values are calibrated by isotonic regression over sums in score bins.
 
 Results: null and empty texts have statistics of zero and get a score like any other text; without labelled
 rows the score is 0. Several labels of one document count as the smallest, null labels are left out. Repeated
-rows repeat their result. Statistics are made where the text is; only ids and numbers are shuffled.
+rows repeat their result, an empty table gives no rows, texts of any length are read whole, equal fitted values share a score,
+and columns named as the results give way. Statistics are made where the text is; only ids and numbers are shuffled.
 """
 
 from __future__ import annotations

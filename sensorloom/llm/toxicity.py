@@ -2,13 +2,14 @@
 
 Features are the n-grams of 3 to 7 bytes of the lower-cased text, white space as one blank, each present or
 absent. Training works on a bounded, reproducible sample of labelled rows: document counts of hashed n-grams
-screen the candidates, exact counts choose the features, and a logistic regression is fitted on presences
+screen the candidates (those that stand once in a partition of the sample do not count there), exact counts choose the features, and a logistic regression is fitted on presences
 scaled by the log ratio of how often a class contains the n-gram. A score is the logistic of the sum of the
 weights that a whole text contains.
 
 Results: null and empty texts score as a text without any n-gram; without labelled rows of both classes every
-score is 0. Several labels of one document count as the largest; null labels are left out. Repeated rows
-repeat their result; other columns stay. Only bounded samples are shuffled.
+score is 0. Several labels of one document count as the largest; null labels are left out. Of n-grams that tell as
+much the smaller keys are taken. Texts of any length are read whole, an empty table gives no rows. Repeated rows
+repeat their result; other columns stay, one named as the score gives way. Only bounded samples are shuffled.
 """
 
 from __future__ import annotations
