@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Records and bytes that Spark hands to Python at once; documents may be very long.
+#: Records and bytes that Spark hands to Python at once; documents may be very long, and what a batch turns into is several
+#: times its size in every worker.
 BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -200,13 +200,17 @@ def _doc_key(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
 
 
-def find_anchors(df: DataFrame, length: int) -> DataFrame:
-    """``h, c, doc, t, places, m, size``: the contexts of every document; equal ones of a document are one row."""
+def find_anchors(df: DataFrame, length: int, code: Callable[[bytes], bytes] = bytes) -> DataFrame:
+    """``h, c, doc, t, places, m, size``: the contexts of every document; equal ones of a document are one row.
+
+    ``code`` gives the bytes that are compared; places are places in them.
+    """
     schema = "h long, c long, doc long, t long, places array<int>, m int, size int"
 
     def run(batch: pa.RecordBatch):
         out: list[list] = [[] for _ in range(7)]
         for doc, t, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            raw = code(raw)
             if len(raw) < length:
                 continue
             rows: dict[tuple[int, int, int], list[int]] = {}
@@ -288,17 +292,21 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["h", "c", "s", "later"])
 
 
-def repeated_starts(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, keep_first: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_starts(
+    df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, keep_first: bool = False, shard_bytes: int = SHARD_BYTES,
+    code: Callable[[bytes], bytes] = bytes,
+) -> DataFrame:
     """``doc, t, spans``: for each document the runs of starts [from, to) whose string also starts elsewhere, each as
     one long (``from`` in the upper 32 bits), in no order.
 
-    With ``keep_first`` the first place of each string, by a hash of the id and then by position, is left out.
+    With ``keep_first`` the first place of each string, by a hash of the id and then by position, is left out. Strings are
+    those of ``code`` of a text, in the same pass of Python that looks at them.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     docs = df.select(F.xxhash64(id_col).alias("doc"), _doc_key(text_col).alias("t"), raw.alias("raw"))
-    found = materialize(find_anchors(docs, length), "anchors")
+    found = materialize(find_anchors(docs, length, code), "anchors")
     place = F.struct("doc", "t", F.col("places")[0].alias("a"), "size")
     heads = found.groupBy("h").agg(F.sum("m").alias("total"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(place).alias("at")).filter("total > 1")
     heads = materialize(heads.select("h", (F.col("c0") == F.col("c1")).alias("alone"), "at"), "heads")
@@ -312,6 +320,7 @@ def repeated_starts(df: DataFrame, id_col: str, text_col: str, length: int = LEN
     def cut(batch: pa.RecordBatch):
         out: list[list] = [[] for _ in range(7)]
         for doc, t, raw_text, want in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            raw_text = code(raw_text)
             for w in want:
                 order = b"".join((x + (1 << 63)).to_bytes(8, "big") for x in (doc, t, w["a"]))
                 for column, value in zip(out, (w["h"], w["part"], w["c"], w["n"], w["divided"], raw_text[w["a"] : w["a"] + w["size"]], order)):
@@ -375,16 +384,6 @@ def word_codes(raw: bytes | None) -> bytes:
     return np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes()
 
 
-def _add_codes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    kind = dict(df.dtypes)[id_col]
-
-    def run(batch: pa.RecordBatch):
-        codes = pa.array([word_codes(raw) for raw in batch.column(1).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes], names=["id", "raw", "codes"])
-
-    return map_batches(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("raw")), run, f"id {kind}, raw binary, codes binary")
-
-
 def word_ranges(raw: bytes, spans: np.ndarray, words: int) -> list[tuple[int, int]]:
     """The byte ranges of the passages of ``words`` words whose codes start in the spans."""
     if not len(spans):
@@ -430,12 +429,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kinds = dict(df.dtypes)
     joined = df.join(starts, (F.xxhash64(id_col) == F.col("_doc")) & (_doc_key(text_col) == F.col("_t")), "left")
     if words:
-        coded = _add_codes(df, id_col, text_col)
-        found = repeated_starts(coded, "id", "codes", words * CODE, keep_first, shard_bytes)
-        # The spans go from the codes to the text, whose key tells rows that share an id.
-        of_text = coded.select(F.xxhash64("id").alias("doc"), _doc_key("codes").alias("t"), _doc_key("raw").alias("_t2")).distinct()
-        found = found.join(of_text, ["doc", "t"]).select(F.col("doc").alias("_doc2"), "_t2", F.col("spans").alias("_word_spans"))
-        found = materialize(found, "repeated-words")
+        found = repeated_starts(df, id_col, text_col, words * CODE, keep_first, shard_bytes, word_codes)
+        found = materialize(found.select(F.col("doc").alias("_doc2"), F.col("t").alias("_t2"), F.col("spans").alias("_word_spans")), "repeated-words")
         joined = joined.join(found, (F.xxhash64(id_col) == F.col("_doc2")) & (_doc_key(text_col) == F.col("_t2")), "left")
     else:
         joined = joined.withColumn("_word_spans", F.array().cast("array<long>"))
