@@ -129,7 +129,7 @@ def place_timeslots(
     Arrivals, departures and stays in the slot over those of the place, share of the
     place's records and seconds per day, each plain and trusted. Records are first
     reduced to (place, hour, weekday, stay), and only those few cells are unfolded
-    to the four slot types. ``only_stays`` = False counts records outside stays too.
+    to the four slot types. A stay is trusted as a whole or not at all. ``only_stays`` = False counts records outside stays too.
     """
     hour, weekday = hour_of(F.col(us)), weekday_of(F.col(us))
     cells = rows.groupBy(device, place, hour.alias("_h"), weekday.alias("_w"), "stay", "stay_trusted").agg(
@@ -144,16 +144,13 @@ def place_timeslots(
             "_rows_t": F.when(counted_t, F.col("_n")).otherwise(0),
         }
     )
-    measures: list[Column] = [
-        F.sum("stay_first").alias("f"),
-        F.sum("stay_first_trusted").alias("ft"),
-        F.sum("stay_last").alias("l"),
-        F.sum("stay_last_trusted").alias("lt"),
-        F.count_distinct("stay").alias("s"),
-        F.count_distinct("stay_trusted").alias("st"),
-        F.sum("_rows").alias("r"),
-        F.sum("_rows_t").alias("rt"),
-    ]
+    sums = {"f": "stay_first", "ft": "stay_first_trusted", "l": "stay_last", "lt": "stay_last_trusted", "r": "_rows", "rt": "_rows_t"}
+
+    def measured(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Stays are first one row each, so that counting them needs no copies of the cells for distinct counts."""
+        stays = found.groupBy(*keys, "stay").agg(*[F.sum(c).alias(n) for n, c in sums.items()], F.max("stay_trusted").alias("_trusted"))
+        return stays.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sums], F.count("stay").alias("s"), F.count("_trusted").alias("st"))
+
     slots = F.array(
         *[
             F.struct(F.lit(t).alias("slot_type"), value.cast("string").alias("slot"))
@@ -165,8 +162,8 @@ def place_timeslots(
             )
         ]
     )
-    in_slot = cells.select("*", F.inline(slots)).groupBy(device, place, "slot_type", "slot").agg(*measures)
-    overall = cells.groupBy(device, place).agg(*measures).withColumnsRenamed(
+    in_slot = measured(cells.select("*", F.inline(slots)), [device, place, "slot_type", "slot"])
+    overall = measured(cells, [device, place]).withColumnsRenamed(
         {c: f"{c}_all" for c in ("f", "ft", "l", "lt", "s", "st", "r", "rt")}
     )
     joined = in_slot.join(overall, [device, place]).join(_days(rows, device, us), device)

@@ -39,14 +39,14 @@ def _closure(name: str, edges: str) -> str:
     "haversine_pairs",
     sql_with(
         "gps",
-        f"""SELECT * FROM (SELECT a.device, round(a.lat, 8) AS lat_a, round(a.lon, 8) AS lon_a, round(b.lat, 8) AS lat_b, round(b.lon, 8) AS lon_b, round({_KM} + 3.31e-8, 6) AS km
+        f"""SELECT * FROM (SELECT a.device, round(a.lat, 8) AS lat_a, round(a.lon, 8) AS lon_a, round(b.lat, 8) AS lat_b, round(b.lon, 8) AS lon_b, round({_KM}, 6) AS km
         FROM p a JOIN p b ON a.device = b.device AND (a.lat < b.lat OR (a.lat = b.lat AND a.lon < b.lon)) WHERE {_KM} < 1)""",
         "p AS (SELECT DISTINCT device, lat, lon FROM gps)",
     ),
 )
 def _haversine_pairs(spark, d):
     out = geogrid.haversine_pairs(v.gps(spark, d), 1.0)
-    return rounded(out.withColumn("km", F.round(F.col("km") + NUDGE, 6)), 8)
+    return rounded(out.withColumn("km", F.round("km", 6)), 8)
 
 
 @query("place_clusters")
@@ -101,8 +101,8 @@ def _chunked(spark, d):
     "chunk_cluster_pairs",
     sql_with(
         "gps",
-        """SELECT device, ac AS chunk_a, al AS label_a, bc AS chunk_b, bl AS label_b, round(centroid_km + 3.31e-8, 6) AS centroid_km,
-        round(farthest_km + 3.31e-8, 6) AS farthest_km, farthest_km <= 2.5 AS merged FROM cf""",
+        """SELECT device, ac AS chunk_a, al AS label_a, bc AS chunk_b, bl AS label_b, round(centroid_km, 6) AS centroid_km,
+        round(farthest_km, 6) AS farthest_km, farthest_km <= 2.5 AS merged FROM cf""",
         _CHUNK_SQL,
     ),
 )
@@ -110,7 +110,7 @@ def _chunk_cluster_pairs(spark, d):
     out = clustering.chunk_cluster_pairs(_chunked(spark, d), 1.5, 2.5)
     return out.select(
         "device", F.col("id_a.chunk").alias("chunk_a"), F.col("id_a.label").alias("label_a"), F.col("id_b.chunk").alias("chunk_b"),
-        F.col("id_b.label").alias("label_b"), F.round(F.col("centroid_km") + NUDGE, 6).alias("centroid_km"), F.round(F.col("farthest_km") + NUDGE, 6).alias("farthest_km"), "merged",
+        F.col("id_b.label").alias("label_b"), F.round("centroid_km", 6).alias("centroid_km"), F.round("farthest_km", 6).alias("farthest_km"), "merged",
     )
 
 
