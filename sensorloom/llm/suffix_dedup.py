@@ -424,16 +424,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     With ``words``, passages of that many equal words (cut at white space) go as well, however short. Both kinds
     are judged on the input and count their places in one order, so one place of each byte stays with ``keep_first``.
     """
-    starts = materialize(repeated_starts(df, id_col, text_col, length, keep_first, shard_bytes), "repeats").select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), F.col("spans").alias("_spans"))
+    found = materialize(repeated_starts(df, id_col, text_col, length, keep_first, shard_bytes), "repeats")
     columns = [c for c in df.columns if c not in (kept_col, removed_col)]
     kinds = dict(df.dtypes)
-    joined = df.join(starts, (F.xxhash64(id_col) == F.col("_doc")) & (_doc_key(text_col) == F.col("_t")), "left")
+    # The table's columns travel in a struct, so none of them can clash with the names used here.
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.xxhash64(id_col).alias("doc"), _doc_key(text_col).alias("t"))
+    joined = rows.join(found, ["doc", "t"], "left")
     if words:
         found = repeated_starts(df, id_col, text_col, words * CODE, keep_first, shard_bytes, word_codes)
-        found = materialize(found.select(F.col("doc").alias("_doc2"), F.col("t").alias("_t2"), F.col("spans").alias("_word_spans")), "repeated-words")
-        joined = joined.join(found, (F.xxhash64(id_col) == F.col("_doc2")) & (_doc_key(text_col) == F.col("_t2")), "left")
+        joined = joined.join(materialize(found.withColumnRenamed("spans", "word_spans"), "repeated-words"), ["doc", "t"], "left")
     else:
-        joined = joined.withColumn("_word_spans", F.array().cast("array<long>"))
+        joined = joined.withColumn("word_spans", F.array().cast("array<long>"))
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"`{kept_col}` binary", f"`{removed_col}` array<struct<a: int, b: int>>"])
 
     def run(batch: pa.RecordBatch):
@@ -451,5 +452,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(kept, pa.binary()), pa.array(removed, kind)], names=[*columns, kept_col, removed_col])
 
-    raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    return map_batches(joined.select(*[F.col(f"`{c}`") for c in columns], raw.alias("_raw"), "_spans", "_word_spans"), run, schema)
+    raw = F.coalesce(F.col("row")[text_col].cast("binary"), F.lit(b""))
+    return map_batches(joined.select(*[F.col("row")[c].alias(c) for c in columns], raw.alias("_raw"), F.col("spans").alias("_spans"), F.col("word_spans").alias("_word_spans")), run, schema)
