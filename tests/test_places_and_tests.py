@@ -250,7 +250,7 @@ def test_one_per_class(spark, limit):
 
 def test_binomial_tail_and_log_factorial(spark):
     rows = [(i, "a" if i < 40 else "b", "a") for i in range(60)]
-    r = evaluation.binomial_test(spark.createDataFrame(rows, "i long, y_test string, y_pred string"), parts=7).first()
+    r = evaluation.binomial_test(spark.createDataFrame(rows, "i long, y_test string, y_pred string")).first()
     want = sum(math.comb(60, x) for x in range(40, 61)) / 2**60
     assert abs(r["p_value"] - want) < 1e-12
     got = [x[0] for x in spark.range(0, 30).orderBy("id").select(evaluation.log_factorial(F.col("id").cast("double"))).collect()]
