@@ -66,6 +66,8 @@ def segment_features_ext(
     levels = rows.groupBy(*keys).agg(
         F.avg(x).alias("_mean"), F.count("*").alias("_n"), F.max(x).alias("_max"), F.min(x).alias("_min"), F.var_pop(x).alias("_var")
     )
+    # Merged moments of equal values may leave a variance of the last bits, of which skewness and kurtosis would be taken.
+    levels = levels.withColumn("_var", F.when(F.col("_min") == F.col("_max"), 0.0 * F.col("_min")).otherwise(F.col("_var")))
     stepped = previous_row(indexed, [column], keys, us, tie, slice_us, "_p").join(levels, list(keys))
     above = x > F.col("_mean")
     before = F.col(f"_p.{column}")
@@ -81,7 +83,7 @@ def segment_features_ext(
     n = F.col("_n")
     last_i = n - 1
     aggregates = [
-        F.var_pop(x).alias("variance"),
+        F.max("_var").alias("variance"),
         F.sum(x * x).alias("abs_energy"),
         F.avg(change).alias("mean_abs_change"),
         F.coalesce(F.sum(change), F.lit(0.0)).alias("absolute_sum_of_changes"),
