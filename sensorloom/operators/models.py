@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sensorloom.operators.selection import class_weights, impute_columns
-from sensorloom.session import materialize
+from sensorloom.session import by_sorting, materialize
 
 FOREST = {"numTrees": 20, "maxDepth": 5}
 #: Models that are fitted at the same time; each fit is a distributed job of its own.
@@ -331,7 +331,7 @@ def shuffled_labels(each: Folds, row: str, subjects: Sequence, rounds: int, seed
     drawn = others.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     drawn = numbered(drawn, ["_out", "_round"], F.xxhash64(F.lit(seed), "_out", "_round", row), row).select("_out", "_round", "_at", "_number")
     by_round = drawn.groupBy("_out", "_at").agg(F.array_sort(F.collect_list(F.struct("_round", "_number"))).alias("_r"))
-    labels = places.join(by_round, ["_out", "_at"]).select(row, "_out", F.col("_r._number").alias("_r"))
+    labels = places.join(by_sorting(by_round), ["_out", "_at"]).select(row, "_out", F.col("_r._number").alias("_r"))
     return labels.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("_out", "_r"))).alias("_shuffled"))
 
 
@@ -347,7 +347,7 @@ def permutation_test(
     if not subjects:
         raise ValueError("no subject has more than one class")
     labels = shuffled_labels(each, row, subjects, rounds, seed)
-    each.rows = materialize(each.rows.join(labels, row, "left"), "shuffled")
+    each.rows = materialize(each.rows.join(by_sorting(labels), row, "left"), "shuffled")
 
     def score(place: int, number: int) -> tuple:
         s = subjects[place]

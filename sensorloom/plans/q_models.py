@@ -10,7 +10,7 @@ from sensorloom.plans import views as v
 from sensorloom.plans.q_features import rounded
 from sensorloom.plans.registry import query
 from sensorloom.plans.views import sql_with
-from sensorloom.session import materialize, scratch_path
+from sensorloom.session import by_sorting, materialize, scratch_path
 
 _CL = v.CLASSES
 
@@ -252,7 +252,7 @@ def _shuffled_label_facts(spark, d):
     each = models.folds(_table(spark, d), _FEATURES, "label", "device", ["vec_id"])
     drawn = models.shuffled_labels(each, "vec_id", each.subjects, 50, 11)
     left_out = F.array(*[F.lit(s) for s in each.subjects])[F.col("_out")].cast("long")
-    rows = each.rows.select("vec_id", "_number").join(drawn, "vec_id").select("_number", F.explode("_shuffled").alias("_out", "_r"))
+    rows = each.rows.select("vec_id", "_number").join(by_sorting(drawn), "vec_id").select("_number", F.explode("_shuffled").alias("_out", "_r"))
     rows = rows.select(left_out.alias("left_out"), "_number", F.posexplode("_r").alias("round", "new"))
     moved = F.bool_or(F.col("_number") != F.col("new")).alias("moved")
     names = F.array(*[F.lit(c) for c in each.classes])

@@ -70,3 +70,14 @@ def test_pairs_of_few_wide_cells(spark):
     for radius in (0.5, 8.0, 60.0, 2000.0):
         got = sorted((r["id_a"], r["id_b"]) for r in geogrid.near_pairs(df, ["device"], "id", radius).collect())
         assert got == [(p[1], q[1]) for p, q in itertools.combinations(points, 2) if km(p, q) < radius]
+
+
+def test_shuffled_labels_broadcast_no_rows(spark):
+    from sensorloom.operators import models
+
+    df = spark.range(240).select(F.col("id").alias("row"), (F.col("id") % 3).alias("who"), F.concat(F.lit("c"), (F.col("id") % 4).cast("string")).alias("label"), F.rand(1).alias("x"))
+    each = models.folds(df, ["x"], "label", "who", ["row"])
+    drawn = models.shuffled_labels(each, "row", each.subjects, 5, 11)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_out" in plan
+    assert drawn.count() == 240
