@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Collection, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, ShortType, StructField, StructType
 
 from sensorloom.operators.selection import class_weights, impute_columns
 from sensorloom.session import by_sorting, materialize
@@ -23,6 +27,10 @@ FOREST = {"numTrees": 20, "maxDepth": 5}
 AT_ONCE = 8
 #: Rows of a task at least where a table is small: many small fits gain nothing from being cut further.
 TASK_ROWS = 20_000
+#: Hashed moves of a place in a drawn permutation.
+MOVES = 6
+#: Forests that are scored in one pass.
+SCORED_TOGETHER = 6
 
 
 def in_parallel(spark: SparkSession, jobs: Sequence[Callable], at_once: int = AT_ONCE) -> list:
@@ -94,12 +102,19 @@ class Folds:
 
     def hits(self, model: RandomForestClassificationModel, subjects: Collection) -> dict:
         """Per subject: rows of each class that the model finds."""
-        right = F.sum((F.col("prediction") == F.col("_number")).cast("long"))
-        rows = _few_tasks(self.rows.filter(self.of(subjects)), sum(sum(self.counts[s]) for s in subjects))
-        found = model.transform(rows).groupBy(self.subject, "_number").agg(right.alias("n")).collect()
-        out = {s: [0] * len(self.classes) for s in subjects}
-        for r in found:
-            out[r[0]][int(r[1])] = int(r[2])
+        return self.hits_of_all([model], subjects)[0]
+
+    def hits_of_all(self, models: Sequence[RandomForestClassificationModel], subjects: Collection) -> list[dict]:
+        """``hits`` of each model, from one pass over the subjects' rows."""
+        scored = _few_tasks(self.rows.filter(self.of(subjects)), sum(sum(self.counts[s]) for s in subjects)).select(self.subject, "_number", "_features")
+        for k, model in enumerate(models):
+            only = model.copy().setRawPredictionCol("").setProbabilityCol("").setPredictionCol(f"_p{k}")
+            scored = only.transform(scored)
+        right = [F.sum((F.col(f"_p{k}") == F.col("_number")).cast("long")).alias(f"_n{k}") for k in range(len(models))]
+        out = [{s: [0] * len(self.classes) for s in subjects} for _ in models]
+        for r in scored.groupBy(self.subject, "_number").agg(*right).collect():
+            for k in range(len(models)):
+                out[k][r[0]][int(r[1])] = int(r[2 + k])
         return out
 
     def balanced_accuracy(self, hits: dict, subjects: Collection) -> float:
@@ -335,6 +350,67 @@ def shuffled_labels(each: Folds, row: str, subjects: Sequence, rounds: int, seed
     return labels.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("_out", "_r"))).alias("_shuffled"))
 
 
+def shuffled_places(places: np.ndarray, n: int, *key: int) -> np.ndarray:
+    """Where a random permutation of 0 to ``n`` - 1, named by ``key``, takes ``places``; each place is moved on its own.
+
+    A place is a cell of a grid with about the square root of ``n`` columns; in turn its row is moved by a hash of its column and
+    its column by a hash of its row. Each move can be undone, so no two places meet. The few places that leave the
+    range, as the grid has up to a line of cells more, are moved on until they are back in it.
+    """
+    wide = math.isqrt(max(n - 1, 0)) + 1
+    high = -(-max(n, 1) // wide)
+    salts = np.random.SeedSequence(key).generate_state(MOVES, np.uint64)
+
+    def by(x: np.ndarray, salt: np.uint64, size: int) -> np.ndarray:
+        """A hash below ``size`` (the finalizer of SplitMix64)."""
+        x = x.astype(np.uint64) + salt
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) % np.uint64(size)).astype(np.int64)
+
+    def moved(x: np.ndarray) -> np.ndarray:
+        row, column = x // wide, x % wide
+        for k in range(0, MOVES, 2):
+            row = (row + by(column, salts[k], high)) % high
+            column = (column + by(row, salts[k + 1], wide)) % wide
+        return row * wide + column
+
+    out = moved(places)
+    while (away := np.flatnonzero(out >= n)).size:
+        out[away] = moved(out[away])
+    return out
+
+
+def with_drawn_labels(each: Folds, row: str, subjects: Sequence, rounds: int, seed: int) -> Folds:
+    """``each`` with ``_drawn<k>`` for the k-th left-out subject: by round, a permutation of the other subjects' class numbers.
+
+    The rows of a subject are numbered by a hash of their names, and the subjects follow each other. The places drawn hold the classes
+    one after another, so the counts alone tell a place and a class: rows are sorted once, not once a round, and nothing
+    is joined. The left-out subject's own rows hold nulls.
+    """
+    starts, ends = [], []
+    for s in subjects:
+        others = [o for o in each.subjects if o != s]
+        starts.append(dict(zip(others, itertools.accumulate((sum(each.counts[o]) for o in others), initial=0))))
+        ends.append(np.cumsum(each.trained_on({s})))
+    names = [f"_drawn{k}" for k in range(len(subjects))]
+
+    def draw(who: pa.Array, at: pa.Array) -> pa.Array:
+        who, at, out = who.to_pylist(), at.to_numpy(zero_copy_only=False) - 1, []
+        for k, (start, end) in enumerate(zip(starts, ends)):
+            other = np.array([w in start for w in who], dtype=bool)
+            places = at[other] + np.array([start[w] for w in who if w in start], dtype=np.int64)
+            drawn = [np.searchsorted(end, shuffled_places(places, int(end[-1]), seed, k, r), side="right") for r in range(rounds)]
+            offsets = pa.array(np.append(0, np.cumsum(other) * rounds).astype(np.int32), mask=np.append(~other, False))
+            out.append(pa.ListArray.from_arrays(offsets, pa.array(np.array(drawn, dtype=np.int16).T.ravel())))
+        return pa.StructArray.from_arrays(out, names=names)
+
+    kind = StructType([StructField(c, ArrayType(ShortType())) for c in names])
+    placed = numbered(each.rows, [each.subject], F.xxhash64(row), row)
+    drawn = placed.withColumn("_drawn", F.arrow_udf(draw, kind)(each.subject, "_at")).select(*each.rows.columns, "_drawn.*")
+    return replace(each, rows=materialize(drawn, "drawn"))
+
+
 def permutation_test(
     df: DataFrame, features: Sequence[str], label: str, subject: str, row: str, rounds: int = 50, seed: int = 11, **params
 ) -> DataFrame:
@@ -346,16 +422,20 @@ def permutation_test(
     subjects = [s for s in _spread(each) if sum(n > 0 for n in each.trained_on({s})) > 1]
     if not subjects:
         raise ValueError("no subject has more than one class")
-    labels = shuffled_labels(each, row, subjects, rounds, seed)
-    each.rows = materialize(each.rows.join(by_sorting(labels), row, "left"), "shuffled")
+    each = with_drawn_labels(each, row, subjects, rounds, seed)
+    each.rows.persist()  # a fit reads its rows four times
 
-    def score(place: int, number: int) -> tuple:
+    def score(place: int, numbers: Sequence[int]) -> list[tuple]:
         s = subjects[place]
-        drawn = F.col("_shuffled")[F.lit(place)][number - 1] if number else None
-        return s, number, each.balanced_accuracy(each.hits(each.fit({s}, seed, params, drawn), {s}), {s})
-
-    tasks = [(place, number) for place in range(len(subjects)) for number in range(rounds + 1)]
-    scores = in_parallel(df.sparkSession, [lambda t=t: score(*t) for t in tasks])
+        fitted = [each.fit({s}, seed, params, F.col(f"_drawn{place}")[r - 1] if r else None) for r in numbers]
+        return [(s, r, each.balanced_accuracy(hits, {s})) for r, hits in zip(numbers, each.hits_of_all(fitted, {s}))]
+
+    every = range(rounds + 1)
+    tasks = [(place, every[i : i + SCORED_TOGETHER]) for i in range(0, len(every), SCORED_TOGETHER) for place in range(len(subjects))]
+    try:
+        scores = [x for found in in_parallel(df.sparkSession, [lambda t=t: score(*t) for t in tasks]) for x in found]
+    finally:
+        each.rows.unpersist()
     return df.sparkSession.createDataFrame(scores, f"`{subject}` {dict(df.dtypes)[subject]}, round int, score double")
 
 

@@ -10,7 +10,7 @@ from sensorloom.plans import views as v
 from sensorloom.plans.q_features import rounded
 from sensorloom.plans.registry import query
 from sensorloom.plans.views import sql_with
-from sensorloom.session import by_sorting, materialize, scratch_path
+from sensorloom.session import materialize, scratch_path
 
 _CL = v.CLASSES
 
@@ -250,10 +250,9 @@ def _permutation_test(spark, d):
 def _shuffled_label_facts(spark, d):
     """Every round of every left-out subject keeps the other subjects' label counts, and moves labels."""
     each = models.folds(_table(spark, d), _FEATURES, "label", "device", ["vec_id"])
-    drawn = models.shuffled_labels(each, "vec_id", each.subjects, 50, 11)
-    left_out = F.array(*[F.lit(s) for s in each.subjects])[F.col("_out")].cast("long")
-    rows = each.rows.select("vec_id", "_number").join(by_sorting(drawn), "vec_id").select("_number", F.explode("_shuffled").alias("_out", "_r"))
-    rows = rows.select(left_out.alias("left_out"), "_number", F.posexplode("_r").alias("round", "new"))
+    drawn = models.with_drawn_labels(each, "vec_id", each.subjects, 50, 11).rows
+    out = F.explode(F.array(*[F.struct(F.lit(s).cast("long").alias("left_out"), F.col(f"_drawn{k}").alias("_r")) for k, s in enumerate(each.subjects)])).alias("_o")
+    rows = drawn.select("_number", out).select("_o.left_out", "_number", F.posexplode("_o._r").alias("round", "new"))
     moved = F.bool_or(F.col("_number") != F.col("new")).alias("moved")
     names = F.array(*[F.lit(c) for c in each.classes])
     return rows.groupBy("left_out", (F.col("round") + 1).cast("long").alias("round"), names[F.col("new")].alias("label")).agg(F.count("*").alias("n_rows"), moved)
