@@ -91,7 +91,7 @@ def _write_partitioned(spark, d):
     path = scratch_path(spark, "by-device")
     rows = v.sensor(spark, d).select("event_id", "device", "sensor", "us", "dv0")
     files.write_partitioned(rows, path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return files.read_partitioned(spark, path, rows.schema)
 
 
 @query(

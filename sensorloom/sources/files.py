@@ -77,6 +77,24 @@ def write_partitioned(df: DataFrame, path: str, by: str = "device", max_rows: in
     )
 
 
+def read_partitioned(spark: SparkSession, path: str, schema: StructType, tasks_per_core: int = 4) -> DataFrame:
+    """The table below ``path`` as ``write_partitioned`` left it.
+
+    A folder is listed in a task of its own by default, up to 10,000 of them, which takes longer than the
+    listing itself; here a few tasks a core share the folders. The session's setting is put back.
+    """
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(tasks_per_core * spark.sparkContext.defaultParallelism))
+    try:
+        return spark.read.schema(schema).parquet(path)  # lists at once
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def write_summary_csv(df: DataFrame, path: str) -> None:
     """CSV for small result tables."""
     df.write.mode("overwrite").option("header", True).csv(path)
