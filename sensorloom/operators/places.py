@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.functions.geo import haversine_m
@@ -11,7 +14,7 @@ from sensorloom.functions.scalars import floor_div, ratio, ratio_or_zero
 from sensorloom.functions.timefn import DAY, day_kind, hour_of, time_of_day, weekday_of
 from sensorloom.operators.geogrid import near_pairs
 from sensorloom.operators.graphs import connected_components
-from sensorloom.operators.silhouette import choose, silhouettes
+from sensorloom.operators.silhouette import BLOCK, choose, each_small_key, silhouettes
 from sensorloom.session import materialize
 
 # --- selection --------------------------------------------------------------------------------
@@ -222,6 +225,27 @@ def place_feature_ranks(places: DataFrame, features: Sequence[str], device: str
 # --- frequent places --------------------------------------------------------------------------
 
 
+def _small_centres(table: pa.Table, ks: Sequence[int], tolerance: float) -> dict[str, np.ndarray]:
+    """The final centres of one participant for every k, from the rows in the order of ``_i``."""
+    table = table.sort_by("_i")
+    x = np.stack([table.column(c).to_numpy() for c in ("lat", "lon")], axis=1)
+    w = table.column("w").to_numpy()
+    found = []
+    for k in [k for k in ks if k <= len(x)] if len(x) >= ks[0] else [1]:
+        ids, centres, own, still = np.arange(1, k + 1), x[:k], None, False
+        while not still:
+            near = np.square(x[:, None] - centres).sum(axis=2).argmin(axis=1)
+            before, own = own, ids[near]
+            n = np.bincount(near, w, len(ids))
+            kept = n > 0
+            means = np.stack([np.bincount(near, x[:, j] * w, len(ids))[kept] / n[kept] for j in (0, 1)], axis=1)
+            still = np.array_equal(own, before) or np.abs(means - centres[kept]).max() <= tolerance
+            ids, centres = ids[kept], means
+        found.append((np.full(len(ids), k), ids, centres))
+    k, c, centres = (np.concatenate(part) for part in zip(*found))
+    return {"k": k.astype("int32"), "c": c.astype("int32"), "lat": centres[:, 0], "lon": centres[:, 1]}
+
+
 def kmeans_k_sweep(
     rows: DataFrame,
     start_hour: int,
@@ -236,8 +260,8 @@ def kmeans_k_sweep(
 ) -> DataFrame:
     """Frequent locations per participant in a day part: the best k-means over several k.
 
-    All participants and all k run in the same jobs: a row is compared with its own
-    participant's few centres and each round is one map-side combined average.
+    Participants with at most a block of distinct coordinates are clustered many to a call, for every k. The others run
+    together: a row is compared with its own participant's few centres and each round is one map-side combined average.
     The silhouette is the usual one on Euclidean distances (see ``silhouettes``). The first k whose silhouette exceeds the limit wins,
     otherwise the best. Participants with fewer distinct coordinates than the
     smallest k get one location, whose silhouette is 1. Rounds go on until no centre
@@ -250,47 +274,60 @@ def kmeans_k_sweep(
     points = materialize(
         part.join(enough.select(device), device, "left_semi").groupBy(device, "lat", "lon").agg(F.count("*").alias("w")), "points"
     )
+    sizes = materialize(points.groupBy(device).agg(F.count("*").alias("_distinct")), "sizes")
+    few = F.col("_distinct") <= BLOCK
+    n_few, n_many = sizes.agg(F.sum(F.when(few, F.col("_distinct"))), F.sum(F.when(~few, F.col("_distinct")))).first()
     # Start from the coordinates with the smallest hash: at most max(ks) per participant.
     seed = F.row_number().over(Window.partitionBy(device).orderBy(F.xxhash64("lat", "lon"), "lat", "lon"))
-    seeds = points.withColumn("_i", seed).filter(F.col("_i") <= max(ks))
-    counts = seeds.groupBy(device).agg(F.count("*").alias("_distinct"))
-    choices = F.array(*[F.lit(k) for k in ks])
-    usable = F.when(F.col("_distinct") < ks[0], F.array(F.lit(1))).otherwise(
-        F.filter(choices, lambda k: k <= F.col("_distinct"))
-    )
-    centres = materialize(
-        seeds.join(counts, device)
-        .withColumn("k", F.explode(usable))
-        .filter(F.col("_i") <= F.col("k"))
-        .select(device, "k", F.col("_i").alias("c"), "lat", "lon"),
-        "centres",
-    )
 
-    def listed(current: DataFrame) -> DataFrame:
-        return current.groupBy(device, "k").agg(F.sort_array(F.collect_list(F.struct("c", "lat", "lon"))).alias("_cs"))
+    def of(chosen: Column) -> DataFrame:
+        return points.join(sizes.filter(chosen).select(device), device, "left_semi")
 
     def square(c: Column) -> Column:
         return F.pow(F.col("lat") - c["lat"], F.lit(2)) + F.pow(F.col("lon") - c["lon"], F.lit(2))
 
-    def assign(current: DataFrame) -> DataFrame:
+    def assign(rows: DataFrame, current: DataFrame) -> DataFrame:
+        listed = current.groupBy(device, "k").agg(F.sort_array(F.collect_list(F.struct("c", "lat", "lon"))).alias("_cs"))
         nearest = F.array_min(F.transform("_cs", lambda c: F.struct(square(c).alias("d"), c["c"].alias("c"))))
-        return points.join(listed(current), device).withColumn("c", nearest["c"]).drop("_cs")
-
-    def moved(current: DataFrame) -> DataFrame:
-        return assign(current).groupBy(device, "k", "c").agg(
-            (F.sum(F.col("lat") * F.col("w")) / F.sum("w")).alias("_lat"), (F.sum(F.col("lon") * F.col("w")) / F.sum("w")).alias("_lon")
-        ).withColumnsRenamed({"_lat": "lat", "_lon": "lon"})
-
-    while True:
-        before = centres
-        for _ in range(4):  # rounds form a short chain between two written tables
-            centres = moved(centres)
-        centres = materialize(centres, "centres")
-        still = (F.abs(F.col("lat") - F.col("_lat")) <= tolerance) & (F.abs(F.col("lon") - F.col("_lon")) <= tolerance)
-        if centres.join(before.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}), [device, "k", "c"]).filter(~still).isEmpty():
-            break
-
-    members = materialize(assign(centres), "members")
+        return rows.join(listed, device).withColumn("c", nearest["c"]).drop("_cs")
+
+    def centres_of_many() -> DataFrame:
+        """Rounds over all rows, for participants with more coordinates than a task should hold."""
+        large = materialize(of(~few), "points")
+        seeds = large.withColumn("_i", seed).filter(F.col("_i") <= max(ks))
+        choices = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k <= F.col("_distinct"))
+        usable = F.when(F.col("_distinct") < ks[0], F.array(F.lit(1))).otherwise(choices)
+        centres = materialize(
+            seeds.join(sizes, device).withColumn("k", F.explode(usable)).filter(F.col("_i") <= F.col("k")).select(device, "k", F.col("_i").alias("c"), "lat", "lon"),
+            "centres",
+        )
+
+        def moved(current: DataFrame) -> DataFrame:
+            return assign(large, current).groupBy(device, "k", "c").agg(
+                (F.sum(F.col("lat") * F.col("w")) / F.sum("w")).alias("_lat"), (F.sum(F.col("lon") * F.col("w")) / F.sum("w")).alias("_lon")
+            ).withColumnsRenamed({"_lat": "lat", "_lon": "lon"})
+
+        while True:
+            before = centres
+            for _ in range(4):  # rounds form a short chain between two written tables
+                centres = moved(centres)
+            centres = materialize(centres, "centres")
+            still = (F.abs(F.col("lat") - F.col("_lat")) <= tolerance) & (F.abs(F.col("lon") - F.col("_lon")) <= tolerance)
+            if centres.join(before.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}), [device, "k", "c"]).filter(~still).isEmpty():
+                return centres
+
+    parts = []
+    if n_few:
+        kind = dict(points.dtypes)[device]
+        solve = lambda table: _small_centres(table, ks, tolerance)
+        parts.append(each_small_key(of(few).withColumn("_i", seed), device, n_few, solve, f"{device} {kind},k int,c int,lat double,lon double"))
+    if n_many:
+        parts.append(centres_of_many())
+    if not parts:
+        parts.append(points.select(device, F.lit(1).alias("k"), F.lit(1).alias("c"), "lat", "lon"))  # no rows at all
+    centres = materialize(reduce(DataFrame.unionByName, parts), "centres")
+
+    members = materialize(assign(points, centres), "members")
     scores = silhouettes(members, device, sorted({1, *ks}), stop_silhouette)
     best = choose(scores, device, stop_silhouette).select(device, "k")
     metres = haversine_m(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))

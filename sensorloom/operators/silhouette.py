@@ -4,12 +4,12 @@ The mean distance of a point to all members of every cluster is summed over pair
 a pair of blocks hands on sums, never distances, and serves all clusterings at once. Where a key has more points
 than ``limit``, points of the same clusters in one grid cell are first replaced by their mean, which gives each
 silhouette an error bound; keys whose choice of a clustering could depend on it are evaluated again on finer cells, at
-last on the points themselves.
+last on the points themselves. Keys of one block need no pairs: many of them are scored exactly in one call.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from sensorloom.session import materialize
 #: Weighted points of a key that are compared with each other; quadratic work is spread over block pairs.
 LIMIT = 50_000
 BLOCK = 1024
+#: Points of many small keys that are handed to one call.
+BUNDLE = 5_000
 
 
 def choose(scores: DataFrame, key: str, stop: float) -> DataFrame:
@@ -35,6 +37,56 @@ def choose(scores: DataFrame, key: str, stop: float) -> DataFrame:
     return each.groupBy(key, "k").agg((F.bool_or(near_stop | near_best) & inexact).alias("unsure"))
 
 
+def each_small_key(points: DataFrame, key: str, n_points: int, solve: Callable[[pa.Table], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """``solve`` for the rows of each key; ``schema`` begins with the key, ``solve`` gives the other columns.
+
+    For keys of at most a block of points. A call takes about ``BUNDLE`` rows of whole keys, so that its cost is not paid for each of them.
+    """
+    names = [part.split()[0] for part in schema.split(",")]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(key)
+        keys = table.column(key).to_numpy()
+        bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+        found = [solve(table.slice(a, b - a)) for a, b in zip(bounds, bounds[1:])]
+        columns = {n: np.concatenate([f[n] for f in found]) for n in names[1:]}
+        return pa.table({names[0]: np.repeat(keys[bounds[:-1]], [len(f[names[1]]) for f in found]), **columns})
+
+    bundles = F.lit(max(1, -(-n_points // BUNDLE)))
+    return points.withColumn("_bundle", F.pmod(F.xxhash64(key), bundles)).groupBy("_bundle").applyInArrow(run, schema)
+
+
+def _exact(points: DataFrame, key: str, ks: Sequence[int], n_points: int) -> DataFrame:
+    """Scores of keys of at most a block of points, from all their distances."""
+
+    def solve(table: pa.Table) -> dict[str, np.ndarray]:
+        lat, lon, w = (table.column(c).to_numpy() for c in ("lat", "lon", "w"))
+        apart = np.hypot(lat[:, None] - lat, lon[:, None] - lon)
+        found = {}
+        for k in ks:
+            label = table.column(f"_c{k}")
+            if label.null_count == 0:
+                found[k] = np.average(_values(apart, w, label.to_numpy()), weights=w)
+        return {"k": np.array([*found], dtype="int32"), "silhouette": np.array([*found.values()]), "silhouette_error": np.zeros(len(found))}
+
+    kind = dict(points.dtypes)[key]
+    return each_small_key(points, key, n_points, solve, f"{key} {kind},k int,silhouette double,silhouette_error double")
+
+
+def _values(apart: np.ndarray, w: np.ndarray, label: np.ndarray) -> np.ndarray:
+    clusters, own = np.unique(label, return_inverse=True)
+    if len(clusters) == 1:
+        return np.ones(len(w))
+    at, weights = np.arange(len(w)), np.zeros((len(w), len(clusters)))
+    weights[at, own] = w
+    sums, n = apart @ weights, weights.sum(axis=0)
+    others = sums / n
+    others[at, own] = np.inf
+    a, b = sums[at, own] / np.maximum(n[own] - 1, 1), others.min(axis=1)
+    top = np.maximum(a, b)
+    return np.where((n[own] == 1) | (top == 0), 0.0, (b - a) / np.where(top == 0, 1.0, top))
+
+
 def silhouettes(members: DataFrame, key: str, ks: Sequence[int], stop: float, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
     """``key, k, silhouette, silhouette_error`` from ``members`` (key, k, c, lat, lon, w), one row a point and clustering.
 
@@ -45,7 +97,15 @@ def silhouettes(members: DataFrame, key: str, ks: Sequence[int], stop: float, li
     box = materialize(
         points.groupBy(key).agg(F.count("*").alias("_n"), (F.max("lat") - F.min("lat")).alias("_h"), (F.max("lon") - F.min("lon")).alias("_v")), "boxes"
     )
+    small = F.col("_n") <= min(limit, block)
+    n_small, n_large = box.agg(F.sum(F.when(small, F.col("_n"))), F.sum(F.when(~small, F.col("_n")))).first()
     done: DataFrame | None = None
+    if n_small:
+        exact = _exact(points.join(box.filter(small).select(key), key, "left_semi"), key, ks, n_small)
+        done = materialize(exact, "silhouettes")
+        if not n_large:
+            return done
+        points, box = points.join(box.filter(~small).select(key), key, "left_semi"), box.filter(~small)
     while True:
         area = F.sqrt(F.col("_h") * F.col("_v") / F.lit(float(limit)))
         size = F.when(F.col("_n") > limit, F.greatest(area, F.greatest("_h", "_v") / F.lit(float(limit)))).otherwise(0.0)
